@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagfold.llm import quality_forest, rule_ensemble
+from tagfold.llm import quality_forest, rule_ensemble, source_mix, warc
 from tagfold.llm.common import table
 
 
@@ -15,6 +15,15 @@ def op5_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_forest.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.captures(spark, warc.write(table(spark, sf_dir, "pages")))
+
+
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", source_mix.size_of(F.col("text")).alias("size"))
+    return source_mix.mix(docs, ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = rule_ensemble.train(docs, table(spark, sf_dir, "labels"))
@@ -24,7 +33,12 @@ def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_forest": op5_quality_forest,
+    "op7_warc_transactions": op7_warc_transactions,
+    "op8_source_mix": op8_source_mix,
     "op10_rule_ensemble": op10_rule_ensemble,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_warc_transactions": warc.ORACLE_SQL,
+    "op8_source_mix": source_mix.ORACLE_SQL,
+}
