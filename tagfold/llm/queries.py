@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagfold.llm import quality_forest, rule_ensemble, source_mix, warc
+from tagfold.llm import packing, quality_forest, rule_ensemble, source_mix, token_counts, warc
 from tagfold.llm.common import table
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_forest.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -24,6 +29,10 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(docs, ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = rule_ensemble.train(docs, table(spark, sf_dir, "labels"))
@@ -32,9 +41,11 @@ def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_counts": op3_token_counts,
     "op5_quality_forest": op5_quality_forest,
     "op7_warc_transactions": op7_warc_transactions,
     "op8_source_mix": op8_source_mix,
+    "op9_packing": op9_packing,
     "op10_rule_ensemble": op10_rule_ensemble,
 }
 
