@@ -29,24 +29,21 @@ CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 
 
 class Generations(dict):
-    """A dictionary that forgets what wasn't asked for lately: it holds most entries, or twice as many for a while."""
+    """A dictionary that makes what it lacks and forgets what wasn't asked for lately: it holds most entries, or twice as many."""
 
-    def __init__(self, most: int):
+    def __init__(self, most: int, make):
         super().__init__()
-        self.most, self.old = most, {}
+        self.most, self.make, self.old = most, make, {}
 
-    def missing(self, keys) -> list:
-        """Brings back those of keys that the older generation has, and returns the rest."""
-        if len(self) > self.most:
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
-        out = []
-        for k in keys - self.keys():
-            if (v := self.old.get(k)) is not None:
-                self[k] = v
-            else:
-                out.append(k)
-        return out
+        self[key] = value
+        return value
 
 
 def byte_letters() -> list[str]:
@@ -65,8 +62,10 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
-        self.pieces, self.words = Generations(MOST_PIECES), Generations(MOST_WORDS)
-        self.letters = byte_letters()
+        self.pieces, self.words = Generations(MOST_PIECES, self._piece), Generations(MOST_WORDS, self._word)
+        self.plain = PLAIN.fullmatch
+        self.letters = dict(enumerate(byte_letters()))
+        self.blank = self.letters[ord(" ")]
         with open(path, encoding="utf-8") as f:
             conf = json.load(f)
         kind = conf["pre_tokenizer"]["type"]
@@ -75,26 +74,18 @@ class Encoder:
         known = self.dropped or kind == "ByteLevel" and conf["normalizer"] is None and not conf["pre_tokenizer"]["add_prefix_space"] and conf["pre_tokenizer"]["use_regex"]
         self.by_piece = known and sys.byteorder == "little" and conf["post_processor"] is None and all(not SPACE.search(t["content"]) and not t["lstrip"] and not t["rstrip"] for t in conf["added_tokens"])
         self.special = [t["content"] for t in conf["added_tokens"]]
-        self.parts = re.compile(f"{CONTRACTIONS}|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+" if self.dropped else f"{CONTRACTIONS}| ?[{LETTERS}]+| ?[0-9]+| ?[^ \n{LETTERS}0-9]+|\n")
+        self.parts = re.compile(f"{CONTRACTIONS}|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+" if self.dropped else f"{CONTRACTIONS}| ?[{LETTERS}]+| ?[0-9]+| ?[^ \n{LETTERS}0-9]+|\n").findall
 
     def _word(self, part: str) -> bytes:
         """Ids of one pre-token, by the library's model."""
-        return array.array("I", [t.id for t in self.model.tokenize("".join([self.letters[b] for b in part.encode()]))]).tobytes()
-
-    def _learn(self, new: list[str]) -> None:
-        plain, other = [], []
-        for x in new:
-            word = x if self.dropped else x.removeprefix(" ")
-            (plain if PLAIN.fullmatch(word) and not ("<|" in word and any(s in word for s in self.special)) else other).append(x)
-        split = [self.parts.findall(x.lower() if self.dropped else x) for x in plain]
-        for part in self.words.missing(set().union(*split)):
-            self.words[part] = self._word(part)
-        at = self.words
-        for x, parts in zip(plain, split):
-            self.pieces[x] = at[parts[0]] if len(parts) == 1 else b"".join([at[p] for p in parts])
-        if other:
-            for x, e in zip(other, self.library.encode_batch_fast(other, add_special_tokens=False)):
-                self.pieces[x] = array.array("I", e.ids).tobytes()
+        letters = part.replace(" ", self.blank) if part.isascii() and part != "\n" else part.encode().decode("latin-1").translate(self.letters)
+        return array.array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        if self.plain(piece, not self.dropped and piece[0] == " ") and not ("<|" in piece and any(s in piece for s in self.special)):
+            parts = self.parts(piece.lower() if self.dropped else piece)
+            return self.words[parts[0]] if len(parts) == 1 else b"".join([self.words[p] for p in parts])
+        return self.whole([piece])[0]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """The library's own ids of whole texts."""
@@ -103,20 +94,15 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, without any begin or end."""
         out: list[bytes | None] = [None] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
+        at = self.pieces.__getitem__
         for i, text in enumerate(texts):
             if not self.by_piece:
                 continue
             if self.dropped:
-                cut.append((i, [p for p in text.replace("\n", " ").split(" ") if p]))
-            elif text and "  " not in text and not text.startswith(" ") and not text.endswith(" ") and not BESIDE.search(text):
+                out[i] = b"".join([at(p) for p in text.replace("\n", " ").split(" ") if p])
+            elif text and "  " not in text and text[0] != " " and text[-1] != " " and not BESIDE.search(text):
                 first, *rest = text.split(" ")
-                cut.append((i, [first, *[" " + p for p in rest]]))
-        at = self.pieces
-        for i, pieces in cut:
-            if new := at.missing(set(pieces)):
-                self._learn(new)
-            out[i] = b"".join([at[p] for p in pieces])
+                out[i] = at(first) + b"".join([at(" " + p) for p in rest])
         if rest := [i for i, x in enumerate(out) if x is None]:
             for i, ids in zip(rest, self.whole([texts[i] for i in rest])):
                 out[i] = ids
