@@ -8,18 +8,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagfold.llm import packing, quality_forest, rule_ensemble, source_mix, token_counts, warc
+from tagfold.llm import license_templates, near_dedup, packing, permutation_index, quality_forest, rule_ensemble, source_mix, token_counts, warc
 from tagfold.llm.common import table
 
 
+def op2_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_templates.scanned(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.grouped(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_forest.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.captures(spark, warc.write(table(spark, sf_dir, "pages")))
 
@@ -41,8 +53,11 @@ def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_license_templates": op2_license_templates,
     "op3_token_counts": op3_token_counts,
+    "op4_near_dedup": op4_near_dedup,
     "op5_quality_forest": op5_quality_forest,
+    "op6_permutation_index": op6_permutation_index,
     "op7_warc_transactions": op7_warc_transactions,
     "op8_source_mix": op8_source_mix,
     "op9_packing": op9_packing,
