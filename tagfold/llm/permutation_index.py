@@ -21,9 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-PIVOTS, PREFIX = 128, 24
+PIVOTS, PREFIX = 256, 128
 #: Share of a block that is reranked, and least number of its vectors.
-SHARE, LEAST = 0.2, 256
+SHARE, LEAST = 0.3, 256
 BLOCK, CHUNK = 4_096, 4_096
 FOUND = "query_id long, vec_id long, score double"
 

@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagfold.llm import license_templates, near_dedup, packing, permutation_index, quality_forest, rule_ensemble, source_mix, token_counts, warc
+from tagfold.llm import license_templates, near_dedup, packing, permutation_index, quality_forest, range_coder, rule_ensemble, source_mix, token_counts, warc
 from tagfold.llm.common import table
 
 
+def op1_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return range_coder.read(range_coder.written(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op2_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_templates.scanned(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_range_coder": op1_range_coder,
     "op2_license_templates": op2_license_templates,
     "op3_token_counts": op3_token_counts,
     "op4_near_dedup": op4_near_dedup,
