@@ -261,3 +261,18 @@ def filtered(docs: DataFrame) -> DataFrame:
     rows = docs.toDF(*own.values())
     left = rows.join(kept.hint("shuffle_hash"), F.col(own["doc_id"]) == F.col("_kept"), "left_semi")
     return left.dropDuplicates([own["doc_id"]]).toDF(*names)
+
+
+#: The result of grouped() in DuckDB's SQL: all pairs that share a shingle, and a recursion over their links.
+ORACLE_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p WHERE 100 * same >= 75 * (na + nb - same)),
+r AS (SELECT doc_id, doc_id AS c FROM s UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.c)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(c) AS component_id, s.doc_id = min(c) AS kept FROM s JOIN r USING (doc_id) GROUP BY s.doc_id, s.s
+"""

@@ -70,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_near_dedup": near_dedup.ORACLE_SQL,
     "op7_warc_transactions": warc.ORACLE_SQL,
     "op8_source_mix": source_mix.ORACLE_SQL,
 }
