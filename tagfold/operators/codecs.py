@@ -6,7 +6,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Codecs in the order in which they are tried; one that doesn't make a record smaller doesn't count.
@@ -37,17 +37,12 @@ def best(records: DataFrame, current: str = "snappy", codecs: tuple[str, ...] =
     return tried.groupBy("id", "usize").agg(F.min_by("codec", F.struct("size", "ord")).alias("codec"), F.min("size").alias("size"))
 
 
-def hesper_size(text: str) -> int | None:
-    """Bytes of a text in the 5-bit run code: runs of lower case (up to 8), capitals (up to 16), digits (8) and rest; null if not printable ASCII or no gain."""
-    data = text.encode("utf-8", "surrogatepass")
-    if not data or any(b != 10 and not 32 <= b < 127 for b in data):
-        return None
-    kinds = ["d" if 48 <= b <= 57 else "u" if 65 <= b <= 90 else "l" if 97 <= b <= 122 else "o" for b in data]
-    runs, i, most = 0, 0, {"l": 8, "u": 16, "d": 8, "o": 8}
-    while i < len(kinds):
-        j = i
-        while j < len(kinds) and kinds[j] == kinds[i] and j - i < most[kinds[i]]:
-            j += 1
-        runs, i = runs + 1, j
-    size = -(-5 * (len(data) + runs) // 8)
-    return size if size < len(data) else None
+#: Fixed value: runs of the 5-bit code; letters and digits go in eights, capitals in sixteens, each with the signs beside them in ASCII.
+RUNS = r"[\n`-~]{1,8}|[ -?]{1,8}|[@-_]{1,16}"
+
+
+def hesper_size(text: Column) -> Column:
+    """Bytes of a text in the 5-bit run code: five bits for each character and run; null if it isn't printable ASCII or doesn't get smaller."""
+    n = F.octet_length(text)
+    size = F.floor((5 * (n + F.regexp_count(text, F.lit(RUNS))) + 7) / 8)
+    return F.when(text.rlike(r"^[\n -~]+\z") & (size < n), size)

@@ -310,7 +310,6 @@ query("recompression_best")(lambda s, d: codecs.best(_payloads(s, d)))
 query("recompression_counts")(lambda s, d: codecs.best(_payloads(s, d)).groupBy("codec").agg(F.count("*").alias("num")))
 
 
-@query("hesper_size")
-def hesper_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = F.pandas_udf(lambda t: t.map(lambda x: codecs.hesper_size(x)).astype("Int64"), "long")
-    return _payloads(spark, sf_dir).select("id", size(F.coalesce("payload", F.lit(""))).alias("size"))
+_PACKED = "(5 * (strlen(t) + len(regexp_extract_all(t, '[\\n`-~]{1,8}|[ -?]{1,8}|[@-_]{1,16}'))) + 7) // 8"
+query("hesper_size", f"""WITH d AS (SELECT 'doc-' || doc_id AS id, coalesce(text, '') AS t FROM documents)
+SELECT id, CASE WHEN regexp_full_match(t, '[\\n -~]+') AND {_PACKED} < strlen(t) THEN {_PACKED} END::BIGINT AS size FROM d""")(lambda s, d: _payloads(s, d).select("id", codecs.hesper_size(F.coalesce("payload", F.lit(""))).alias("size")))

@@ -125,7 +125,8 @@ def test_codecs(spark):
     df = spark.createDataFrame([("a", "x" * 5000), ("b", "short"), ("c", "")], "id string, payload string")
     best = codecs.best(df).collect()
     assert [r["id"] for r in best] == ["a"] and best[0]["codec"] != "snappy" and best[0]["size"] < 5000
-    assert codecs.hesper_size("a" * 80) == 57 and codecs.hesper_size("é") is None and codecs.hesper_size("") is None
+    sizes = spark.createDataFrame([("a" * 80,), ("é" * 9,), ("",), ("aB1",), ("A" * 32,)], "t string").select(codecs.hesper_size(F.col("t")))
+    assert [r[0] for r in sizes.collect()] == [57, None, None, None, 22]
 
 
 def test_url_sources(spark, tmp_path):
