@@ -13,12 +13,16 @@ from tagfold.operators.commands import REPLICATED
 from tagfold.operators.tags import linked
 
 
+#: Temporary folders of sessions without a shared one.
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all of a cluster sees; a temporary one only where it is unset."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="tagfold-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        name = spark.sparkContext.applicationId
+        found = _own.get(name) or _own.setdefault(name, tempfile.mkdtemp(prefix="tagfold-"))
     return found.rstrip("/")
 
 
