@@ -87,3 +87,19 @@ def blocked(url: Column, css: bool, js: bool, images: bool) -> Column:
 def clock(millis: Column) -> Column:
     """MM:SS.mmm of a duration."""
     return F.concat(F.lpad(F.floor(millis / 60_000).cast("string"), 2, "0"), F.lit(":"), F.lpad(F.floor(millis % 60_000 / 1000).cast("string"), 2, "0"), F.lit("."), F.lpad((millis % 1000).cast("string"), 3, "0"))
+
+
+def rotated(template: Column, ts: Column) -> Column:
+    """Name of a rotated file: %s in a template is the date and time of ts, %d its epoch seconds, %% a percent sign; null unless there is exactly one."""
+    bare = F.replace(template, F.lit("%%"), F.lit("\x01"))
+    places = F.regexp_count(bare, F.lit("%[sd]"))
+    named = F.replace(F.replace(bare, F.lit("%s"), F.date_format(F.timestamp_seconds(ts), "yyyyMMddHHmmss")), F.lit("%d"), ts.cast("string"))
+    return F.when((places == 1) & (F.regexp_count(bare, F.lit("%")) == 1), F.replace(named, F.lit("\x01"), F.lit("%")))
+
+
+def shown_time(ts: Column) -> Column:
+    return F.date_format(F.timestamp_seconds(ts), "yyyy.MM.dd HH:mm:ss")
+
+
+def plural(n: Column, noun: str) -> Column:
+    return F.concat(n.cast("string"), F.lit(f" {noun}"), F.when(n == 1, "").otherwise("s"))

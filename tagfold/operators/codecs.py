@@ -31,6 +31,11 @@ def sizes(records: DataFrame, codecs: tuple[str, ...] = CODECS) -> DataFrame:
     return records.select("id", F.col("payload").cast("binary")).mapInArrow(run, "id string, usize long, codec string, ord int, size long")
 
 
+def optimizable(records: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
+    """Records (id, usize, ...) that are worth packing anew."""
+    return records.where(F.col("usize") >= least)
+
+
 def best(records: DataFrame, current: str = "snappy", codecs: tuple[str, ...] = CODECS) -> DataFrame:
     """id, usize, codec and size of the smallest packing other than the current codec; records of LEAST_BYTES or more only."""
     tried = sizes(records, codecs).where((F.col("usize") >= LEAST_BYTES) & (F.col("codec") != current) & (F.col("size") < F.col("usize")))

@@ -30,12 +30,13 @@ class Session:
     def drop(self) -> None:
         self.alive, self.ua, self.num_writes, self.mtime, self.expire, self.lru_seq = False, 0, 0, 0, 0, 0
 
-    def apply(self, seq: int, ts: int, ua: int, op: str, lifetime: int | None) -> None:
+    def apply(self, seq: int, ts: int, ua: int, op: str, lifetime: int | None, revive: bool = False) -> None:
+        """revive: a read brings an expired session back, as documented; else it deletes it, as servers do."""
         if op == "DESTROY":
             self.drop()
         elif op == "READ":
             self.reads += 1
-            if self.alive and self.expire < ts:
+            if self.alive and self.expire < ts and not revive:
                 self.drop()
             if self.alive:
                 self.hits += 1
@@ -55,7 +56,7 @@ class Session:
         return name, self.ua, self.num_writes, self.mtime, self.expire, self.lru_seq, self.reads, self.hits, self.alive
 
 
-def fold(log: DataFrame) -> DataFrame:
+def fold(log: DataFrame, revive: bool = False) -> DataFrame:
     """STATE of each session of the log (seq, ts, id, ua, op, lifetime) after its last command."""
     names = [x.split()[0] for x in STATE.split(", ")]
 
@@ -69,7 +70,7 @@ def fold(log: DataFrame) -> DataFrame:
                     if current is not None:
                         done.append(state.row(current))
                     current, state = name, Session()
-                state.apply(seq, ts, ua, op, None if lifetime is None else int(lifetime))
+                state.apply(seq, ts, ua, op, None if lifetime is None else int(lifetime), revive)
             yield pd.DataFrame(done, columns=names)
         if current is not None:
             yield pd.DataFrame([state.row(current)], columns=names)
@@ -77,8 +78,8 @@ def fold(log: DataFrame) -> DataFrame:
     return log.select("id", "seq", "ts", "ua", "op", "lifetime").repartition("id").sortWithinPartitions("id", "seq").mapInPandas(run, STATE)
 
 
-def live(log: DataFrame) -> DataFrame:
-    return fold(log).where("alive").select("id", "ua", "num_writes", "mtime", "expire", "lru_seq")
+def live(log: DataFrame, revive: bool = False) -> DataFrame:
+    return fold(log, revive).where("alive").select("id", "ua", "num_writes", "mtime", "expire", "lru_seq")
 
 
 def hits_and_misses(log: DataFrame) -> DataFrame:

@@ -39,3 +39,12 @@ def wildcard(named: DataFrame, masks: DataFrame, column: str = "name") -> DataFr
     masks holds a request's few masks; those of 128 characters and more are ignored.
     """
     return named.join(masks.where(F.length("mask") < 128), F.expr(f"{column} ilike pattern"))
+
+
+def health(metrics: DataFrame, limits: dict[str, tuple[str, int]]) -> DataFrame:
+    """metrics (name, value) with status: warning where a value is below ("min") or above ("max") its limit."""
+    status = F.lit("ok")
+    for name, (kind, limit) in limits.items():
+        beyond = F.col("value") < limit if kind == "min" else F.col("value") > limit
+        status = F.when((F.col("name") == name) & beyond, "warning").otherwise(status)
+    return metrics.withColumn("status", status)

@@ -75,3 +75,12 @@ def survivors(fpc: DataFrame, mode: str, tags: list[str], now: int) -> DataFrame
     """Ids that a CLEAN leaves. mode: all, old, matchall, matchnot or matchany."""
     gone = {"all": F.lit(True), "old": F.col("expire") < now, "matchall": has_all(tags), "matchnot": ~has_any(tags), "matchany": has_any(tags)}[mode]
     return fpc.where(~gone).select("id")
+
+
+def added(tags: Column, more: list[str]) -> Column:
+    """A tag list with more tags, each once, in the order of their first mention."""
+    return F.array_union(tags, asked(more))
+
+
+def removed(tags: Column, less: list[str]) -> Column:
+    return F.array_except(tags, asked(less))

@@ -143,8 +143,9 @@ query("quota_eviction", _evict("(SELECT sum(usize) FROM fpc) - 500000"))(lambda
 query("emergency_free", _evict("greatest(300000, 2 * 100000)"))(lambda s, d: eviction.evicted(fpc_state(s, d), F.greatest(F.lit(300_000), F.lit(2 * 100_000)), L.FPC_RETAIN).select("id", "usize"))
 
 # --- sessions ---
-#: The fold of the session log as a recursion over each session's commands.
-FOLD = f"""WITH RECURSIVE {LOG}, n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS k FROM slog),
+# The fold of the session log as a recursion over each session's commands.
+def _fold(revive: bool) -> str:
+    return f"""WITH RECURSIVE {LOG}, n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS k FROM slog),
 r AS (
   SELECT id, 0::BIGINT AS k, false AS alive, 0 AS rua, 0::BIGINT AS num_writes, 0::BIGINT AS mtime, 0::BIGINT AS expire, 0::BIGINT AS lru_seq, 0::BIGINT AS reads, 0::BIGINT AS hits FROM (SELECT DISTINCT id FROM slog)
   UNION ALL
@@ -155,14 +156,18 @@ r AS (
          CASE WHEN alive THEN seq ELSE 0 END, reads + CASE WHEN op = 'READ' THEN 1 ELSE 0 END, hits + CASE WHEN op = 'READ' AND alive THEN 1 ELSE 0 END
   FROM (
     SELECT n.id, n.k, n.op, n.ts, n.seq, n.lifetime, r.num_writes, r.mtime, r.expire, r.reads, r.hits,
-           CASE n.op WHEN 'DESTROY' THEN false WHEN 'WRITE' THEN true ELSE r.alive AND NOT r.expire < n.ts END AS alive, greatest(r.rua, n.ua) AS nua,
+           CASE n.op WHEN 'DESTROY' THEN false WHEN 'WRITE' THEN true ELSE r.alive{'' if revive else ' AND NOT r.expire < n.ts'} END AS alive, greatest(r.rua, n.ua) AS nua,
            CASE WHEN n.op = 'WRITE' AND NOT (greatest(r.rua, n.ua) = 3 AND n.lifetime >= 0) THEN 1 ELSE 0 END AS grew,
            {_list(L.SESSION_FIRST, 'greatest(r.rua, n.ua)')} AS fst, {_list(L.SESSION_DEFAULT, 'greatest(r.rua, n.ua)')} AS def, {_list(L.SESSION_FIRST_WRITES, 'greatest(r.rua, n.ua)')} AS most
     FROM r JOIN n ON n.id = r.id AND n.k = r.k + 1)),
 z AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC) = 1)
 """
+
+
+FOLD = _fold(False)
 _LIVE = FOLD + "SELECT id, rua AS ua, num_writes, mtime, expire, lru_seq FROM z WHERE alive"
 query("session_state", _LIVE)(lambda s, d: sessions.live(session_log(s, d)))
+query("session_state_documented", _fold(True) + "SELECT id, rua AS ua, num_writes, mtime, expire, lru_seq FROM z WHERE alive")(lambda s, d: sessions.live(session_log(s, d), revive=True))
 query("session_reads_hit_miss", FOLD + "SELECT id, reads, hits, reads - hits AS misses FROM z")(lambda s, d: sessions.hits_and_misses(session_log(s, d)))
 
 
@@ -313,3 +318,29 @@ query("recompression_counts")(lambda s, d: codecs.best(_payloads(s, d)).groupBy(
 _PACKED = "(5 * (strlen(t) + len(regexp_extract_all(t, '[\\n`-~]{1,8}|[ -?]{1,8}|[@-_]{1,16}'))) + 7) // 8"
 query("hesper_size", f"""WITH d AS (SELECT 'doc-' || doc_id AS id, coalesce(text, '') AS t FROM documents)
 SELECT id, CASE WHEN regexp_full_match(t, '[\\n -~]+') AND {_PACKED} < strlen(t) THEN {_PACKED} END::BIGINT AS size FROM d""")(lambda s, d: _payloads(s, d).select("id", codecs.hesper_size(F.coalesce("payload", F.lit(""))).alias("size")))
+
+
+# --- names, texts and tag lists ---
+query("rotation_names", f"""WITH {URLS}, t AS (SELECT ord, lastmod, (['log_%s.txt', 'bin_%d.blf', '100%%_%d', 'none', '%s_%d'])[(ord % 5 + 1)::INT] AS tpl FROM urls)
+SELECT ord, CASE ord % 5 WHEN 0 THEN 'log_' || strftime(make_timestamp(lastmod * 1000000), '%Y%m%d%H%M%S') || '.txt' WHEN 1 THEN 'bin_' || lastmod || '.blf' WHEN 2 THEN '100%_' || lastmod END AS name FROM t""")(
+    lambda s, d: url_set(s, d).select("ord", scalars.rotated(F.element_at(F.array(*map(F.lit, ("log_%s.txt", "bin_%d.blf", "100%%_%d", "none", "%s_%d"))), (F.col("ord") % 5 + 1).cast("int")), F.col("lastmod")).alias("name")))
+query("shown_times", f"WITH {URLS} SELECT ord, strftime(make_timestamp(lastmod * 1000000), '%Y.%m.%d %H:%M:%S') AS shown FROM urls")(lambda s, d: url_set(s, d).select("ord", scalars.shown_time(F.col("lastmod")).alias("shown")))
+query("info_lines", f"WITH {FPC} SELECT ua, count(*) || ' record' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END AS line FROM fpc WHERE id < 'doc-2' OR ua < 3 GROUP BY ua")(lambda s, d: fpc_state(s, d).where("id < 'doc-2' OR ua < 3").groupBy("ua").agg(F.count("*").alias("n")).select("ua", scalars.plural(F.col("n"), "record").alias("line")))
+query("tag_lists_edited", f"WITH {FPC} SELECT id, array_to_string(list_sort(list_filter(list_distinct(list_concat(tags, ['new', 'en'])), lambda x: x <> 'fr')), ',') AS tag_list FROM fpc")(
+    lambda s, d: fpc_state(s, d).select("id", F.array_join(F.array_sort(tags.removed(tags.added(F.col("tags"), ["new", "en"]), ["fr"])), ",").alias("tag_list")))
+query("optimizable_records", f"WITH {FPC} SELECT id, usize FROM fpc WHERE usize >= 256")(lambda s, d: codecs.optimizable(fpc_state(s, d)).select("id", "usize"))
+query("health_check", f"WITH {FPC}, m AS (SELECT 'bytes_ua' || ua AS name, sum(usize)::BIGINT AS value FROM fpc GROUP BY ua) SELECT name, value, CASE WHEN name = 'bytes_ua0' AND value < 1000 OR name = 'bytes_ua3' AND value > 1000 THEN 'warning' ELSE 'ok' END AS status FROM m")(
+    lambda s, d: stats.health(fpc_state(s, d).groupBy("ua").agg(F.sum("usize").alias("value")).select(F.concat(F.lit("bytes_ua"), F.col("ua").cast("string")).alias("name"), "value"), {"bytes_ua0": ("min", 1000), "bytes_ua3": ("max", 1000)}))
+
+
+# --- streams ---
+@query("stream_replicated", f"WITH {LOG} SELECT seq, id, op FROM slog WHERE op <> 'READ'")
+def stream_replicated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = snapshots.new_folder(spark, "replicas")
+    live_sessions.fan_out(session_log_of(live_sessions.events(spark, sf_dir)), [f"{base}/a", f"{base}/b"], f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/b").select("seq", "id", "op")
+
+
+@query("stream_windowed_counts", f"WITH {LOG} SELECT ts // 86400 * 86400 AS day, op, count(*) AS num FROM slog GROUP BY ALL")
+def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live_sessions.counted(session_log_of(live_sessions.events(spark, sf_dir)))

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tagfold.operators.sessions import STATE, Session
 from tagfold.ship import ship
+from tagfold.sources import snapshots
 from tagfold.sources.snapshots import shared_folder
 
 KEPT = "ua int, num_writes long, mtime long, expire long, lru_seq long, reads long, hits long, alive boolean"
@@ -62,3 +63,32 @@ def windowed_counts(log: DataFrame, width: str = "1 day", late: str = "1 hour")
     """Commands by operation in event-time windows; what comes later than late behind the newest is dropped."""
     at = log.withColumn("at", F.timestamp_seconds("ts"))
     return at.withWatermark("at", late).groupBy(F.window("at", width).alias("w"), "op").agg(F.count("*").alias("num"))
+
+
+def fan_out(log: DataFrame, paths: list[str], checkpoint: str) -> None:
+    """Sends a streaming log's mutating commands to each of paths (replicas, a binlog), a folder per micro-batch.
+
+    A batch that is tried again overwrites its own folder, so each command arrives once.
+    """
+
+    def send(df: DataFrame, n: int) -> None:
+        rows = snapshots.replicated(df).persist()
+        for p in paths:
+            rows.write.mode("overwrite").parquet(f"{p}/batch={n}")
+        rows.unpersist()
+
+    log.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(send).start().awaitTermination()
+
+
+def counted(log: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """windowed_counts() of a whole stream: day (epoch seconds of the window's start), op, num."""
+    spark = log.sparkSession
+    base = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
+    query = (
+        windowed_counts(log, width, late).writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{base}/checkpoint")
+        .foreachBatch(lambda df, n: df.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{base}/out/n={n}")).start()
+    )
+    query.awaitTermination()
+    last = Window.partitionBy("w", "op").orderBy(F.desc("_batch"))
+    rows = spark.read.parquet(f"{base}/out").withColumn("_n", F.row_number().over(last)).where("_n = 1")
+    return rows.select(F.unix_timestamp("w.start").alias("day"), "op", "num")

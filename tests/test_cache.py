@@ -150,3 +150,10 @@ def test_lifetimes(spark):
     df = spark.createDataFrame(pd.DataFrame({"ua": [0, 3, 1, 2], "lifetime": [-1, 0, 10**9, 60]}))
     got = [r[0] for r in df.select(L.fpc_expire(F.lit(100).cast("long"), F.col("lifetime"), F.col("ua").cast("int"))).collect()]
     assert got == [86_500, L.INFINITE, 2_592_100, 160]
+
+
+def test_scripts(spark, tmp_path):
+    from tagfold.sources import scripts
+
+    (tmp_path / "s.cfg").write_text("# comment\n\nsave 'a b' \"it's\" 'q\\\\'s' tag\n  getids\n")
+    assert [(r["op"], r["args"]) for r in scripts.commands(spark, str(tmp_path / "s.cfg")).collect()] == [("SAVE", ["a b", "it's", "q's", "tag"]), ("GETIDS", [])]
