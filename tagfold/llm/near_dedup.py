@@ -6,8 +6,8 @@ to buckets, and each bucket gives star-shaped candidate edges only: from its mos
 buckets with others, as the original among its copies does) to every other. Edges are confirmed on the full sets.
 
 What a star leaves out is made up for: two linked nodes of a bucket that are not both linked with its centre. For each
-centre, members in another component are compared with the centre's other members in blocks, by signature first, and
-what may be linked is confirmed on the full sets too. Nothing but confirmed links leaves these blocks.
+centre, members in another component are compared with the centre's other members in blocks, by signature first and then
+on the full sets. Nothing leaves these blocks but one confirmed link for each asking member and component.
 
 Links have a Jaccard similarity of at least 75 %. A pair at 75 % shares none of the BANDS buckets with a chance below 1 in
 100,000; other losses have a chance of that order: a signature estimate more than 5 standard deviations off.
@@ -30,23 +30,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagfold.llm.common import saved
-from tagfold.llm.tokens import Generations
 
 SHINGLE, PERCENT = 5, 75
 BITS = 7
 BINS, ROWS = 1 << BITS, 4
 BANDS = BINS // ROWS
-#: A pair whose signatures agree less isn't confirmed; sets of fewer shingles than BINS are confirmed at any estimate.
-LEAST_ESTIMATE = 0.55
+#: A pair whose signatures agree less isn't confirmed: by the size of the smaller set, whose estimates vary the more the
+#: fewer bins it fills. Sets below the least size are confirmed at any estimate.
+LEAST_ESTIMATES = {BINS: 0.55, 40: 0.4}
 #: Nodes of a centre that are compared with as many others at a time.
-BLOCK = 1_024
+BLOCK = 256
 #: Attempts of densification before an empty bin takes the next full one.
 ATTEMPTS = 64
-MOST_WORDS = 300_000
 
 _ODD = np.random.default_rng(20_240_101).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PROBE = np.random.default_rng(20_240_102).integers(0, BINS, (ATTEMPTS, BINS))
-_words: Generations = Generations(MOST_WORDS, xxhash.xxh3_64_intdigest)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -61,7 +59,7 @@ def shingles(text: str | None) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    ids = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    ids = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = min(SHINGLE, len(words))
     h = np.full(len(words) - n + 1, _ODD[n + 8], np.uint64)
     for i in range(n):
@@ -98,6 +96,23 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return mixed((rows * _ODD[20 : 20 + ROWS]).sum(1, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD[30])
 
 
+def may_link(agree: np.ndarray, smaller: np.ndarray) -> np.ndarray:
+    """Whether pairs are to be confirmed, by the share of agreeing bins and the size of the smaller set."""
+    least = np.zeros(len(agree))
+    for size, estimate in LEAST_ESTIMATES.items():
+        least = np.maximum(least, np.where(smaller >= size, estimate, 0))
+    return agree >= least
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
+        return False
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    same = int((a[at] == b).sum())
+    return 100 * same >= PERCENT * (len(a) + len(b) - same)
+
+
 SKETCH = [T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.BinaryType()), T.StructField("signature", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
 
 
@@ -138,36 +153,33 @@ def estimated(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
             a, b = (np.frombuffer(b"".join(r.column(i).to_pylist()), np.uint32).reshape(-1, BINS) for i in (2, 3))
-            small = np.minimum(r.column(4).to_numpy(), r.column(5).to_numpy()) < BINS
-            yield pa.RecordBatch.from_arrays([r.column(0), r.column(1), pa.array(small | ((a == b).mean(1) >= LEAST_ESTIMATE))], names=["a", "b", "close"])
+            close = may_link((a == b).mean(1), np.minimum(r.column(4).to_numpy(), r.column(5).to_numpy()))
+            yield pa.RecordBatch.from_arrays([r.column(0), r.column(1), pa.array(close)], names=["a", "b", "close"])
 
     return both.select("a", "b", "_sa", "_sb", "_na", "_nb").mapInArrow(run, "a long, b long, close boolean")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) that are linked, by the full sets of both."""
-    pairs = saved(pairs, "near-pairs")
-    ids = pairs.select(F.col("a").alias("_node")).union(pairs.select(F.col("b").alias("_node"))).distinct()
+def full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and set (sorted 64-bit hashes) of the documents named by ids (node)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
             yield pa.RecordBatch.from_arrays([r.column(0), pa.array([shingles(x.as_py()).tobytes() for x in r.column(1)], pa.binary())], names=["node", "set"])
 
-    texts = docs.select("doc_id", "text").join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("_node"), "left_semi")
-    full = saved(texts.mapInArrow(sets, "node long, set binary"), "near-sets")
+    named = ids.select(F.col("node").alias("_node")).distinct()
+    texts = docs.select("doc_id", "text").join(named.hint("shuffle_hash"), F.col("doc_id") == F.col("_node"), "left_semi")
+    return saved(texts.mapInArrow(sets, "node long, set binary"), "near-sets")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) that are linked, by the full sets of both."""
+    pairs = saved(pairs, "near-pairs")
+    full = full_sets(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))), docs)
     both = pairs.join(full.select(F.col("node").alias("b"), F.col("set").alias("_sb")), "b").join(full.select(F.col("node").alias("a"), F.col("set").alias("_sa")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
-            ok = []
-            for x, y in zip(r.column(2), r.column(3)):
-                a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                same = 0
-                if len(a) and len(b) and 100 * min(len(a), len(b)) >= PERCENT * max(len(a), len(b)):
-                    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
-                    same = int((a[at] == b).sum())
-                ok.append(same > 0 and 100 * same >= PERCENT * (len(a) + len(b) - same))
-            keep = pa.array(ok, pa.bool_())
+            keep = pa.array([linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(r.column(2), r.column(3))], pa.bool_())
             yield pa.RecordBatch.from_arrays([r.column(0).filter(keep), r.column(1).filter(keep)], names=["a", "b"])
 
     return both.select("a", "b", "_sa", "_sb").mapInArrow(run, "a long, b long").distinct()
@@ -192,35 +204,41 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
 
 
-def left_out(edges: DataFrame, linked: DataFrame, labels: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of one centre in different components that signatures don't rule out.
+def left_out(edges: DataFrame, links: DataFrame, labels: DataFrame, sigs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Linked pairs (a, b) of members of one centre in different components.
 
-    edges: (center, node), linked: those that are confirmed. Members that aren't in their centre's component are asked
-    about against all members, BLOCK of either at a time.
+    edges: (center, node), links: those that are confirmed. Members that aren't in their centre's component are compared
+    with all members, BLOCK of either at a time; of a member's links into one component one is enough.
     """
-    mark = linked.select("center", "node", F.lit(True).alias("_linked"))
+    mark = links.select("center", "node", F.lit(True).alias("_linked"))
     of = labels.withColumnRenamed("component", "_c")
     member = edges.join(mark, ["center", "node"], "left").join(of, "node", "left").withColumn("_c", F.coalesce("_c", "node"))
     member = member.join(of.select(F.col("node").alias("center"), F.col("_c").alias("_cc")), "center", "left").withColumn("_cc", F.coalesce("_cc", "center"))
     member = saved(member.select("center", "node", F.col("_c").alias("component"), (F.col("_linked").isNull() & (F.col("_c") != F.col("_cc"))).alias("asks")), "near-members")
     sizes = member.groupBy("center").agg(F.count("*").alias("_n"), F.sum(F.col("asks").cast("long")).alias("_asks")).where("_asks > 0 and _n > 1")
     sizes = sizes.select("center", F.ceil(F.col("_n") / BLOCK).alias("_blocks"), F.ceil(F.col("_asks") / BLOCK).alias("_ask_blocks"))
-    rows = member.join(sizes, "center").join(sigs.select("node", "signature", "n_shingles"), "node")
+    member = saved(member.join(sizes, "center"), "near-asked")
+    full = full_sets(member.select("node"), docs).dropDuplicates(["node"])
+    rows = member.join(sigs.select("node", "signature", "n_shingles"), "node").join(full, "node")
     part = F.xxhash64("node")
     every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    asked = rows.select("center", F.pmod(part, F.col("_blocks")).alias("x"), F.explode(every("_ask_blocks")).alias("y"), "node", "component", "signature", "n_shingles", "asks")
-    asking = rows.where("asks").select("center", F.explode(every("_blocks")).alias("x"), F.pmod(part, F.col("_ask_blocks")).alias("y"), "node", "component", "signature", "n_shingles")
+    asked = rows.select("center", F.pmod(part, F.col("_blocks")).alias("x"), F.explode(every("_ask_blocks")).alias("y"), "node", "component", "signature", "n_shingles", "set", "asks")
+    asking = rows.where("asks").select("center", F.explode(every("_blocks")).alias("x"), F.pmod(part, F.col("_ask_blocks")).alias("y"), "node", "component", "signature", "n_shingles", "set")
     asking = asking.select(*(F.col(c).alias(f"q_{c}") for c in asking.columns))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"a": pd.Series([], "int64"), "b": pd.Series([], "int64")})
         a, b = (np.frombuffer(b"".join(x), np.uint32).reshape(-1, BINS) for x in (left["q_signature"], right["signature"]))
-        node, comp, small, asks = right["node"].to_numpy(), right["component"].to_numpy(), right["n_shingles"].to_numpy() < BINS, right["asks"].to_numpy(bool)
+        node, comp, size, asks = right["node"].to_numpy(), right["component"].to_numpy(), right["n_shingles"].to_numpy(), right["asks"].to_numpy(bool)
+        sets = [np.frombuffer(x, np.uint64) for x in right["set"]]
         out = []
-        for sig, n, c, few in zip(a, left["q_node"], left["q_component"], left["q_n_shingles"] < BINS):
-            ok = (comp != c) & ~(asks & (node < n)) & (small | few | ((b == sig).mean(1) >= LEAST_ESTIMATE))
-            out += [(n, m) for m in node[ok]]
+        for sig, n, c, few, own in zip(a, left["q_node"], left["q_component"], left["q_n_shingles"], left["q_set"]):
+            own, done = np.frombuffer(own, np.uint64), set()
+            for i in np.flatnonzero((comp != c) & ~(asks & (node < n)) & may_link((b == sig).mean(1), np.minimum(size, few))):
+                if comp[i] not in done and linked(own, sets[i]):
+                    done.add(comp[i])
+                    out.append((n, node[i]))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     keys = ["center", "x", "y"]
@@ -240,7 +258,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     pairs = edges.select(F.col("center").alias("a"), F.col("node").alias("b"))
     links = saved(confirmed(estimated(pairs, sigs).where("close").select("a", "b"), docs), "near-links")
     labels = components(links)
-    more = confirmed(left_out(edges, links.select(F.col("a").alias("center"), F.col("b").alias("node")), labels, sigs), docs)
+    more = saved(left_out(edges, links.select(F.col("a").alias("center"), F.col("b").alias("node")), labels, sigs, docs), "near-more")
     named = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"_{x}"))
     between = more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
     above = components(between)
