@@ -155,5 +155,5 @@ def test_lifetimes(spark):
 def test_scripts(spark, tmp_path):
     from tagfold.sources import scripts
 
-    (tmp_path / "s.cfg").write_text("# comment\n\nsave 'a b' \"it's\" 'q\\\\'s' tag\n  getids\n")
+    (tmp_path / "s.cfg").write_text("# comment\n\nsave 'a b' \"it's\" 'q\\'s' tag\n  getids\n")
     assert [(r["op"], r["args"]) for r in scripts.commands(spark, str(tmp_path / "s.cfg")).collect()] == [("SAVE", ["a b", "it's", "q's", "tag"]), ("GETIDS", [])]
