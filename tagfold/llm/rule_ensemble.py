@@ -11,6 +11,7 @@ that class's smoothed rate for every document; a null doc_id is not held out and
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -112,9 +113,10 @@ def predicted(model: Ensemble, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-(model.bias + sum((w * holds(r, x) for r, w in zip(model.rules, model.weights)), np.zeros(len(x))))))
 
 
-def compiled(model: Ensemble) -> Column:
-    """The score as a column over text_stats.COUNTS."""
-    names = list(text_stats.FEATURES.values())
+def compiled(model: Ensemble, of: str = "") -> Column:
+    """The score as a column over text_stats.COUNTS, or over those fields of the struct column that of names."""
+    counts = re.compile(r"\b(" + "|".join(text_stats.COUNTS) + r")\b")
+    names = [counts.sub(rf"`{of}`.\1" if of else r"\1", f) for f in text_stats.FEATURES.values()]
 
     def one(rule: Rule) -> str:
         return " AND ".join(f"({names[f]}) {'>' if above else '<='} {cut!r}D" for f, above, cut in rule)
@@ -141,7 +143,5 @@ def scored(docs: DataFrame, model: Ensemble, keep: list[str]) -> DataFrame:
 
 def filtered(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
     """The documents with score >= cut, with all their columns, whatever these are called."""
-    model, names = train(docs, labels), docs.columns
-    own = [f"_own{i}" for i in range(len(names))]
-    both = docs.toDF(*own).select("*", F.col(own[names.index("text")]).alias("text"))
-    return scored(both, model, own).where(F.col("score") >= cut).select(*own).toDF(*names)
+    model, own = train(docs, labels), "_counts_of_text"
+    return docs.withColumn(own, text_stats.counts_of("text")).where(compiled(model, own) >= cut).drop(own)

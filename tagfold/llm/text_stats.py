@@ -70,13 +70,22 @@ def with_counts(docs: DataFrame, keep: list[str], text: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [count(x.as_py()) for x in b.column(len(keep))]
-            cols = np.array(rows, np.int64).reshape(len(rows), len(COUNTS)).T
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array(c) for c in cols)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array(c) for c in counted(b.column(len(keep))).T)], names=schema.names)
 
     return docs.select(*keep, F.col(text)).mapInArrow(run, schema)
 
 
+def counted(batch: pa.Array) -> np.ndarray:
+    """COUNTS of each text of an Arrow array, a row each."""
+    return np.array([count(x.as_py()) for x in batch], np.int64).reshape(len(batch), len(COUNTS))
+
+
+@F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
+def counts_of(text: pa.Array) -> pa.Array:
+    """COUNTS as a struct column; only the text goes to Python, a row's other columns stay where they are."""
+    return pa.StructArray.from_arrays([pa.array(c) for c in counted(text).T], names=list(COUNTS))
+
+
 #: Each feature: Spark SQL over COUNTS. All are 0 for an empty text.
 FEATURES = {
     "log_words": "log(1 + n_words)",
