@@ -1,10 +1,11 @@
 """WARC archives of captures, and transactions assembled from them.
 
 write() gives each page a request, a response (or revisit) and a metadata record; request and metadata name the response
-in WARC-Concurrent-To; a revisit names the page of its response as <urn:page:ID> in WARC-Refers-To. The archive is written by Spark's text sink: a row is a record, and the line separator is the two
-CRLFs that end a record, so files are committed as usual and a lost executor costs a retried task. Files are gzipped as a
-whole. read() frames the records of whole files by Content-Length, and transactions() joins the records of a capture
-through the concurrent-to identifiers into one nested row.
+in WARC-Concurrent-To; a revisit names the page of its response as <urn:page:ID> in WARC-Refers-To. The archive is written
+by Spark's text sink: a row is a record, and the line separator is the two CRLFs that end a record, so files are committed
+as usual and a lost executor costs a retried task. Files are gzipped as a whole. read() frames the records of whole files
+by Content-Length, and transactions() joins the records of a capture through the concurrent-to identifiers into one
+nested row.
 
 Defined cases: a null html is an empty payload, and so is an empty one; a null url becomes an empty target URI; of records
 with equal payloads the one with the smallest page_id is the response (null page_ids come last), and rows that repeat this
