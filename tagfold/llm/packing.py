@@ -14,9 +14,9 @@ from __future__ import annotations
 
 import math
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +28,7 @@ from tagfold.llm.common import running_total, saved
 CAPACITY, END_ID = 1_024, 2
 CHUNK = 256
 #: Plans that are tried beside the first, and places that the search for one filling may visit.
-DESCENTS, VISITS = 24, 4_000
+DESCENTS, VISITS = 8, 4_000
 #: Pieces of one length that share a bucket, about.
 PER_BUCKET = 4_096
 
@@ -89,7 +89,7 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return [(tuple(lengths), n) for bins in open_.values() for lengths, n in bins]
 
 
-def fillings(room: int, counts: dict[int, int], sizes: np.ndarray, want: int) -> list[tuple[int, ...]]:
+def fillings(room: int, counts: dict[int, int], sizes: list[int], want: int) -> list[tuple[int, ...]]:
     """Up to want fillings of room by lengths of counts, least waste first; none is dominated by one with fewer, larger pieces.
 
     Pieces are tried from the largest that fits, depth first; a branch ends when even its room filled whole wouldn't beat
@@ -104,10 +104,10 @@ def fillings(room: int, counts: dict[int, int], sizes: np.ndarray, want: int) ->
     def go(left: int, most: int, used: tuple[int, ...]) -> None:
         nonlocal visits
         visits += 1
-        at = int(np.searchsorted(sizes, min(left, most), "right")) - 1
+        at = bisect_right(sizes, min(left, most)) - 1
         fits = False
         while at >= 0 and visits < VISITS and not (len(found) >= want and found[-1][0] == 0):
-            size = int(sizes[at])
+            size = sizes[at]
             if counts[size] > used.count(size):
                 fits = True
                 go(left - size, size, (*used, size))
@@ -129,9 +129,9 @@ def complete(counts: dict[int, int], capacity: int, best: Plan, choice: dict[int
     """One descent of bin completion; choice: at which step to take another filling than the best. None: pruned."""
     left, plan, waste, step = dict(counts), [], 0, 0
     most = waste_of(best, capacity)
-    sizes = np.array(sorted(left))
-    while len(sizes):
-        top = int(sizes[-1])
+    sizes = sorted(left)
+    while sizes:
+        top = sizes[-1]
         left[top] -= 1
         options = fillings(capacity - top, left, sizes, 1 + choice.get(step, 0))
         left[top] += 1
@@ -143,7 +143,9 @@ def complete(counts: dict[int, int], capacity: int, best: Plan, choice: dict[int
         waste += (capacity - sum(lengths)) * n
         if waste >= most:
             return None
-        sizes = sizes[[left[int(s)] > 0 for s in sizes]]
+        for s in set(lengths):
+            if not left[s]:
+                sizes.remove(s)
         step += 1
     return plan
 
