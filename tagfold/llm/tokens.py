@@ -64,6 +64,8 @@ class Encoder:
         self.model = self.library.model
         self.pieces, self.words = Generations(MOST_PIECES, self._piece), Generations(MOST_WORDS, self._word)
         self.plain = PLAIN.fullmatch
+        #: The four bytes of each id.
+        self.four = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
         self.letters = dict(enumerate(byte_letters()))
         self.blank = self.letters[ord(" ")]
         with open(path, encoding="utf-8") as f:
@@ -79,13 +81,22 @@ class Encoder:
     def _word(self, part: str) -> bytes:
         """Ids of one pre-token, by the library's model."""
         letters = part.replace(" ", self.blank) if part.isascii() and part != "\n" else part.encode().decode("latin-1").translate(self.letters)
-        return array.array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        if self.plain(piece, not self.dropped and piece[0] == " ") and not ("<|" in piece and any(s in piece for s in self.special)):
-            parts = self.parts(piece.lower() if self.dropped else piece)
-            return self.words[parts[0]] if len(parts) == 1 else b"".join([self.words[p] for p in parts])
-        return self.whole([piece])[0]
+        at = self.four
+        return b"".join([at[t.id] for t in self.model.tokenize(letters)])
+
+    def _piece(self, word: str) -> bytes:
+        """Ids of what stands between two blanks, with the blank before it where that belongs to the word."""
+        at, given = self.words, word if self.dropped else " " + word
+        if self.dropped and self.plain(word):
+            word = word.lower()
+        piece = word if self.dropped else given
+        if word.isascii() and word.isalpha():
+            return at[piece]
+        if word.isascii() and word[-1:] in ENDS and word[:-1].isalpha():
+            return at[piece[:-1]] + at[word[-1]]
+        if self.plain(word) and not ("<|" in word and any(s in word for s in self.special)):
+            return at[piece] if word.isalpha() else b"".join([at[p] for p in self.parts(piece)])
+        return self.whole([given])[0]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """The library's own ids of whole texts."""
@@ -94,23 +105,25 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, without any begin or end."""
         out: list[bytes | None] = [None] * len(texts)
-        at = self.pieces.__getitem__
+        at = self.pieces
         for i, text in enumerate(texts):
             if not self.by_piece:
                 continue
             if self.dropped:
-                out[i] = b"".join([at(p) for p in text.replace("\n", " ").split(" ") if p])
-            elif text and "  " not in text and text[0] != " " and text[-1] != " " and not BESIDE.search(text):
+                out[i] = b"".join([at[p] for p in text.replace("\n", " ").split(" ") if p])
+            elif text and text[0] != " " and text[-1] != " " and not any(x in text for x in UNEVEN):
                 first, *rest = text.split(" ")
-                out[i] = at(first) + b"".join([at(" " + p) for p in rest])
+                out[i] = self.whole([first])[0] + b"".join([at[p] for p in rest])
         if rest := [i for i, x in enumerate(out) if x is None]:
             for i, ids in zip(rest, self.whole([texts[i] for i in rest])):
                 out[i] = ids
         return out
 
 
-#: A blank beside other white space.
-BESIDE = re.compile(r" [^\S ]|[^\S ] ")
+#: What a text may not have to be cut at blanks: blanks beside other white space, and white space but blanks and line ends.
+UNEVEN = ("  ", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
+#: Signs that are a token of their own behind a word.
+ENDS = (".", ",", ";", ":", "!", "?")
 
 
 @lru_cache(maxsize=2)
