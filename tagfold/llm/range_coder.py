@@ -38,7 +38,7 @@ SEGMENT = 1 << 21
 MAGIC = b"TGF1"
 END_ID = 1
 #: Slots of a block's order-2, order-1 and order-0 tables.
-SLOTS2, SLOTS1, SLOTS0 = 2_048, 1_024, 1_024
+SLOTS2, SLOTS1, SLOTS0 = 1_024, 512, 512
 #: Frequencies of a segment's ids add up to 1 << TOTAL.
 TOTAL = 24
 U64 = np.uint64
@@ -161,8 +161,8 @@ def coded(lanes: Lanes, lengths: np.ndarray, starts: np.ndarray, ids: np.ndarray
     """
     n, steps = len(lengths), int(lengths.max())
     out = np.zeros((n, steps), np.int64) if ids is None else ids
-    id2, sure2 = np.full(n * SLOTS2, -1, np.int32), np.zeros(n * SLOTS2, np.int8)
-    id1, sure1 = np.full(n * SLOTS1, -1, np.int32), np.zeros(n * SLOTS1, np.int8)
+    # a slot holds the id that followed last and, in its lowest three bits, how often it did in a row
+    slot2, slot1 = np.full(n * SLOTS2, -8, np.int32), np.full(n * SLOTS1, -8, np.int32)
     often = np.zeros(n * SLOTS0, np.int8)
     mix2, mix1 = Mixer(n), Mixer(n)
     before, last = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -176,7 +176,8 @@ def coded(lanes: Lanes, lengths: np.ndarray, starts: np.ndarray, ids: np.ndarray
         a, b = before[:active], last[:active]
         at2 = now * SLOTS2 + (((a * 40_503 + b * 30_011) >> 3) & (SLOTS2 - 1))
         at1 = now * SLOTS1 + ((b * 40_503 >> 5) & (SLOTS1 - 1))
-        p2, p1, s2, s1 = id2[at2], id1[at1], sure2[at2], sure1[at1]
+        v2, v1 = slot2[at2], slot1[at1]
+        p2, p1, s2, s1 = v2 >> 3, v1 >> 3, v2 & 7, v1 & 7
         want = out[:active, t] if ids is not None else None
         got = np.empty(active, np.int64)
         # order 2
@@ -205,8 +206,8 @@ def coded(lanes: Lanes, lengths: np.ndarray, starts: np.ndarray, ids: np.ndarray
         if want is None:
             out[:active, t] = got
         # what was seen becomes the next prediction
-        id2[at2], sure2[at2] = got, np.where(p2 == got, np.minimum(s2 + 1, 7), 0)
-        id1[at1], sure1[at1] = got, np.where(p1 == got, np.minimum(s1 + 1, 7), 0)
+        slot2[at2] = np.where(p2 == got, v2 + (s2 < 7), got << 3)
+        slot1[at1] = np.where(p1 == got, v1 + (s1 < 7), got << 3)
         at0 = now * SLOTS0 + (got & (SLOTS0 - 1))
         often[at0] = np.minimum(often[at0] + 1, 15)
         before[:active], last[:active] = b, got
@@ -322,8 +323,8 @@ def read(segments: DataFrame, with_ids: bool = False) -> DataFrame:
                 columns = [pa.array([part.as_py()] * len(ids), pa.int32()), names.values, pa.array(before.as_py() + np.cumsum(sizes) - sizes), pa.array(sizes), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*columns, *[pa.array(ids, pa.binary())] * with_ids], names=schema.names)
 
-    # one number for each part, as many as the write had tasks
+    # one number for each part, as many as the write had tasks: small, and broadcast so that segments are decoded once
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = segments.groupBy("part").agg(F.sum("n_ids").alias("_n")).select(F.col("part").alias("_part"), F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before"))
     rows = segments.select("part", "n_before", "doc_ids", "data").mapInArrow(run, schema)
-    return rows.join(parts, F.col("part") == F.col("_part")).select("doc_id", (F.col("_before") + F.col("_at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
+    return rows.join(F.broadcast(parts), F.col("part") == F.col("_part")).select("doc_id", (F.col("_before") + F.col("_at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
