@@ -51,7 +51,8 @@ def encoded(rows: DataFrame, path: str, version: str) -> DataFrame:
         for b in batches:
             # rows that repeat a document meet in one task
             first = [not (x in seen or seen.add(x)) for x in b.column(0).to_pylist()]
-            b = b.filter(pa.array(first, pa.bool_()))
+            if not all(first):
+                b = b.filter(pa.array(first, pa.bool_()))
             counts = [len(x) // 4 for i in range(0, b.num_rows, CHUNK) for x in enc.encode(b.column(1).slice(i, CHUNK).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([version] * b.num_rows, pa.string()), b.column(0), pa.array(counts, pa.int64())], names=CACHE.names)
 
