@@ -59,10 +59,10 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parque[t]")
 
 
-def windowed_counts(log: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Commands by operation in event-time windows; what comes later than late behind the newest is dropped."""
+def windowed_counts(log: DataFrame, width: str = "1 day") -> DataFrame:
+    """Commands by operation in event-time windows, however late they come: all counts stay as state, windows x operations of them."""
     at = log.withColumn("at", F.timestamp_seconds("ts"))
-    return at.withWatermark("at", late).groupBy(F.window("at", width).alias("w"), "op").agg(F.count("*").alias("num"))
+    return at.groupBy(F.window("at", width).alias("w"), "op").agg(F.count("*").alias("num"))
 
 
 def fan_out(log: DataFrame, paths: list[str], checkpoint: str) -> None:
@@ -80,12 +80,12 @@ def fan_out(log: DataFrame, paths: list[str], checkpoint: str) -> None:
     log.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(send).start().awaitTermination()
 
 
-def counted(log: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
+def counted(log: DataFrame, width: str = "1 day") -> DataFrame:
     """windowed_counts() of a whole stream: day (epoch seconds of the window's start), op, num."""
     spark = log.sparkSession
     base = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
     query = (
-        windowed_counts(log, width, late).writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{base}/checkpoint")
+        windowed_counts(log, width).writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{base}/checkpoint")
         .foreachBatch(lambda df, n: df.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{base}/out/n={n}")).start()
     )
     query.awaitTermination()

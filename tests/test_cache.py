@@ -157,3 +157,16 @@ def test_scripts(spark, tmp_path):
 
     (tmp_path / "s.cfg").write_text("# comment\n\nsave 'a b' \"it's\" 'q\\'s' tag\n  getids\n")
     assert [(r["op"], r["args"]) for r in scripts.commands(spark, str(tmp_path / "s.cfg")).collect()] == [("SAVE", ["a b", "it's", "q's", "tag"]), ("GETIDS", [])]
+
+
+def test_stream_counts_late_files(spark, sf, tmp_path):
+    from tagfold.sources.tables import session_log_of
+
+    events = spark.read.parquet(f"{sf}/events.parquet").orderBy("ts").toPandas()
+    n = len(events)
+    for i in (9, 2, 7, 0, 5, 8, 1, 6, 3, 4):  # a file later than those with newer days
+        spark.createDataFrame(events[i * n // 10 : (i + 1) * n // 10]).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    stream = session_log_of(live.events(spark, str(tmp_path)))
+    want = session_log_of(spark.read.parquet(str(tmp_path / "events.parquet"))).groupBy(F.expr("ts div 86400 * 86400").alias("day"), "op").agg(F.count("*").alias("num"))
+    got = live.counted(stream)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.agg(F.sum("num")).first()[0] == n
