@@ -2,9 +2,9 @@
 
 Documents are encoded and, where longer than a sequence, cut into pieces. How pieces fill sequences depends on their
 lengths only, so the driver plans on the histogram of lengths, at most one number for each length: around the largest
-piece left it enumerates fillings, best ones first, takes the one with the least waste as often as the histogram allows,
-and goes on; branches whose waste can't beat the best plan so far are pruned, and best-fit decreasing gives the first
-such plan. Spark then ranks the pieces of each length and looks up rank by rank which sequence of the plan has them.
+piece left it enumerates fillings, least waste first, and branches: each is taken as often as the histogram allows.
+Branches that can't beat the best plan so far are pruned, and best-fit decreasing gives the first such plan. Spark then
+ranks the pieces of each length and looks up rank by rank which sequence of the plan has them.
 
 Defined cases: a null text is empty and packs as its end id alone; repeated rows are each packed; an empty table gives no
 rows; other columns play no part. A text of any length is encoded whole and cut into as many pieces as it needs.
@@ -12,9 +12,10 @@ rows; other columns play no part. A text of any length is encoded whole and cut
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +28,9 @@ from tagfold.llm.common import running_total, saved
 
 CAPACITY, END_ID = 1_024, 2
 CHUNK = 256
-#: Plans that are tried beside the first, and places that the search for one filling may visit.
+#: Steps that the search for a plan may take in all, branches of a step, and fillings that are looked at for these.
+STEPS, WIDTH, LOOKED_AT = 20_000, 3, 64
+#: Descents for its first plan, and places that one of their fillings may visit.
 DESCENTS, VISITS = 8, 4_000
 #: Pieces of one length that share a bucket, about.
 PER_BUCKET = 4_096
@@ -89,7 +92,7 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return [(tuple(lengths), n) for bins in open_.values() for lengths, n in bins]
 
 
-def fillings(room: int, counts: dict[int, int], sizes: list[int], want: int) -> list[tuple[int, ...]]:
+def quick_fillings(room: int, counts: dict[int, int], sizes: list[int], want: int) -> list[tuple[int, ...]]:
     """Up to want fillings of room by lengths of counts, least waste first; none is dominated by one with fewer, larger pieces.
 
     Pieces are tried from the largest that fits, depth first; a branch ends when even its room filled whole wouldn't beat
@@ -125,15 +128,15 @@ def fillings(room: int, counts: dict[int, int], sizes: list[int], want: int) ->
     return [x for _, x in found] or [()]
 
 
-def complete(counts: dict[int, int], capacity: int, best: Plan, choice: dict[int, int]) -> Plan | None:
-    """One descent of bin completion; choice: at which step to take another filling than the best. None: pruned."""
+def descent(counts: dict[int, int], capacity: int, best: Plan, choice: dict[int, int]) -> Plan | None:
+    """One descent with quick fillings, as a start for the search; choice: at which step to take another filling than the best. None: pruned."""
     left, plan, waste, step = dict(counts), [], 0, 0
     most = waste_of(best, capacity)
     sizes = sorted(left)
     while sizes:
         top = sizes[-1]
         left[top] -= 1
-        options = fillings(capacity - top, left, sizes, 1 + choice.get(step, 0))
+        options = quick_fillings(capacity - top, left, sizes, 1 + choice.get(step, 0))
         left[top] += 1
         lengths = (top, *options[min(choice.get(step, 0), len(options) - 1)])
         n = min(left[s] // lengths.count(s) for s in set(lengths))
@@ -150,21 +153,135 @@ def complete(counts: dict[int, int], capacity: int, best: Plan, choice: dict[int
     return plan
 
 
+def sums(counts: dict[int, int], sizes: list[int], capacity: int, known: list[int], start: int) -> None:
+    """Brings known up to date from start on: bit x of known[i] tells whether pieces of sizes[:i] can fill x."""
+    del known[start + 1 :]
+    can, within = known[-1], (2 << capacity) - 1
+    for s in sizes[start:]:
+        n, k = min(counts[s], capacity // s), 1
+        while n:
+            k = min(k, n)
+            can |= can << (s * k)
+            n, k = n - k, 2 * k
+        can &= within
+        known.append(can)
+
+
+def exact(target: int, counts: dict[int, int], sizes: list[int], known: list[int], upto: int) -> Iterator[tuple[int, ...]]:
+    """The fillings of target by pieces of sizes[:upto], those with the largest pieces first; known leads past dead ends."""
+    if not target:
+        yield ()
+        return
+    for i in range(bisect_right(sizes, target, 0, upto) - 1, -1, -1):
+        if not known[i + 1] >> target & 1:
+            return
+        size = sizes[i]
+        for k in range(min(counts[size], target // size), 0, -1):
+            if known[i] >> (target - k * size) & 1:
+                for rest in exact(target - k * size, counts, sizes, known, i):
+                    yield (size,) * k + rest
+
+
+def fillings(room: int, counts: dict[int, int], sizes: list[int], want: int, known: list[int]) -> list[tuple[int, ...]]:
+    """Up to want fillings of room by pieces of counts, least waste first; to none of them another piece could be added.
+
+    The first is exact: no filling wastes less. Of those that come after it, LOOKED_AT are looked at.
+    """
+    found: list[tuple[int, ...]] = []
+    looked = 0
+    for waste in range(room + 1):
+        if known[-1] >> (room - waste) & 1:
+            for used in exact(room - waste, counts, sizes, known, len(sizes)):
+                looked += 1
+                if all(counts[s] == used.count(s) for s in sizes[: bisect_right(sizes, waste)]):
+                    found.append(used)
+                if len(found) >= want or looked >= LOOKED_AT:
+                    return found
+    return found
+
+
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Sequences that any plan needs: those of pieces that can't share one, and what else doesn't fit beside them (Martello and Toth's L2)."""
+    n, size = [0] * (capacity + 2), [0] * (capacity + 2)  # of pieces of at least a length
+    for s in range(capacity, -1, -1):
+        n[s], size[s] = n[s + 1] + counts.get(s, 0), size[s + 1] + s * counts.get(s, 0)
+    half, most = capacity // 2 + 1, 0
+    for k in range(half):
+        large, middle = n[capacity - k + 1], n[half] - n[min(capacity - k + 1, capacity + 1)]
+        room = middle * capacity - (size[half] - size[capacity - k + 1])
+        most = max(most, large + middle + max(0, math.ceil((size[k] - size[half] - room) / capacity)))
+    return most
+
+
+def search(counts: dict[int, int], capacity: int, best: Plan) -> Plan:
+    """Branch and bound for a plan of fewer sequences than best: every step has a branch for each of its fillings.
+
+    Branches that depart least from the best fillings come first, of these the last ones; one ends when it can't beat the best plan so far even
+    if it wastes nothing more. The search ends at the lower bound, when no branch is left, or after STEPS steps in all.
+    """
+    total = sum(s * n for s, n in counts.items())
+    least, most = lower_bound(counts, capacity), sum(n for _, n in best)
+    todo: list[tuple] = [(0, 0, None)]  # departures, number, branch: (earlier branch, lengths, number of sequences)
+    steps = pushed = 0
+    while todo and most > least and steps < STEPS:
+        departures, _, branch = heapq.heappop(todo)
+        left, used, rest = dict(counts), 0, total
+        for lengths, n in path(branch):
+            for s in lengths:
+                left[s] -= n
+            used, rest = used + n, rest - n * sum(lengths)
+        sizes, known, start = sorted(s for s, n in left.items() if n), [1], 0
+        while sizes and steps < STEPS:
+            steps += 1
+            top = sizes[-1]
+            left[top] -= 1
+            sums(left, sizes, capacity, known, start)
+            options = fillings(capacity - top, left, sizes, WIDTH, known)
+            left[top] += 1
+            following = []
+            for k, filling in enumerate(options):
+                lengths = (top, *filling)
+                n = min(left[s] // lengths.count(s) for s in set(lengths))
+                if used + n + math.ceil((rest - n * sum(lengths)) / capacity) < most:
+                    following.append((departures + k, (branch, lengths, n)))
+            if not following:
+                break
+            for k, other in following[1:]:
+                pushed += 1
+                heapq.heappush(todo, (k, -pushed, other))
+            departures, branch = following[0]
+            _, lengths, n = branch
+            for s in lengths:
+                left[s] -= n
+            used, rest = used + n, rest - n * sum(lengths)
+            start = bisect_left(sizes, min(lengths))
+            sizes = [s for s in sizes if left[s]]
+        if not sizes and used < most:
+            best, most = path(branch), used
+    return best
+
+
+def path(branch: tuple | None) -> Plan:
+    """The steps that lead to a branch, first ones first."""
+    steps = []
+    while branch:
+        branch, lengths, n = branch
+        steps.append((lengths, n))
+    return steps[::-1]
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     """How to fill as few sequences as can be found; counts: pieces of each length from 1 to capacity."""
     counts = {s: n for s, n in counts.items() if n}
-    best = best_fit(counts, capacity)
-    least = math.ceil(sum(s * n for s, n in counts.items()) / capacity)
-    steps = 0
+    whole = counts.pop(capacity, 0)  # these fill a sequence each, whatever becomes of the others
+    best, least, steps = best_fit(counts, capacity), lower_bound(counts, capacity), 0
     for k in range(1 + DESCENTS):
         if sum(n for _, n in best) <= least:
             break
-        choice = {} if k == 0 else {(k * 7) % max(steps, 1): 1 + k % 3}
-        if tried := complete(counts, capacity, best, choice):
+        if tried := descent(counts, capacity, best, {} if k == 0 else {(k * 7) % max(steps, 1): 1 + k % 3}):
             steps = len(tried)
-            if sum(n for _, n in tried) < sum(n for _, n in best):
-                best = tried
-    return best
+            best = min(best, tried, key=lambda x: sum(n for _, n in x))
+    return [((capacity,), whole)] * bool(whole) + search(counts, capacity, best)
 
 
 def lookup(spark, best: Plan, capacity: int = CAPACITY) -> DataFrame:

@@ -350,6 +350,12 @@ def test_completion_beats_best_fit():
     assert sum(n for _, n in packing.plan(counts, 61)) <= 4
 
 
+def test_completion_branches_beside_whole_pieces():
+    counts = {25: 2, 3: 2, 37: 2, 63: 1, 42: 3, 53: 1, 61: 1, 24: 1, 32: 1, 41: 4, 4: 1, 100: 2}
+    assert sum(n for _, n in packing.best_fit(counts, 100)) == 10
+    assert sum(n for _, n in packing.plan(counts, 100)) == 9  # the lower bound
+
+
 def test_packing_of_documents(spark, odd, empty, table):
     for df in (odd, table):
         ids = collections.defaultdict(list)
