@@ -13,8 +13,9 @@ Links have a Jaccard similarity of at least 75 %. A pair at 75 % shares none of
 100,000; other losses have a chance of that order: a signature estimate more than 5 standard deviations off.
 
 Defined cases: a text without words (null, empty) has 0 shingles and links with nothing; with fewer than five words the
-whole sequence is the one shingle; equal texts are one group; a row that repeats a doc_id is judged by its own text, and a
-null doc_id never stands for a group and isn't kept; an empty table gives no rows; other columns play no part.
+whole sequence is the one shingle; equal texts are one group; a row that repeats a doc_id is judged by its own text; a row
+without a doc_id stands for a group only if none of its rows has one (component_id is null then), and is kept where unnamed
+rows are asked for; an empty table gives no rows; other columns play no part. Rows and sets go by a 64-bit hash of doc_id and text.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,26 +114,31 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * same >= PERCENT * (len(a) + len(b) - same)
 
 
+def row_key() -> Column:
+    """The internal key of a row: rows with the same doc_id and text are one, whether doc_id is null or not."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+
+
 SKETCH = [T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.BinaryType()), T.StructField("signature", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_id (names the set), signature and bands of each row; the last three null without words."""
-    schema = T.StructType([docs.schema["doc_id"], *SKETCH])
+    """doc_id, row (its key), n_shingles, set_id (names the set), signature and bands of each row; the last three null without words."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("row", T.LongType()), *SKETCH])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes, names, sigs, keys = [], [], [], []
-            for text in b.column(1):
+            for text in b.column(2):
                 h = shingles(text.as_py())
                 sizes.append(len(h))
                 names.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
                 sig = signature(h) if len(h) else None
                 sigs.append(None if sig is None else sig.tobytes())
                 keys.append(None if sig is None else bands(sig).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", row_key().alias("row"), "text").mapInArrow(run, schema)
 
 
 def stars(keyed: DataFrame) -> DataFrame:
@@ -160,14 +166,14 @@ def estimated(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
 
 def full_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """node and set (sorted 64-bit hashes) of the documents named by ids (node)."""
+    """node and set (sorted 64-bit hashes) of the rows named by ids (node), each once."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
             yield pa.RecordBatch.from_arrays([r.column(0), pa.array([shingles(x.as_py()).tobytes() for x in r.column(1)], pa.binary())], names=["node", "set"])
 
     named = ids.select(F.col("node").alias("_node")).distinct()
-    texts = docs.select("doc_id", "text").join(named.hint("shuffle_hash"), F.col("doc_id") == F.col("_node"), "left_semi")
+    texts = docs.select(row_key().alias("_row"), "text").join(named.hint("shuffle_hash"), F.col("_row") == F.col("_node"), "left_semi").dropDuplicates(["_row"])
     return saved(texts.mapInArrow(sets, "node long, set binary"), "near-sets")
 
 
@@ -218,7 +224,7 @@ def left_out(edges: DataFrame, links: DataFrame, labels: DataFrame, sigs: DataFr
     sizes = member.groupBy("center").agg(F.count("*").alias("_n"), F.sum(F.col("asks").cast("long")).alias("_asks")).where("_asks > 0 and _n > 1")
     sizes = sizes.select("center", F.ceil(F.col("_n") / BLOCK).alias("_blocks"), F.ceil(F.col("_asks") / BLOCK).alias("_ask_blocks"))
     member = saved(member.join(sizes, "center"), "near-asked")
-    full = full_sets(member.select("node"), docs).dropDuplicates(["node"])
+    full = full_sets(member.select("node"), docs)
     rows = member.join(sigs.select("node", "signature", "n_shingles"), "node").join(full, "node")
     part = F.xxhash64("node")
     every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
@@ -245,16 +251,19 @@ def left_out(edges: DataFrame, links: DataFrame, labels: DataFrame, sigs: DataFr
     return asking.groupBy(*(f"q_{k}" for k in keys)).cogroup(asked.groupBy(*keys)).applyInPandas(compare, "a long, b long").distinct()
 
 
-def grouped(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (whether doc_id stands for its component), one row per row of docs."""
+def judged(docs: DataFrame, unnamed: bool) -> DataFrame:
+    """The columns of grouped() after row, each row's key."""
     sketch = saved(sketches(docs), "near-sketches")
-    groups = saved(sketch.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node")), "near-groups")
-    # one node for each set: the smallest document with it
-    nodes = sketch.join(groups.withColumnRenamed("set_id", "_set"), (F.col("set_id") == F.col("_set")) & (F.col("doc_id") == F.col("node")))
+    # of rows the one with the smallest doc_id stands for all, one without only for others without
+    first = lambda doc, row: F.min(F.struct(F.col(doc).isNull().alias("none"), F.col(doc).alias("doc"), F.col(row).alias("row")))
+    groups = sketch.where("set_id is not null").groupBy("set_id").agg(first("doc_id", "row").alias("_first"))
+    groups = saved(groups.select("set_id", F.col("_first.doc").alias("doc"), F.col("_first.row").alias("node")), "near-groups")
+    # one node for each set: the key of the row that stands for it
+    nodes = sketch.join(groups.select("node"), F.col("row") == F.col("node")).dropDuplicates(["node"])
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     edges = saved(stars(keyed), "near-stars")
     member = edges.select("node").union(edges.select(F.col("center").alias("node"))).distinct()
-    sigs = saved(sketch.select(F.col("doc_id").alias("node"), "signature", "n_shingles").where("signature is not null").join(member, "node", "left_semi").dropDuplicates(["node"]), "near-signatures")
+    sigs = saved(sketch.select(F.col("row").alias("node"), "signature", "n_shingles").where("signature is not null").join(member, "node", "left_semi").dropDuplicates(["node"]), "near-signatures")
     pairs = edges.select(F.col("center").alias("a"), F.col("node").alias("b"))
     links = saved(confirmed(estimated(pairs, sigs).where("close").select("a", "b"), docs), "near-links")
     labels = components(links)
@@ -265,20 +274,30 @@ def grouped(docs: DataFrame) -> DataFrame:
     final = labels.join(above.select(F.col("node").alias("component"), F.col("component").alias("_top")), "component", "left").select("node", F.coalesce("_top", "component").alias("component"))
     lone = above.join(labels, "node", "left_anti")
     final = saved(final.unionByName(lone), "near-components")
-    by_set = groups.join(final, "node", "left").select("set_id", F.coalesce("component", "node").alias("_component"))
-    out = sketch.select("doc_id", "n_shingles", "set_id").join(by_set, "set_id", "left")
-    component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("_component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    by_set = groups.join(final, "node", "left").withColumn("_component", F.coalesce("component", "node"))
+    stands = by_set.groupBy("_component").agg(first("doc", "node").alias("_first"))
+    by_set = by_set.select("set_id", "_component").join(stands, "_component").select("set_id", F.col("_first.doc").alias("_doc"), F.col("_first.row").alias("_stands"))
+    out = sketch.select("doc_id", "row", "n_shingles", "set_id").join(by_set, "set_id", "left")
+    alone = F.col("set_id").isNull()
+    return out.select("row", "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("_doc")).alias("component_id"), ((alone | (F.col("row") == F.col("_stands"))) & (F.lit(unnamed) | F.col("doc_id").isNotNull())).alias("kept"))
+
+
+def grouped(docs: DataFrame, unnamed: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept (whether the row stands for its component), one row per row of docs.
+
+    unnamed: whether a row without a doc_id may be kept too, as the queries ask for.
+    """
+    return judged(docs, unnamed).drop("row")
 
 
-def filtered(docs: DataFrame) -> DataFrame:
-    """One document of each group, with all columns of docs: of rows that repeat a doc_id, one as well."""
+def filtered(docs: DataFrame, unnamed: bool = False) -> DataFrame:
+    """The kept row of each group with all columns of docs; of rows that repeat doc_id and text, one. unnamed as in grouped()."""
     names = docs.columns
     own = {c: f"_own{i}" for i, c in enumerate(names)}
-    kept = grouped(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.toDF(*own.values())
-    left = rows.join(kept.hint("shuffle_hash"), F.col(own["doc_id"]) == F.col("_kept"), "left_semi")
-    return left.dropDuplicates([own["doc_id"]]).toDF(*names)
+    kept = judged(docs.select("doc_id", "text"), unnamed).where("kept").select(F.col("row").alias("_kept")).distinct()
+    rows = docs.withColumn("_row", row_key()).toDF(*own.values(), "_row")
+    left = rows.join(kept.hint("shuffle_hash"), F.col("_row") == F.col("_kept"), "left_semi")
+    return left.dropDuplicates(["_row"]).drop("_row").toDF(*names)
 
 
 #: The result of grouped() in DuckDB's SQL: all pairs that share a shingle, and a recursion over their links.

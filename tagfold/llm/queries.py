@@ -25,7 +25,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.grouped(table(spark, sf_dir, "documents"))
+    return near_dedup.grouped(table(spark, sf_dir, "documents"), unnamed=True)
 
 
 def op5_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,6 +199,17 @@ def test_components_cases(spark, odd, empty):
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == sorted({r.doc_id for r in rows if r.kept})
 
 
+def test_rows_without_or_with_repeated_doc_id(spark):
+    r = random.Random(3)
+    a, b, c, d, e = (" ".join("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(60)) for _ in range(5))
+    df = spark.createDataFrame([(None, a), (None, a + " x"), (None, b), (7, c), (7, d), (8, d + " x"), (None, e), (9, e)], "doc_id long, text string")
+    kept = near_dedup.filtered(df, unnamed=True).collect()
+    assert len(kept) == 5 and {x.doc_id for x in kept if x.text in (a, a + " x", b)} == {None}
+    assert sorted((x.doc_id, x.text) for x in kept if x.doc_id) == sorted([(7, c), (7, d), (9, e)])
+    rows = near_dedup.grouped(df).collect()
+    assert len(rows) == 8 and {x.doc_id: x.component_id for x in rows if x.doc_id in (8, 9)} == {8: 7, 9: 9}
+
+
 def test_densified_signatures_estimate():
     rng = np.random.default_rng(1)
     for n in (3, 20, 400, 5000):
