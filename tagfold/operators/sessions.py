@@ -43,6 +43,8 @@ class Session:
                 self.ua, self.lru_seq = max(self.ua, ua), seq
                 if self.num_writes > 0 and ts >= self.expire:
                     self.expire = max(self.expire, ts + L.SESSION_READ_EXTRA[self.ua])
+        elif op != "WRITE":
+            raise ValueError(f"the session fold has no rule for {op}")
         else:
             self.alive, self.ua, self.mtime, self.lru_seq = True, max(self.ua, ua), ts, seq
             if self.ua == L.USER and lifetime is not None and lifetime >= 0 and lifetime != L.INFINITE:

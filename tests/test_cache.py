@@ -170,3 +170,8 @@ def test_stream_counts_late_files(spark, sf, tmp_path):
     want = session_log_of(spark.read.parquet(str(tmp_path / "events.parquet"))).groupBy(F.expr("ts div 86400 * 86400").alias("day"), "op").agg(F.count("*").alias("num"))
     got = live.counted(stream)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.agg(F.sum("num")).first()[0] == n
+
+
+def test_fold_refuses_unknown_commands():
+    with pytest.raises(ValueError, match="GC"):
+        sessions.Session().apply(1, NOW, 3, "GC", None)
