@@ -273,7 +273,6 @@ def path(branch: tuple | None) -> Plan:
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     """How to fill as few sequences as can be found; counts: pieces of each length from 1 to capacity."""
     counts = {s: n for s, n in counts.items() if n}
-    whole = counts.pop(capacity, 0)  # these fill a sequence each, whatever becomes of the others
     best, least, steps = best_fit(counts, capacity), lower_bound(counts, capacity), 0
     for k in range(1 + DESCENTS):
         if sum(n for _, n in best) <= least:
@@ -281,7 +280,8 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
         if tried := descent(counts, capacity, best, {} if k == 0 else {(k * 7) % max(steps, 1): 1 + k % 3}):
             steps = len(tried)
             best = min(best, tried, key=lambda x: sum(n for _, n in x))
-    return [((capacity,), whole)] * bool(whole) + search(counts, capacity, best)
+    whole = counts.pop(capacity, 0)  # these fill a sequence each, whatever becomes of the others
+    return [((capacity,), whole)] * bool(whole) + search(counts, capacity, [x for x in best if x[0] != (capacity,)])
 
 
 def lookup(spark, best: Plan, capacity: int = CAPACITY) -> DataFrame:
