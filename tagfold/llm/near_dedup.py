@@ -6,8 +6,8 @@ to buckets, and each bucket gives star-shaped candidate edges only: from its mos
 buckets with others, as the original among its copies does) to every other. Edges are confirmed on the full sets.
 
 What a star leaves out is made up for: two linked nodes of a bucket that are not both linked with its centre. For each
-centre, members in another component are compared with the centre's other members in blocks, by signature first and then
-on the full sets. Nothing leaves these blocks but one confirmed link for each asking member and component.
+centre, members in another component are compared with the centre's other members in blocks, by signature; a few of the
+closest in each component are confirmed, and only if none of these holds the full sets of the others.
 
 Links have a Jaccard similarity of at least 75 %. A pair at 75 % shares none of the BANDS buckets with a chance below 1 in
 100,000; other losses have a chance of that order: a signature estimate more than 5 standard deviations off.
@@ -41,6 +41,8 @@ BANDS = BINS // ROWS
 LEAST_ESTIMATES = {BINS: 0.55, 40: 0.4}
 #: Nodes of a centre that are compared with as many others at a time.
 BLOCK = 256
+#: Candidates of a node in one component and block that are confirmed first.
+BEST = 4
 #: Attempts of densification before an empty bin takes the next full one.
 ATTEMPTS = 64
 
@@ -191,64 +193,101 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("a", "b", "_sa", "_sb").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node and component (its smallest node) of all nodes of edges (a, b).
 
-    Each round a node takes the smallest label of its neighbours and then the label of that label's node, so that long
-    chains shrink by half; a hot node's messages are pre-aggregated.
+    Each round every root hooks to its smallest neighbouring root, the trees that result are flattened, and edges are
+    contracted to the roots. A root that none hooks to has a smaller neighbour one round later, so two rounds halve the
+    roots of a component at least: rounds grow with the logarithm of its size, whatever its shape and the order of its ids.
     """
-    edges = saved(edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct(), "near-edges")
-    labels = saved(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "near-labels")
-    for _ in range(most_rounds):
-        near = edges.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("_near"))
-        hop = labels.join(near, "node").select("node", "component", F.least("component", "_near").alias("_to"))
-        jump = labels.select(F.col("node").alias("_to"), F.col("component").alias("_then"))
-        new = saved(hop.join(jump, "_to").select("node", F.least("_to", "_then").alias("component"), (F.least("_to", "_then") < F.col("component")).alias("_moved")), "near-labels")
-        labels = new.select("node", "component")
-        if not new.where("_moved").limit(1).count():
-            return labels
-    raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
+    links = saved(edges.select("a", "b").union(edges.select("b", "a")).where("a != b").distinct(), "near-edges")
+    labels = None
+    while links.limit(1).count():
+        roots = saved(flattened(saved(links.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "near-hooks")), "near-roots")
+        at = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"_{x}"))
+        if labels is None:
+            labels = roots.select("node", F.col("root").alias("component"))
+        else:
+            labels = saved(labels.join(at("component"), "component", "left").select("node", F.coalesce("_component", "component").alias("component")), "near-labels")
+        links = saved(links.join(at("a"), "a").join(at("b"), "b").where("_a != _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct(), "near-edges")
+    return labels if labels is not None else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+def flattened(trees: DataFrame) -> DataFrame:
+    """trees (node, root), each root a node or a smaller one's child, with the tree's root in place of the parent: paths halve until none is left."""
+    while True:
+        # only inner nodes lead further
+        up = trees.where("node != root").select(F.col("node").alias("root"), F.col("root").alias("_up"))
+        if not trees.join(up, "root", "left_semi").limit(1).count():
+            return trees
+        trees = saved(trees.join(up, "root", "left").select("node", F.coalesce("_up", "root").alias("root")), "near-hooks")
 
 
 def left_out(edges: DataFrame, links: DataFrame, labels: DataFrame, sigs: DataFrame, docs: DataFrame) -> DataFrame:
     """Linked pairs (a, b) of members of one centre in different components.
 
-    edges: (center, node), links: those that are confirmed. Members that aren't in their centre's component are compared
-    with all members, BLOCK of either at a time; of a member's links into one component one is enough.
+    edges: (center, node), links: those that are confirmed. Members that aren't in their centre's component ask all others,
+    BLOCK of either at a time; of a member's links into one component one is enough. Blocks compare signatures and name the
+    BEST candidates of a member in a component, which are confirmed outside. Where none of these is linked but there are
+    more, blocks with the full sets of just these members and what they ask decide.
     """
     mark = links.select("center", "node", F.lit(True).alias("_linked"))
     of = labels.withColumnRenamed("component", "_c")
     member = edges.join(mark, ["center", "node"], "left").join(of, "node", "left").withColumn("_c", F.coalesce("_c", "node"))
     member = member.join(of.select(F.col("node").alias("center"), F.col("_c").alias("_cc")), "center", "left").withColumn("_cc", F.coalesce("_cc", "center"))
     member = saved(member.select("center", "node", F.col("_c").alias("component"), (F.col("_linked").isNull() & (F.col("_c") != F.col("_cc"))).alias("asks")), "near-members")
+    light = sigs.select("node", "signature", "n_shingles")
+    near = saved(compared(asked(member).join(light, "node"), with_sets=False), "near-candidates")
+    found = saved(confirmed(near.where("b is not null").select("a", "b").distinct(), docs), "near-found")
+    settled = found.join(near.select("a", "b", "component"), ["a", "b"]).select("a", "component").distinct()
+    open_ = saved(near.where("b is null").select("a", "component").distinct().join(settled, ["a", "component"], "left_anti"), "near-open")
+    if not open_.limit(1).count():
+        return found
+    again = member.join(open_.select(F.col("a").alias("node"), F.lit(True).alias("_open")).distinct(), "node", "left").select("center", "node", "component", (F.col("asks") & F.col("_open").isNotNull()).alias("asks"))
+    rows = saved(asked(again), "near-asked")
+    rest = compared(rows.join(light, "node").join(full_sets(rows.select("node"), docs), "node"), with_sets=True)
+    return found.union(rest.select("a", "b")).distinct()
+
+
+def asked(member: DataFrame) -> DataFrame:
+    """member with _blocks and _ask_blocks (of BLOCK rows each) for the centres where any row asks."""
     sizes = member.groupBy("center").agg(F.count("*").alias("_n"), F.sum(F.col("asks").cast("long")).alias("_asks")).where("_asks > 0 and _n > 1")
-    sizes = sizes.select("center", F.ceil(F.col("_n") / BLOCK).alias("_blocks"), F.ceil(F.col("_asks") / BLOCK).alias("_ask_blocks"))
-    member = saved(member.join(sizes, "center"), "near-asked")
-    full = full_sets(member.select("node"), docs)
-    rows = member.join(sigs.select("node", "signature", "n_shingles"), "node").join(full, "node")
+    return member.join(sizes.select("center", F.ceil(F.col("_n") / BLOCK).alias("_blocks"), F.ceil(F.col("_asks") / BLOCK).alias("_ask_blocks")), "center")
+
+
+def compared(rows: DataFrame, with_sets: bool) -> DataFrame:
+    """a (an asking node), b and component (b's): candidates, and a row with null b where there are more; with_sets: links only."""
+    own = ["node", "component", "signature", "n_shingles", *["set"] * with_sets]
     part = F.xxhash64("node")
     every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    asked = rows.select("center", F.pmod(part, F.col("_blocks")).alias("x"), F.explode(every("_ask_blocks")).alias("y"), "node", "component", "signature", "n_shingles", "set", "asks")
-    asking = rows.where("asks").select("center", F.explode(every("_blocks")).alias("x"), F.pmod(part, F.col("_ask_blocks")).alias("y"), "node", "component", "signature", "n_shingles", "set")
+    others = rows.select("center", F.pmod(part, F.col("_blocks")).alias("x"), F.explode(every("_ask_blocks")).alias("y"), *own, "asks")
+    asking = rows.where("asks").select("center", F.explode(every("_blocks")).alias("x"), F.pmod(part, F.col("_ask_blocks")).alias("y"), *own)
     asking = asking.select(*(F.col(c).alias(f"q_{c}") for c in asking.columns))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": pd.Series([], "int64"), "b": pd.Series([], "int64")})
-        a, b = (np.frombuffer(b"".join(x), np.uint32).reshape(-1, BINS) for x in (left["q_signature"], right["signature"]))
-        node, comp, size, asks = right["node"].to_numpy(), right["component"].to_numpy(), right["n_shingles"].to_numpy(), right["asks"].to_numpy(bool)
-        sets = [np.frombuffer(x, np.uint64) for x in right["set"]]
         out = []
-        for sig, n, c, few, own in zip(a, left["q_node"], left["q_component"], left["q_n_shingles"], left["q_set"]):
-            own, done = np.frombuffer(own, np.uint64), set()
-            for i in np.flatnonzero((comp != c) & ~(asks & (node < n)) & may_link((b == sig).mean(1), np.minimum(size, few))):
-                if comp[i] not in done and linked(own, sets[i]):
-                    done.add(comp[i])
-                    out.append((n, node[i]))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        if len(left) and len(right):
+            a, b = (np.frombuffer(b"".join(x), np.uint32).reshape(-1, BINS) for x in (left["q_signature"], right["signature"]))
+            node, comp, size, asks = right["node"].to_numpy(), right["component"].to_numpy(), right["n_shingles"].to_numpy(), right["asks"].to_numpy(bool)
+            for i, (sig, n, c, few) in enumerate(zip(a, left["q_node"], left["q_component"], left["q_n_shingles"])):
+                agree = (b == sig).mean(1)
+                near = np.flatnonzero((comp != c) & ~(asks & (node < n)) & may_link(agree, np.minimum(size, few)) & (100 * np.minimum(size, few) >= PERCENT * np.maximum(size, few)))
+                near = near[np.argsort(-agree[near], kind="stable")]
+                seen: dict[int, int] = {}
+                for j in near:
+                    k = seen.get(comp[j], 0)
+                    if with_sets:
+                        if not k and linked(np.frombuffer(left["q_set"].iat[i], np.uint64), np.frombuffer(right["set"].iat[j], np.uint64)):
+                            seen[comp[j]] = 1
+                            out.append((n, node[j], comp[j]))
+                    elif k <= BEST:
+                        seen[comp[j]] = k + 1
+                        out.append((n, node[j] if k < BEST else None, comp[j]))
+        found = pd.DataFrame(out, columns=["a", "b", "component"])
+        return found.astype({"a": "int64", "b": "Int64", "component": "int64"})
 
     keys = ["center", "x", "y"]
-    return asking.groupBy(*(f"q_{k}" for k in keys)).cogroup(asked.groupBy(*keys)).applyInPandas(compare, "a long, b long").distinct()
+    return asking.groupBy(*(f"q_{k}" for k in keys)).cogroup(others.groupBy(*keys)).applyInPandas(compare, "a long, b long, component long")
 
 
 def judged(docs: DataFrame, unnamed: bool) -> DataFrame:

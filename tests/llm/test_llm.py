@@ -225,6 +225,34 @@ def test_long_chain_of_links(spark):
     assert {r.component for r in near_dedup.components(edges).collect()} == {0}
 
 
+def test_components_of_any_shape(spark):
+    r = random.Random(8)
+    ids = r.sample(range(10**6), 2600)
+    chain, star, tree = ids[:2000], ids[2000:2200], ids[2200:]
+    edges = [*zip(chain, chain[1:]), *((max(star), x) for x in star if x != max(star)), *((x, tree[r.randrange(i)]) for i, x in enumerate(tree) if i), (5, 5)]
+    got = {x.node: x.component for x in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: min(part) for part in (chain, star, tree) for x in part}
+    assert near_dedup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_chain_of_documents_in_any_order(spark):
+    # each document is near the ones before and after it only
+    r = random.Random(4)
+    words_ = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(8 * 400 + 60)]
+    texts = [" ".join(words_[8 * i : 8 * i + 60]) for i in range(400)]
+    ids = r.sample(range(10**5), len(texts))
+    got = near_dedup.grouped(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")).collect()
+    want = brute_components(list(zip(ids, texts)))
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want and len({c for _, c in want.values()}) == 1
+
+
+def test_links_beyond_the_first_candidates(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BEST", 0)  # all by full sets
+    texts = near_texts(7)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.grouped(docs_of(spark, texts)).collect()}
+    assert got == brute_components(list(enumerate(texts)))
+
+
 # --- 5 ---
 def naive_counts(text):
     w, t = words(text), text or ""
