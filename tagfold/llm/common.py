@@ -54,6 +54,29 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a group from which on it counts as hot, and the parts that it is dealt to.
+HOT, SALTS = 4_096, 64
+
+
+def joined_to_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, salt: Column) -> DataFrame:
+    """rows with the columns of their group (an inner join on keys; null keys are equal), but that a hot group's rows spread.
+
+    groups has a row for each key and, as size, the number of rows that have it. Rows find hot groups by key and a salt of
+    their own; the others then meet by key alone, with what was found already out of the way.
+    """
+    more = [c for c in groups.columns if c not in keys]
+    same = lambda n: [F.col(k).eqNullSafe(F.col(f"_g{n}_{i}")) for i, k in enumerate(keys)]
+    named = lambda n, df: df.select(*(F.col(k).alias(f"_g{n}_{i}") for i, k in enumerate(keys)), F.struct(*more).alias(f"_f{n}"))
+    hot = named(0, groups.where(F.col(size) > HOT)).withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    cold = named(1, groups.where(F.col(size) <= HOT))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
+    first = salted.join(hot, [*same(0), F.col("_salt") == F.col("_at")], "left")
+    # a row that is done looks under a key of its own, so that it doesn't crowd the hot group's
+    left = F.when(F.col("_f0").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(salt).bitwiseOR(F.lit(1).cast("long")))
+    both = first.withColumn("_left", left).join(cold.withColumn("_none", F.lit(0).cast("long")), [*same(1), F.col("_left") == F.col("_none")], "left")
+    found = both.withColumn("_f", F.coalesce("_f0", "_f1")).where("_f is not null")
+    return found.select(*rows.columns, *(F.col(f"_f.{c}").alias(c) for c in more))
+
 
 
 def running_total(df: DataFrame, keys: list[str], bucket: str, order: list[Column], value: str, out: str) -> DataFrame:

@@ -331,6 +331,38 @@ def test_archives_and_transactions(spark):
     digests = {r.page_id: r.payload_digest for r in warc.captures(spark, path).collect()}
     assert digests[5] == base64.b32encode(hashlib.sha1(("é" * 20000).encode()).digest()).decode()
     assert warc.captures(spark, warc.write(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
+    ids = lambda x: sorted((r.warc_type, r.record_id, r.refers_to) for r in x.collect())
+    again = warc.write(spark.createDataFrame(page[::-1], "page_id long, url string, html string").repartition(3))
+    assert ids(found) == ids(warc.read(spark, again)), "reruns write the same records"
+    named = {r.record_id: r for r in found.collect()}
+    assert all(named[r.refers_to].warc_type == "response" for r in named.values() if r.warc_type == "revisit") and len(named) == 3 * len(page)
+
+
+def test_each_record_is_a_member_of_its_own(spark, tmp_path):
+    import gzip
+
+    page = spark.createDataFrame([(1, "u", "a" * 3_000_000, 0), (2, "v", "b", 1)], "page_id long, url string, html string, digest int")
+    path = warc.write(page, str(tmp_path / "w"))
+    data = b"".join(open(os.path.join(path, f), "rb").read() for f in sorted(os.listdir(path)) if f.startswith("part-"))
+    starts = [m.start() for m in re.finditer(re.escape(gzip.compress(b"", mtime=0)), data)]
+    assert data.count(b"\x1f\x8b\x08") == 12 and len(starts) == 6
+    assert sorted(gzip.decompress(data[a:b])[:8] for a, b in zip([0, *(s + 20 for s in starts)], starts)) == [b"WARC/1.1"] * 6
+    assert sorted(r.payload_bytes for r in warc.captures(spark, path).collect()) == [1, 3_000_000]
+    whole = b"".join(warc.plain(data))
+    assert whole == gzip.decompress(data)
+    for broken in (data[: len(data) // 2], data[:300] + bytes([data[300] ^ 1]) + data[301:]):
+        with pytest.raises((ValueError, zlib.error)):
+            [warc._row(h, x, False) for h, x in warc.parse(warc.plain(broken))]
+
+
+def test_hot_groups_join_as_others(spark, monkeypatch):
+    from tagfold.llm import common
+
+    monkeypatch.setattr(common, "HOT", 5)
+    rows = spark.createDataFrame([(i, None if i % 3 == 0 else "h" if i % 3 == 1 else f"k{i}") for i in range(60)], "i long, k string")
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("least"))
+    got = common.joined_to_groups(rows, groups.where("k is null or k != 'k2'"), ["k"], "n", F.col("i")).collect()
+    assert sorted((r.i, r.k, r.least) for r in got) == sorted((i, None, 0) if i % 3 == 0 else (i, "h", 1) if i % 3 == 1 else (i, f"k{i}", i) for i in range(60) if i != 2)
 
 
 # --- 8 ---
