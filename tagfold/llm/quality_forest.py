@@ -1,19 +1,22 @@
-"""Quality rules with an isolation forest over their statistics.
-
-Two fixed rules reject short and repetitive texts (base_failed). Further rules hold each statistic of a text against the
-range that it has in texts labelled good; what exceeds that range, in ranges, is the rule's statistic. A forest of random
-splits over these gives each document's mean path length: rows that few splits set apart are anomalous. The threshold on
-that score is calibrated from labelled rows. Ranges, forest and threshold are fitted on a bounded sample (POOL rows of
-all documents, LABELLED rows with a label, both chosen by a hash of doc_id); every document is counted and scored.
-
-Defined cases: a null or empty text has no words and fails the base rules; without a labelled row of each class the
-threshold is infinite, so only the base rules reject; repeated rows are each judged; an empty table gives no rows.
+"""Quality rules with isolation forests over their statistics.
+
+Two fixed rules reject short and repetitive texts (base_failed). Every other rule (RULES) looks at one or more statistics
+of a text: a forest of random splits over them gives each document's mean path length, and rows that few splits set apart
+are anomalous. A rule's threshold on that score is calibrated from labelled rows: rules are taken in the order of how many
+rows labelled bad they find that no earlier one does, each with the score from which on it finds most while it loses
+at most MOST_GOOD_LOST of the good ones; a rule that finds too few stays out. A document goes if any rule's score reaches
+its threshold. Statistics, scores and thresholds cover all rows; only the trees grow on a sample, POOL rows at most.
+
+Defined cases: a null or empty text has no words and fails the base rules; without a labelled row of each class no rule has
+a threshold, so only the base rules reject; repeated rows are each judged, and labelled if their doc_id is; a null doc_id
+has no label; a text of any length is counted whole; ties of a score fall on the same side; an empty table gives no rows;
+extra columns of any name are left alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -22,29 +25,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagfold.llm import text_stats
+from tagfold.llm.common import saved
 
-#: Most rows, about, that the forest is fitted on, and most labelled rows that calibrate it.
-POOL, LABELLED = 8_192, 16_384
-TREES, PER_TREE = 128, 256
+#: Most rows that the trees grow on: those with the smallest hash of doc_id and counts.
+POOL = 8_192
+TREES, PER_TREE = 48, 256
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Greatest share of calibration rows labelled good that the threshold may reject.
-MOST_GOOD_LOST = 0.002
-#: Share of good rows that may lie beyond either end of a statistic's range; how far beyond it, in ranges, an excess starts,
-#: so that the outermost good rows have none; and the most ranges that it counts.
-TAIL, MARGIN, MOST_EXCESS = 0.0003, 0.5, 10.0
-
-
-@dataclass
-class Limits:
-    """The range of each feature in good texts."""
-
-    low: np.ndarray
-    high: np.ndarray
-
-    def excess(self, features: np.ndarray) -> np.ndarray:
-        """By how many ranges each feature lies outside its range and margin, at most MOST_EXCESS."""
-        width = np.maximum(self.high - self.low, 1e-3)
-        return np.clip(np.maximum(features - self.high, self.low - features) / width - MARGIN, 0, MOST_EXCESS)
+#: Greatest share of rows labelled good that a rule may reject, and least share of those labelled bad that it must find anew.
+MOST_GOOD_LOST, LEAST_FOUND = 0.002, 0.05
+#: Scores are whole numbers from 0 to this.
+TOP = 4_096
+#: The statistics of each rule.
+RULES = {
+    "symbols": ("symbol_rate",),
+    "lines": ("dup_line_rate",),
+    "repeats": ("repeat_rate",),
+    "words": ("mean_word", "unique_rate"),
+    "case": ("upper_rate", "shout_rate"),
+    "digits": ("digit_rate",),
+    "marks": ("mark_rate",),
+    "all": tuple(text_stats.FEATURES),
+}
 
 
 @dataclass
@@ -106,57 +107,79 @@ def scores(forest: Forest, x: np.ndarray) -> np.ndarray:
     return 2.0 ** -(total / len(forest.length) / forest.norm)
 
 
-def threshold(score: np.ndarray, good: np.ndarray, most_good_lost: float = MOST_GOOD_LOST) -> float:
-    """The score from which on documents go: most bad rows found while at most the given share of good ones is lost."""
-    if not good.any() or good.all():
-        return float("inf")
-    cuts = np.unique(score)
-    lost = 1 - np.searchsorted(np.sort(score[good]), cuts) / good.sum()
-    found = 1 - np.searchsorted(np.sort(score[~good]), cuts) / (~good).sum()
-    fine = lost <= most_good_lost
-    if not fine.any() or found[fine].max() <= 0:
-        return float("inf")
-    best = cuts[fine][np.argmax(found[fine] - lost[fine])]
-    below = score[score < best]
-    return float((best + below.max()) / 2) if len(below) else float(best)
-
-
-def sample(docs: DataFrame, labels: DataFrame, pool: int, labelled: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of about pool hashed documents, and quality (-1: none) of each; labelled ones beside them up to labelled."""
-    share = min(1.0, pool / max(docs.count(), 1))
-    share_l = min(1.0, labelled / max(labels.count(), 1))
-    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1 << 30))
-    few = labels.where(place < F.lit(int(share_l * (1 << 30)))).groupBy("doc_id").agg(F.max("quality").cast("int").alias("_quality")).where("_quality is not null")
-    # few is bounded by the parameter labelled, so it may go to every task
-    chosen = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id", "left").where(F.col("_quality").isNotNull() | (place < F.lit(int(share * (1 << 30)))))
-    got = text_stats.with_counts(chosen, ["doc_id", "_quality"]).orderBy("doc_id").toPandas()
-    return got[list(text_stats.COUNTS)].to_numpy(np.int64).reshape(len(got), len(text_stats.COUNTS)), got["_quality"].fillna(-1).to_numpy(int)
+def threshold(score: np.ndarray, good: np.ndarray, bad: np.ndarray, all_good: int, most_good_lost: float = MOST_GOOD_LOST) -> tuple[int, int]:
+    """The score from which on documents go and the bad rows that it finds, given numbers of good and bad rows by score.
+
+    The most bad rows are found while at most the given share of all_good is lost; of equal cuts the highest counts.
+    """
+    order = np.argsort(-score, kind="stable")
+    score, lost, found = score[order], np.cumsum(good[order]), np.cumsum(bad[order])
+    fine = np.flatnonzero((lost <= most_good_lost * all_good) & (bad[order] > 0))
+    if not len(fine):
+        return TOP + 1, 0
+    best = fine[-1]
+    # halfway to the next score below, so that what is a little less strange than these goes too
+    below = score[best + 1] if best + 1 < len(score) else score[best] - 1
+    return int(score[best] + below + 1) // 2, int(found[best])
 
 
 @dataclass
 class Model:
-    """All that is fitted: documents with an anomaly of cut or more go."""
+    """A forest for each rule, and the thresholds of the rules that have one."""
 
-    limits: Limits
-    forest: Forest
-    cut: float
+    forests: dict[str, Forest] = field(default_factory=dict)
+    cuts: dict[str, int] = field(default_factory=dict)
+
+    def rule_scores(self, counts: np.ndarray, rules: list[str]) -> np.ndarray:
+        """Whole-number scores, a column for each of rules."""
+        x = text_stats.features(counts)
+        return np.stack([np.round(TOP * scores(self.forests[r], x[:, of(r)])).astype(int) for r in rules], 1) if rules else np.zeros((len(counts), 0), int)
 
     def anomaly(self, counts: np.ndarray) -> np.ndarray:
-        return scores(self.forest, self.limits.excess(text_stats.features(counts)))
+        """The greatest share of a rule's threshold that a row reaches: 1 or more is anomalous."""
+        rules = list(self.cuts)
+        return (self.rule_scores(counts, rules) / np.array([self.cuts[r] for r in rules])).max(1, initial=0.0) if rules else np.zeros(len(counts))
+
+
+def of(rule: str) -> list[int]:
+    """Indices of a rule's statistics among the features."""
+    return [list(text_stats.FEATURES).index(f) for f in RULES[rule]]
+
 
+def grown(counts: np.ndarray) -> Model:
+    """The forests of all rules on rows of counts; base-failed rows take no part, since they go anyway."""
+    x = text_stats.features(counts[~failed(counts)])
+    return Model({r: fit(x[:, of(r)]) for r in RULES} if len(x) >= 2 else {})
 
-def fit_model(counts: np.ndarray, quality: np.ndarray) -> Model | None:
-    """counts: a row of text_stats.COUNTS each; quality: 1, 0 or -1 (no label). Base-failed rows take no part; they go anyway."""
-    use = ~failed(counts)
-    x, quality = text_stats.features(counts[use]), quality[use]
-    if len(x) < 2:
-        return None
-    normal = x[quality == 1] if (quality == 1).any() else x
-    limits = Limits(*np.quantile(normal, [TAIL, 1 - TAIL], axis=0))
-    excess = limits.excess(x)
-    forest = fit(excess)
-    known = quality >= 0
-    return Model(limits, forest, threshold(scores(forest, excess[known]), quality[known] == 1))
+
+def fit_model(counted: DataFrame, labels: DataFrame, pool: int = POOL) -> Model:
+    """counted: doc_id and text_stats.COUNTS of all rows, saved."""
+    names = list(text_stats.COUNTS)
+    got = counted.select(*names).orderBy(F.xxhash64("doc_id", *names), *names).limit(pool).toPandas()
+    model = grown(got.to_numpy(np.int64).reshape(len(got), len(names)))
+    if not model.forests:
+        return model
+    rules = list(RULES)
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("_quality"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.stack([c.to_numpy() for c in b.columns[1:]], 1) if b.num_rows else np.zeros((0, len(names)), np.int64)
+            use = ~failed(x)
+            found = model.rule_scores(x[use], rules)
+            yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[use] > 0), pa.array(list(found), pa.list_(pa.int32()))], names=["good", "scores"])
+
+    labelled = saved(counted.join(known, "doc_id").select("_quality", *names).mapInArrow(score, "good boolean, scores array<int>"), "quality-scores")
+    sizes = {r["good"]: r["n"] for r in labelled.groupBy("good").agg(F.count("*").alias("n")).collect()}
+    while len(sizes) == 2 and len(model.cuts) < len(rules):
+        caught = F.exists(F.array(*(F.col("scores")[rules.index(r)] >= c for r, c in model.cuts.items())), lambda x: x) if model.cuts else F.lit(False)
+        # one row for each rule and score, whatever the number of labels
+        by = labelled.where(~caught).select("good", F.posexplode("scores").alias("rule", "score")).groupBy("rule", "score").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).toPandas()
+        best = max(((found, -i, cut) for i, r in enumerate(rules) if r not in model.cuts for h in [by[by.rule == i]] if len(h) for cut, found in [threshold(h.score.to_numpy(), h.good.to_numpy(), h.bad.to_numpy(), sizes[True])]), default=(0, 0, 0))
+        if best[0] < max(1, LEAST_FOUND * sizes[False]):
+            break
+        model.cuts[rules[-best[1]]] = best[2]
+    return model
 
 
 def failed(x: np.ndarray) -> np.ndarray:
@@ -164,31 +187,34 @@ def failed(x: np.ndarray) -> np.ndarray:
     return (n < MIN_WORDS) | (100 * again > MAX_REPEAT_PERCENT * n)
 
 
-def kept_by(model: Model | None, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def kept_by(model: Model, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """base_failed, anomaly and kept of rows of counts."""
-    base = failed(counts)
-    odd = model.anomaly(counts) if model and len(counts) else np.zeros(len(counts))
-    return base, odd, ~base & (odd < (model.cut if model else np.inf))
+    base, odd = failed(counts), model.anomaly(counts)
+    return base, odd, ~base & (odd < 1)
+
 
+def judge(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, pool: int = POOL) -> DataFrame:
+    """docs' columns keep (default doc_id), the base counts, base_failed, anomaly (double) and kept, one row per row of docs.
 
-def judge(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, pool: int = POOL, labelled: int = LABELLED) -> DataFrame:
-    """docs' columns keep (default doc_id), the base counts, base_failed, anomaly (double) and kept, one row per row of docs."""
-    keep = keep or ["doc_id"]
-    model = fit_model(*sample(docs, labels, pool, labelled))
-    shown = text_stats.COUNTS[:5]
+    Texts are counted once; keep has no name of text_stats.COUNTS.
+    """
+    keep = list(dict.fromkeys([*(keep or ["doc_id"]), "doc_id"]))
+    counted = saved(text_stats.with_counts(docs, keep), "quality-counts")
+    model = fit_model(counted, labels, pool)
+    shown, n = text_stats.COUNTS[:5], len(text_stats.COUNTS)
     schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(c, T.LongType()) for c in shown), T.StructField("base_failed", T.BooleanType()), T.StructField("anomaly", T.DoubleType()), T.StructField("kept", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = text_stats.counted(b.column(len(keep)))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array(x[:, i]) for i in range(len(shown))), *map(pa.array, kept_by(model, x))], names=schema.names)
+            x = np.stack([c.to_numpy() for c in b.columns[-n:]], 1)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep) + len(shown)], *map(pa.array, kept_by(model, x))], names=schema.names)
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return counted.mapInArrow(run, schema)
 
 
 def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are kept, with all their columns, whatever these are called."""
-    model = fit_model(*sample(docs, labels, POOL, LABELLED))
+    model = fit_model(saved(text_stats.with_counts(docs.select("doc_id", "text"), ["doc_id"]), "quality-counts"), labels)
 
     @F.arrow_udf("boolean")
     def kept(text: pa.Array) -> pa.Array:
