@@ -1,31 +1,38 @@
 """Approximate nearest neighbours by a permutation index.
 
-PIVOTS vectors, a bounded sample of the table, stand for the space. Each vector is represented by its PREFIX nearest
-pivots in order; blocks of vectors post these in an inverted file for each pivot. A query walks the files of its own
-nearest pivots, which gives the footrule distance between its order and that of every posted vector; the nearest SHARE
-of a block by footrule is reranked by Euclidean distance in double precision, and the best of all blocks are kept.
+PIVOTS distinct vectors, a bounded sample of the table, stand for the space. Each vector is represented by its PREFIX
+nearest pivots in order and posted in the inverted file of each: a row (pivot, vec_id, place). A query looks up the files
+of its own nearest pivots by a join on the pivot; what each shared pivot takes off the footrule distance adds up for each
+pair of a query and a vector. Pairs within the query's cutoff are reranked by Euclidean distance in double precision. The
+cutoff is the distance within which a share of the pivots themselves lies, so it needs no ranking of all that was found.
 
-The index is fitted on the pivots alone; every row is posted. Blocks are dealt by a hash of vec_id, so copies of one
-vector spread; queries go to every block in chunks, and no task holds more than a block and a chunk.
+The index is fitted on the pivots alone; every row is posted. The file of a pivot that many vectors are near is dealt to
+blocks of about PER_BLOCK rows, and queries look into each of them: the sizes of files, PIVOTS numbers at most, decide.
+Nothing is capped: ties at the cutoff are all reranked.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another
 length than most have (of equally frequent lengths the shorter one); of rows that repeat a vec_id one counts, the one with
-the smallest vector; ties go to the smaller vec_id; fewer candidates than k are all returned; an empty table gives no rows.
+the smallest vector; ties go to the smaller vec_id; fewer candidates than k are all returned; an empty table gives no rows;
+vectors of any length are used whole; other columns play no part.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-PIVOTS, PREFIX = 256, 128
-#: Share of a block that is reranked, and least number of its vectors.
-SHARE, LEAST = 0.3, 256
-BLOCK, CHUNK = 4_096, 4_096
-FOUND = "query_id long, vec_id long, score double"
+from tagfold.llm.common import saved
+
+PIVOTS, PREFIX = 2_048, 32
+#: Share of the pivots that a query's cutoff takes in.
+SHARE = 0.25
+#: Rows of a block of a pivot's file, about; vectors that are ordered at a time.
+PER_BLOCK, CHUNK = 1 << 16, 1_024
 
 
 def valid(table: DataFrame) -> DataFrame:
@@ -36,75 +43,75 @@ def valid(table: DataFrame) -> DataFrame:
     return rows.where(F.size("v") == (size["n"] if size else 0))
 
 
-def distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
-    return (x * x).sum(1)[:, None] - 2 * x @ p.T + (p * p).sum(1)
+def chosen(rows: DataFrame, pivots: int, seed: int) -> np.ndarray:
+    """Up to pivots distinct vectors, of the 2 * pivots rows with the smallest hashes."""
+    few = [r["v"] for r in rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(2 * pivots).collect()]
+    return np.array(list(dict.fromkeys(map(tuple, few)))[:pivots], float)
 
 
-def orders(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+def orders(x: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX) -> np.ndarray:
     """The nearest pivots of each row of x, nearest first; ties to the earlier pivot."""
-    return np.argsort(distances(x, pivots), axis=1, kind="stable")[:, :PREFIX]
+    far = (pivots * pivots).sum(1) - 2 * x @ pivots.T
+    if prefix < len(pivots):
+        # all that are as near as the last one of the prefix, and of these the first in order
+        limit = np.partition(far, prefix - 1, axis=1)[:, prefix - 1 : prefix]
+        far = np.where(far <= limit, far, np.inf)
+    return np.argsort(far, axis=1, kind="stable")[:, :prefix]
+
 
+def gain(i, j, n: int):
+    """What a pivot at places i and j of two prefixes of n takes off their footrule distance, n * (n + 1) if they share none.
 
-class Postings:
-    """The inverted files of a block: for each pivot the rows that have it among their nearest, and at which place."""
+    A pivot that a prefix lacks stands right behind its last one. For numbers, arrays and columns.
+    """
+    return 2 * n - i - j - abs(i - j) if not isinstance(i, Column) else 2 * n - i - j - F.abs(i - j)
 
-    def __init__(self, order: np.ndarray, pivots: int):
-        self.rows, self.length = len(order), order.shape[1]
-        flat = order.ravel()
-        by_pivot = np.argsort(flat, kind="stable")
-        self.starts = np.searchsorted(flat[by_pivot], np.arange(pivots + 1))
-        self.row, self.place = np.divmod(by_pivot, self.length)
 
-    def footrule(self, order: np.ndarray) -> np.ndarray:
-        """Footrule distance of a query's order to all rows; a pivot that one side lacks stands right behind its last one."""
-        n = self.length
-        out = np.full(self.rows, n * (n + 1), np.int64)
-        for i, p in enumerate(order):
-            rows, place = (a[self.starts[p] : self.starts[p + 1]] for a in (self.row, self.place))
-            out[rows] -= 2 * n - i - place - np.abs(i - place)
-        return out
+def footrules(order: np.ndarray, others: np.ndarray, pivots: int) -> np.ndarray:
+    """Footrule distances of each row of order to each of others, both of the same length."""
+    n = order.shape[1]
+    place = np.full((len(others), pivots), n)
+    np.put_along_axis(place, others, np.arange(n)[None].repeat(len(others), 0), 1)
+    out = np.full((len(order), len(others)), n * (n + 1))
+    for i in range(n):
+        at = place[:, order[:, i]].T
+        out -= np.where(at < n, gain(i, at, n), 0)
+    return out
 
 
-def search(table: DataFrame, is_query: Column, k: int = 10, share: float = SHARE) -> DataFrame:
+def search(table: DataFrame, is_query: Column, k: int = 10, share: float = SHARE, pivots: int = PIVOTS, prefix: int = PREFIX, seed: int = 5) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k nearest of each query among all other rows of table (vec_id, embedding)."""
-    rows = valid(table)
-    n = rows.count()
-    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    pivots = np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(PIVOTS).collect()], float)
-    blocks, chunks = max(1, -(-n // BLOCK)), max(1, -(-queries.count() // CHUNK))
-    every = lambda x: F.explode(F.sequence(F.lit(0), F.lit(x - 1)))
-    posted = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), every(chunks).alias("chunk"), "vec_id", "v")
-    asked = queries.select(every(blocks).alias("q_block"), F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(chunks)).cast("int").alias("q_chunk"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-
-    def best(block: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
-        ids, x, q_ids = block["vec_id"].to_numpy(), block["v"], query["query_id"].to_numpy()
-        if not len(ids) or not len(q_ids):
-            return pd.DataFrame({"query_id": pd.Series([], "int64"), "vec_id": pd.Series([], "int64"), "score": pd.Series([], "float64")})
-        x = np.stack(x.to_numpy()).astype(float)
-        first = np.lexsort((*x.T[::-1], ids))  # by vec_id, then by vector: of repeated ids the first stays
-        first = first[np.r_[True, ids[first][1:] != ids[first][:-1]]]
-        ids, x = ids[first], x[first]
-        q = np.stack(query["q"].to_numpy()).astype(float)
-        files = Postings(orders(x, pivots), len(pivots))
-        few = min(len(ids), max(LEAST, int(np.ceil(share * len(ids)))) + 1)
-        out = []
-        for q_id, v, order in zip(q_ids, q, orders(q, pivots)):
-            near = files.footrule(order)
-            if few < len(ids):  # ties of the footrule go to smaller ids: rows are in that order
-                limit = np.partition(near, few - 1)[few - 1]
-                inside, edge = np.flatnonzero(near < limit), np.flatnonzero(near == limit)
-                chosen = np.r_[inside, edge[: few - len(inside)]]
-            else:
-                chosen = np.arange(len(ids))
-            chosen = chosen[ids[chosen] != q_id]
-            score = np.sqrt(((x[chosen] - v) ** 2).sum(1))
-            top = np.lexsort((ids[chosen], score))[:k]
-            out.append(pd.DataFrame({"query_id": q_id, "vec_id": ids[chosen][top], "score": score[top]}))
-        return pd.concat(out)
-
-    found = posted.groupBy("block", "chunk").cogroup(asked.groupBy("q_block", "q_chunk")).applyInPandas(best, FOUND)
+    rows = saved(valid(table).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
+    some = chosen(rows, pivots, seed)
+    if not len(some):
+        return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    n = min(prefix, len(some))
+    of_pivots = orders(some, some, n)
+    # the query itself and k others at least are within the cutoff, as far as pivots tell
+    within = min(len(some), max(k + 1, int(np.ceil(share * len(some)))))
+
+    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, CHUNK):
+                part = b.slice(at, CHUNK)
+                order = orders(part.column(1).flatten().to_numpy().reshape(part.num_rows, -1), some, n)
+                cut = np.partition(footrules(order, of_pivots, len(some)), within - 1, axis=1)[:, within - 1] if part.schema.names[-1] == "asks" else np.zeros(part.num_rows, int)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(order.astype(np.int32)), pa.list_(pa.int32())), pa.array(cut, pa.int64())], names=["vec_id", "pivots", "cutoff"])
+
+    schema = "vec_id long, pivots array<int>, cutoff long"
+    files = saved(rows.mapInArrow(posted, schema).select("vec_id", F.posexplode("pivots").alias("place", "pivot")), "postings")
+    queries = rows.where(is_query).withColumn("asks", F.lit(True)).mapInArrow(posted, schema)
+    asked = saved(queries.select(F.col("vec_id").alias("query_id"), "cutoff", F.posexplode("pivots").alias("at", "pivot")), "lookups")
+    # a row for each pivot, PIVOTS at most
+    sizes = F.broadcast(files.groupBy("pivot").agg(F.ceil(F.count("*") / PER_BLOCK).alias("_blocks")))
+    dealt = files.join(sizes, "pivot").select("pivot", "vec_id", "place", F.pmod(F.xxhash64("vec_id"), F.col("_blocks")).alias("block"))
+    looked = asked.join(sizes, "pivot").select("pivot", "query_id", "cutoff", "at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("block"))
+    met = dealt.join(looked, ["pivot", "block"]).where("vec_id != query_id")
+    near = met.groupBy("query_id", "vec_id").agg(F.sum(gain(F.col("at"), F.col("place"), n)).alias("_gain"), F.first("cutoff").alias("_cutoff")).where(F.lit(n * (n + 1)) - F.col("_gain") <= F.col("_cutoff"))
+    both = near.select("query_id", "vec_id").join(rows, "vec_id").join(rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    score = F.sqrt(F.aggregate(F.zip_with("v", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return both.select("query_id", "vec_id", score.alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 #: Brute force in DuckDB's SQL, for the recall of search(): every query against every row.

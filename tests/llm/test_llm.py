@@ -353,13 +353,35 @@ def test_recall_and_cases(spark, sf):
     assert permutation_index.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") == 0).count() == 0
 
 
-def test_footrule_from_postings():
+def test_recall_with_other_pivots_and_repeated_vectors(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 24)).astype("float32")
+    x[:1000] = x[0]  # one vector holds a third of all rows
+    df = spark.createDataFrame([(i, v.tolist(), i) for i, v in enumerate(x)], "vec_id long, embedding array<float>, score int")
+    for seed in (1, 2):
+        got = collections.defaultdict(list)
+        for r in permutation_index.search(df, F.col("vec_id") % 100 == 0, seed=seed, pivots=400).collect():
+            got[r.query_id].append((r.rank, r.vec_id, r.score))
+        hits = 0
+        for q in range(0, 3000, 100):
+            d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
+            d[q] = np.inf
+            want = np.lexsort((np.arange(3000), d))[:10]
+            assert [r for r, _, _ in sorted(got[q])] == list(range(1, 11))
+            assert all(s == pytest.approx(d[v]) for _, v, s in got[q])
+            hits += len({v for _, v, _ in got[q]} & set(want.tolist()))
+        assert hits >= 0.9 * 300
+
+
+def test_footrule_from_postings(spark):
     rng = np.random.default_rng(2)
     order = np.array([rng.permutation(30)[:8] for _ in range(40)])
-    files = permutation_index.Postings(order, 30)
-    for q in order[:5]:
-        place = lambda o: np.array([list(o).index(p) if p in o else 8 for p in range(30)])
-        assert files.footrule(q).tolist() == [int(np.abs(place(q) - place(o)).sum()) for o in order]
+    place = lambda o: np.array([list(o).index(p) if p in o else 8 for p in range(30)])
+    want = [[int(np.abs(place(q) - place(o)).sum()) for o in order] for q in order[:5]]
+    assert permutation_index.footrules(order[:5], order, 30).tolist() == want
+    x, pivots = rng.normal(size=(50, 4)), rng.normal(size=(20, 4))
+    pivots[7] = pivots[3]
+    assert permutation_index.orders(x, pivots, 6).tolist() == np.argsort(((x[:, None] - pivots) ** 2).sum(2).round(9), 1, kind="stable")[:, :6].tolist()
 
 
 # --- 7 ---
