@@ -42,7 +42,7 @@ def op7_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", source_mix.size_of(F.col("text")).alias("size"))
-    return source_mix.mix(docs, ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
+    return source_mix.mix(docs, ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,13 @@ Each source's documents are shuffled into one stream of words, cut into blocks o
 sequence, mapped through the cumulative target shares, name the source of each slot; the slots of a source are ranked and
 the slot of rank r takes block r of the source's stream, which starts anew when it ends. A source's last slot is cut where
 its target is reached, and a source that the sequence has left short by a few slots gets them at the end, so each source
-gives its rounded target exactly.
+gives its rounded target exactly. What the schedule decides is when: a document's first_slot is the place of the first
+block that takes words of it, and mixed() writes the mix in the order of slots, sources interleaved as the points say.
 
 Defined cases: a null text has size 0 and is taken 0 times; null is a source of its own, the last one; repeated rows are
-each mixed; a source without words has the target 0; an empty table gives no rows. Reruns give the same result.
+each mixed; a source without words has the target 0; texts of any length are counted whole and may lie in many blocks; ties
+of the shuffle go by doc_id and size; an empty table gives no rows; extra columns of any name are left alone. Reruns give
+the same result.
 """
 
 from __future__ import annotations
@@ -86,10 +89,10 @@ def schedule(plan: DataFrame, block: int, total: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """A row per row of docs: keep's columns, size, source_size, target, taken, taken_again, first_slot (null: none).
+    """A row per row of docs: keep's columns, size, source_size, target, taken, taken_again, first_slot, again_slot (null: none).
 
     docs has doc_id, source and size; keep may name any of its columns but those that are added. taken counts the words of
-    all passes, taken_again those of the second one.
+    all passes, taken_again those of the second one; first_slot is the first slot that takes any, again_slot that of the second pass.
     """
     rows = saved(docs.select(*dict.fromkeys([*keep, "doc_id", "source", "size"]), shuffle_key(F.col("doc_id")).alias("_at")), "mix-sizes")
     plan = saved(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-targets")
@@ -105,18 +108,19 @@ def mix(docs: DataFrame, keep: list[str]) -> DataFrame:
     passes = full.select("n", "_start", "size", "words", F.explode(F.transform(F.sequence(F.lit(0), F.lit(MOST_PASSES - 1)), lambda k: F.col("_start") + k * F.col("source_size"))).alias("_from"))
     parts = passes.where("_from < words").select("n", "_start", "_from", end.alias("_end"), F.explode(F.sequence(F.floor(F.col("_from") / block), F.floor((end - 1) / block))).alias("rank"))
     taken = F.least("_end", "last") - F.greatest("_from", "first")
+    second = F.col("_from") > F.col("_start")
     got = parts.join(schedule(plan.select("n", "words"), block, total), ["n", "rank"]).groupBy("n", "_start").agg(
-        F.sum(taken).alias("taken"), F.sum(F.when(F.col("_from") > F.col("_start"), taken).otherwise(0)).alias("taken_again"), F.min("slot").alias("first_slot"))
+        F.sum(taken).alias("taken"), F.sum(F.when(second, taken).otherwise(0)).alias("taken_again"), F.min("slot").alias("first_slot"), F.min(F.when(second, F.col("slot"))).alias("again_slot"))
     zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
     shown = [*keep, "size", "source_size", "target"]
-    used = full.join(got, ["n", "_start"], "left").select(*shown, F.coalesce("taken", zero).alias("taken"), F.coalesce("taken_again", zero).alias("taken_again"), "first_slot")
-    return used.unionByName(placed.where("size = 0").select(*shown, zero.alias("taken"), zero.alias("taken_again"), none.alias("first_slot")))
+    used = full.join(got, ["n", "_start"], "left").select(*shown, F.coalesce("taken", zero).alias("taken"), F.coalesce("taken_again", zero).alias("taken_again"), "first_slot", "again_slot")
+    return used.unionByName(placed.where("size = 0").select(*shown, zero.alias("taken"), zero.alias("taken_again"), none.alias("first_slot"), none.alias("again_slot")))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix itself, with the columns of docs: a row for each document and pass that gives words.
+    """The mix itself, with the columns of docs: a row for each document and pass that gives words, in the order of their slots.
 
-    A document of which the mix takes only the first words is cut after these (white space between them becomes blanks),
+    Partitions are ranges of slots, and rows in them follow the schedule. A document of which the mix takes only the first words is cut after these (white space between them becomes blanks),
     and n_chars, if there is one, counts the characters that stay.
     """
     names = docs.columns
@@ -124,16 +128,17 @@ def mixed(docs: DataFrame) -> DataFrame:
     rows = saved(docs.toDF(*own.values()).withColumn("_row", F.monotonically_increasing_id()), "mix-texts")
     text = F.col(own["text"])
     sized = rows.select("_row", F.col(own["doc_id"]).alias("doc_id"), F.col(own["source"]).alias("source"), size_of(text).alias("size"))
-    took = mix(sized, ["_row"]).select("_row", "size", F.explode(F.array(F.col("taken") - F.col("taken_again"), F.col("taken_again"))).alias("_words")).where("_words > 0")
+    passes = F.array(F.struct((F.col("taken") - F.col("taken_again")).alias("words"), F.col("first_slot").alias("slot")), F.struct(F.col("taken_again").alias("words"), F.col("again_slot").alias("slot")))
+    took = mix(sized, ["_row"]).select("_row", "size", F.explode(passes).alias("_pass")).select("_row", "size", F.col("_pass.words").alias("_words"), F.col("_pass.slot").alias("_slot")).where("_words > 0")
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     cut = F.when(F.col("_words") < F.col("size"), F.array_join(F.slice(words, 1, F.col("_words").cast("int")), " ")).otherwise(text)
     out = rows.join(took, "_row").withColumn(own["text"], cut)
     if "n_chars" in own:
         out = out.withColumn(own["n_chars"], F.length(own["text"]).cast(docs.schema["n_chars"].dataType))
-    return out.select(*own.values()).toDF(*names)
+    return out.repartitionByRange("_slot", "_row").sortWithinPartitions("_slot", "_row").select(*own.values()).toDF(*names)
 
 
-#: The result of mix() in DuckDB's SQL: the streams are the same, the schedule's cuts in closed form.
+#: The result of mix() in DuckDB's SQL: streams, golden points, the slots that they give each source and the blocks in these.
 ORACLE_SQL = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
@@ -149,12 +154,27 @@ f AS (
   FROM c),
 l AS (SELECT *, (budget - before) / rest AS own FROM f),
 g AS (SELECT *, max(CASE WHEN own * w <= cap THEN own END) OVER () AS level FROM l),
-t AS (SELECT source, source_size, cap, least(cap::DOUBLE, coalesce(level * w, cap::DOUBLE)) AS target FROM g),
-k AS (SELECT *, least(floor(target + 0.5)::BIGINT, cap) AS words FROM t),
+t AS (SELECT source, n, source_size, cap, least(cap::DOUBLE, coalesce(level * w, cap::DOUBLE)) AS target FROM g),
+k AS (SELECT *, least(floor(target + 0.5)::BIGINT, cap)::BIGINT AS words FROM t),
+b AS (SELECT total, greatest(64, least(4096, (total + 1048575) // 1048576))::BIGINT AS block FROM (SELECT sum(words)::BIGINT AS total FROM k)),
+h AS (
+  SELECT n, words, block, (words + block - 1) // block AS need, (sum(words) OVER (ORDER BY n))::DOUBLE / greatest(total, 1) AS upto,
+         coalesce((sum(words) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::DOUBLE / greatest(total, 1), 0) AS since
+  FROM k, b),
+u AS (SELECT slot, ((slot + 1) * 2654435769 % 4294967296) / 4294967296.0::DOUBLE AS u, slots FROM (SELECT unnest(range((total + block - 1) // block + 1)) AS slot, (total + block - 1) // block + 1 AS slots FROM b)),
+z AS (SELECT n, slot, row_number() OVER (PARTITION BY n ORDER BY slot) - 1 AS rank FROM u JOIN h ON since <= u AND u < upto AND words > 0),
+m AS (SELECT h.n, need, slots, (SELECT count(*) FROM z WHERE z.n = h.n) AS had FROM h, (SELECT max(slots) AS slots FROM u)),
+y AS (SELECT n, slot, rank FROM z UNION ALL SELECT n, slots + rank, rank FROM (SELECT n, slots, unnest(range(had, need)) AS rank FROM m WHERE had < need)),
 p AS (
   SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-  FROM d)
-SELECT p.doc_id, p.size, k.source_size, k.target,
-       (greatest(0, least(start + p.size, words) - start) + greatest(0, least(start + p.size + k.source_size, words) - start - k.source_size))::BIGINT AS taken
-FROM p JOIN k ON p.source IS NOT DISTINCT FROM k.source
+  FROM d),
+q AS (
+  SELECT p.doc_id, p.size, k.source_size, k.target, k.n, block,
+         (greatest(0, least(start + p.size, words) - start) + greatest(0, least(start + p.size + k.source_size, words) - start - k.source_size))::BIGINT AS taken,
+         CASE WHEN start < words AND p.size > 0 THEN start END AS a, least(start + p.size, words) AS a_end,
+         CASE WHEN start + k.source_size < words AND p.size > 0 THEN start + k.source_size END AS e, least(start + p.size + k.source_size, words) AS e_end
+  FROM p JOIN k ON p.source IS NOT DISTINCT FROM k.source, b)
+SELECT doc_id, size, source_size, target, taken,
+       (SELECT min(slot) FROM y WHERE y.n = q.n AND (rank BETWEEN a // block AND (a_end - 1) // block OR rank BETWEEN e // block AND (e_end - 1) // block))::BIGINT AS first_slot
+FROM q
 """
