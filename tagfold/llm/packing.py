@@ -1,10 +1,12 @@
 """Best-fit packing by bin completion.
 
 Documents are encoded and, where longer than a sequence, cut into pieces. How pieces fill sequences depends on their
-lengths only, so the driver plans on the histogram of lengths, at most one number for each length: around the largest
-piece left it enumerates fillings, least waste first, and branches: each is taken as often as the histogram allows.
-Branches that can't beat the best plan so far are pruned, and best-fit decreasing gives the first such plan. Spark then
-ranks the pieces of each length and looks up rank by rank which sequence of the plan has them.
+lengths only, so the driver plans on the histogram of lengths, at most one number for each length, by branch and bound:
+around the largest piece left every filling that no other dominates is a branch, those that waste least first, and each is
+taken as often as the histogram allows or once. A branch ends when what it used and the lower bound of what is left don't
+beat the best plan so far; best-fit decreasing gives the first such plan. The search backtracks until no branch is left,
+the plan meets the lower bound, or STEPS steps are done; only then may a better plan exist. Spark then ranks the pieces of
+each length and looks up rank by rank which sequence of the plan has them.
 
 Defined cases: a null text is empty and packs as its end id alone; repeated rows are each packed; an empty table gives no
 rows; other columns play no part. A text of any length is encoded whole and cut into as many pieces as it needs.
@@ -17,6 +19,7 @@ import math
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,10 +31,8 @@ from tagfold.llm.common import running_total, saved
 
 CAPACITY, END_ID = 1_024, 2
 CHUNK = 256
-#: Steps that the search for a plan may take in all, branches of a step, and fillings that are looked at for these.
-STEPS, WIDTH, LOOKED_AT = 20_000, 3, 64
-#: Descents for its first plan, and places that one of their fillings may visit.
-DESCENTS, VISITS = 8, 4_000
+#: Steps that the search for a plan may take in all.
+STEPS = 10_000
 #: Pieces of one length that share a bucket, about.
 PER_BUCKET = 4_096
 
@@ -65,10 +66,6 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, capacity:
 Plan = list[tuple[tuple[int, ...], int]]  # lengths in one sequence, largest first; number of such sequences
 
 
-def waste_of(plan: Plan, capacity: int) -> int:
-    return sum((capacity - sum(lengths)) * n for lengths, n in plan)
-
-
 def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     """Best-fit decreasing on a histogram: each length goes to the fullest sequences that still take it."""
     open_: dict[int, list[list]] = {}  # room left -> [lengths, number]
@@ -92,67 +89,6 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return [(tuple(lengths), n) for bins in open_.values() for lengths, n in bins]
 
 
-def quick_fillings(room: int, counts: dict[int, int], sizes: list[int], want: int) -> list[tuple[int, ...]]:
-    """Up to want fillings of room by lengths of counts, least waste first; none is dominated by one with fewer, larger pieces.
-
-    Pieces are tried from the largest that fits, depth first; a branch ends when even its room filled whole wouldn't beat
-    the fillings at hand.
-    """
-    found: list[tuple[int, tuple[int, ...]]] = []
-    visits = 0
-
-    def worst() -> int:
-        return found[-1][0] if len(found) >= want else room + 1
-
-    def go(left: int, most: int, used: tuple[int, ...]) -> None:
-        nonlocal visits
-        visits += 1
-        at = bisect_right(sizes, min(left, most)) - 1
-        fits = False
-        while at >= 0 and visits < VISITS and not (len(found) >= want and found[-1][0] == 0):
-            size = sizes[at]
-            if counts[size] > used.count(size):
-                fits = True
-                go(left - size, size, (*used, size))
-            at -= 1
-            if fits and at >= 0 and left - size == 0:
-                break  # smaller pieces at this place are dominated by the one that fills the room
-            if left > 4 * size and visits > VISITS // 4:
-                break
-        if not fits and left < worst():  # nothing more fits: a filling that can't be extended
-            found.append((left, used))
-            found.sort(key=lambda x: (x[0], len(x[1])))
-            del found[want:]
-
-    go(room, room, ())
-    return [x for _, x in found] or [()]
-
-
-def descent(counts: dict[int, int], capacity: int, best: Plan, choice: dict[int, int]) -> Plan | None:
-    """One descent with quick fillings, as a start for the search; choice: at which step to take another filling than the best. None: pruned."""
-    left, plan, waste, step = dict(counts), [], 0, 0
-    most = waste_of(best, capacity)
-    sizes = sorted(left)
-    while sizes:
-        top = sizes[-1]
-        left[top] -= 1
-        options = quick_fillings(capacity - top, left, sizes, 1 + choice.get(step, 0))
-        left[top] += 1
-        lengths = (top, *options[min(choice.get(step, 0), len(options) - 1)])
-        n = min(left[s] // lengths.count(s) for s in set(lengths))
-        for s in lengths:
-            left[s] -= n
-        plan.append((lengths, n))
-        waste += (capacity - sum(lengths)) * n
-        if waste >= most:
-            return None
-        for s in set(lengths):
-            if not left[s]:
-                sizes.remove(s)
-        step += 1
-    return plan
-
-
 def sums(counts: dict[int, int], sizes: list[int], capacity: int, known: list[int], start: int) -> None:
     """Brings known up to date from start on: bit x of known[i] tells whether pieces of sizes[:i] can fill x."""
     del known[start + 1 :]
@@ -182,22 +118,43 @@ def exact(target: int, counts: dict[int, int], sizes: list[int], known: list[int
                     yield (size,) * k + rest
 
 
-def fillings(room: int, counts: dict[int, int], sizes: list[int], want: int, known: list[int]) -> list[tuple[int, ...]]:
-    """Up to want fillings of room by pieces of counts, least waste first; to none of them another piece could be added.
+def dominated(used: tuple[int, ...], waste: int, spare: int) -> bool:
+    """Whether some filling of the same room is at least as good as used in any plan; bit x of spare: a piece of x is left over.
 
-    The first is exact: no filling wastes less. Of those that come after it, LOOKED_AT are looked at.
+    So it is if a piece that is left can take the place of smaller ones that add up to no more, within the room.
     """
-    found: list[tuple[int, ...]] = []
-    looked = 0
+    one = two = 0  # sums of at least one and of at least two of the pieces
+    single = 0
+    for s in used:
+        two |= one << s
+        one |= one << s | 1 << s
+        single |= 1 << s
+    near, wide = two, 1
+    more, single = single << 1, single << 1
+    # a sum of several is matched by a piece of its length up to waste more, a single one by a larger piece
+    while wide <= waste:
+        step = min(wide, waste + 1 - wide)
+        near |= near << step
+        wide += step
+    for _ in range(waste):
+        if more & spare:
+            return True
+        more <<= 1
+    return bool(near & spare)
+
+
+def fillings(room: int, counts: dict[int, int], sizes: list[int], known: list[int]) -> Iterator[tuple[int, ...]]:
+    """All fillings of room by pieces of counts that none dominates, least waste first; to none of them another piece could be added."""
+    there = sum(1 << s for s in sizes if counts[s])
     for waste in range(room + 1):
         if known[-1] >> (room - waste) & 1:
             for used in exact(room - waste, counts, sizes, known, len(sizes)):
-                looked += 1
-                if all(counts[s] == used.count(s) for s in sizes[: bisect_right(sizes, waste)]):
-                    found.append(used)
-                if len(found) >= want or looked >= LOOKED_AT:
-                    return found
-    return found
+                spare = there
+                for s in set(used):
+                    if counts[s] == used.count(s):
+                        spare ^= 1 << s
+                if not spare & ((2 << waste) - 1) and not dominated(used, waste, spare):
+                    yield used
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
@@ -213,47 +170,46 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return most
 
 
-def search(counts: dict[int, int], capacity: int, best: Plan) -> Plan:
-    """Branch and bound for a plan of fewer sequences than best: every step has a branch for each of its fillings.
+def choices(top: int, counts: dict[int, int], sizes: list[int], capacity: int, known: list[int], start: int) -> Iterator[tuple[tuple[int, ...], int]]:
+    """Branches of a step: the lengths of a sequence with the largest piece top, and how many such sequences."""
+    counts = {**counts, top: counts[top] - 1}
+    sums(counts, sizes, capacity, known, start)
+    for used in fillings(capacity - top, counts, sizes, known):
+        lengths = (top, *used)
+        most = min((counts[s] + (s == top)) // lengths.count(s) for s in set(lengths))
+        yield lengths, most
+        if most > 1:
+            yield lengths, 1
+
+
+def search(counts: dict[int, int], capacity: int, best: Plan, most_steps: int = STEPS) -> Plan:
+    """Branch and bound for a plan of fewer sequences than best.
 
-    Branches that depart least from the best fillings come first, of these the last ones; one ends when it can't beat the best plan so far even
-    if it wastes nothing more. The search ends at the lower bound, when no branch is left, or after STEPS steps in all.
+    Branches that depart least from the first choices come first, of these the last ones; a step's other choices are made
+    when they are asked for.
     """
-    total = sum(s * n for s, n in counts.items())
     least, most = lower_bound(counts, capacity), sum(n for _, n in best)
-    todo: list[tuple] = [(0, 0, None)]  # departures, number, branch: (earlier branch, lengths, number of sequences)
+    todo: list[tuple] = [(0, 0, None, 0)]  # departures, number, branch: (earlier branch, lengths, number of sequences), choice
     steps = pushed = 0
-    while todo and most > least and steps < STEPS:
-        departures, _, branch = heapq.heappop(todo)
-        left, used, rest = dict(counts), 0, total
+    while todo and most > least and steps < most_steps:
+        departures, _, branch, k = heapq.heappop(todo)
+        left, used = dict(counts), 0
         for lengths, n in path(branch):
             for s in lengths:
                 left[s] -= n
-            used, rest = used + n, rest - n * sum(lengths)
+            used += n
         sizes, known, start = sorted(s for s, n in left.items() if n), [1], 0
-        while sizes and steps < STEPS:
+        while sizes and steps < most_steps and used + lower_bound(left, capacity) < most:
             steps += 1
-            top = sizes[-1]
-            left[top] -= 1
-            sums(left, sizes, capacity, known, start)
-            options = fillings(capacity - top, left, sizes, WIDTH, known)
-            left[top] += 1
-            following = []
-            for k, filling in enumerate(options):
-                lengths = (top, *filling)
-                n = min(left[s] // lengths.count(s) for s in set(lengths))
-                if used + n + math.ceil((rest - n * sum(lengths)) / capacity) < most:
-                    following.append((departures + k, (branch, lengths, n)))
-            if not following:
+            choice = next(islice(choices(sizes[-1], left, sizes, capacity, known, start), k, None), None)
+            if choice is None:
                 break
-            for k, other in following[1:]:
-                pushed += 1
-                heapq.heappush(todo, (k, -pushed, other))
-            departures, branch = following[0]
-            _, lengths, n = branch
+            pushed += 1
+            heapq.heappush(todo, (departures + 1, -pushed, branch, k + 1))
+            lengths, n = choice
+            branch, k, used = (branch, lengths, n), 0, used + n
             for s in lengths:
                 left[s] -= n
-            used, rest = used + n, rest - n * sum(lengths)
             start = bisect_left(sizes, min(lengths))
             sizes = [s for s in sizes if left[s]]
         if not sizes and used < most:
@@ -273,15 +229,8 @@ def path(branch: tuple | None) -> Plan:
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     """How to fill as few sequences as can be found; counts: pieces of each length from 1 to capacity."""
     counts = {s: n for s, n in counts.items() if n}
-    best, least, steps = best_fit(counts, capacity), lower_bound(counts, capacity), 0
-    for k in range(1 + DESCENTS):
-        if sum(n for _, n in best) <= least:
-            break
-        if tried := descent(counts, capacity, best, {} if k == 0 else {(k * 7) % max(steps, 1): 1 + k % 3}):
-            steps = len(tried)
-            best = min(best, tried, key=lambda x: sum(n for _, n in x))
     whole = counts.pop(capacity, 0)  # these fill a sequence each, whatever becomes of the others
-    return [((capacity,), whole)] * bool(whole) + search(counts, capacity, [x for x in best if x[0] != (capacity,)])
+    return [((capacity,), whole)] * bool(whole) + search(counts, capacity, best_fit(counts, capacity))
 
 
 def lookup(spark, best: Plan, capacity: int = CAPACITY) -> DataFrame:

@@ -513,6 +513,39 @@ def test_completion_branches_beside_whole_pieces():
     assert sum(n for _, n in packing.plan(counts, 100)) == 9  # the lower bound
 
 
+def fewest(pieces, capacity):
+    """Sequences of the best packing, by trying every open sequence for each piece."""
+    pieces, best = sorted(pieces, reverse=True), [len(pieces)]
+
+    def go(i, rooms):
+        if len(rooms) < best[0]:
+            if i == len(pieces):
+                best[0] = len(rooms)
+                return
+            for room in {x for x in rooms if x >= pieces[i]}:
+                j = rooms.index(room)
+                go(i + 1, [*rooms[:j], room - pieces[i], *rooms[j + 1 :]])
+            go(i + 1, [*rooms, capacity - pieces[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_plans_are_the_best_of_small_cases():
+    r = random.Random(12)
+    assert sum(n for _, n in packing.plan(collections.Counter([12, 14, 16, 18, 22, 23, 25, 25, 25, 27, 27]), 61)) == 4
+    for _ in range(300):
+        capacity = r.choice([20, 61, 100])
+        pieces = [r.randint(capacity // 9, int(capacity * r.choice([0.5, 0.7, 1]))) for _ in range(r.randint(1, 16))]
+        assert sum(n for _, n in packing.plan(collections.Counter(pieces), capacity)) == fewest(pieces, capacity)
+
+
+def test_dominance():
+    spare = lambda *x: sum(1 << s for s in x)
+    assert packing.dominated((3, 2), 1, spare(5)) and packing.dominated((3, 2), 1, spare(6)) and packing.dominated((3, 2), 1, spare(4))
+    assert not packing.dominated((3, 2), 1, spare(7)) and not packing.dominated((5,), 1, spare(5)) and not packing.dominated((3, 2), 0, spare(3, 4))
+
+
 def test_packing_of_documents(spark, odd, empty, table):
     for df in (odd, table):
         ids = collections.defaultdict(list)
