@@ -1,14 +1,15 @@
 """Approximate nearest neighbours by a permutation index.
 
 PIVOTS distinct vectors, a bounded sample of the table, stand for the space. Each vector is represented by its PREFIX
-nearest pivots in order and posted in the inverted file of each: a row (pivot, vec_id, place). A query looks up the files
-of its own nearest pivots by a join on the pivot; what each shared pivot takes off the footrule distance adds up for each
-pair of a query and a vector. Pairs within the query's cutoff are reranked by Euclidean distance in double precision. The
-cutoff is the distance within which a share of the pivots themselves lies, so it needs no ranking of all that was found.
+nearest pivots in order, and posted in the inverted file of each of these, by blocks of vectors. A query walks the files of
+its own nearest pivots only, about PREFIX in PIVOTS of all postings: what each shared pivot takes off the footrule distance
+adds up for the vectors that are posted there. Those within the query's cutoff are reranked by Euclidean distance in double
+precision, and the best of all blocks are kept. The cutoff is the distance within which a share of the pivots themselves
+lies, so it is the same in every block and nothing has to be ranked to know it; ties at the cutoff are all reranked.
 
-The index is fitted on the pivots alone; every row is posted. The file of a pivot that many vectors are near is dealt to
-blocks of about PER_BLOCK rows, and queries look into each of them: the sizes of files, PIVOTS numbers at most, decide.
-Nothing is capped: ties at the cutoff are all reranked.
+The index is fitted on the pivots alone; every row is posted. Blocks are dealt by a hash of vec_id, so copies of one vector
+spread; queries go to every block in chunks, and no task holds more than a block and a chunk. (Posting rows that queries
+find by a join on the pivot give the same candidates, but then each pair of a query and a candidate is a row between joins.)
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another
 length than most have (of equally frequent lengths the shorter one); of rows that repeat a vec_id one counts, the one with
@@ -21,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +33,9 @@ from tagfold.llm.common import saved
 PIVOTS, PREFIX = 2_048, 32
 #: Share of the pivots that a query's cutoff takes in.
 SHARE = 0.25
-#: Rows of a block of a pivot's file, about; vectors that are ordered at a time.
-PER_BLOCK, CHUNK = 1 << 16, 1_024
+#: Vectors of a block and queries of a chunk, about; vectors whose pivots are ordered at a time.
+BLOCK, CHUNK, ORDERED = 1 << 14, 1 << 16, 1_024
+FOUND = "query_id long, vec_id long, score double"
 
 
 def valid(table: DataFrame) -> DataFrame:
@@ -59,12 +62,12 @@ def orders(x: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX) -> np.ndarra
     return np.argsort(far, axis=1, kind="stable")[:, :prefix]
 
 
-def gain(i, j, n: int):
+def gain(i: int, j: np.ndarray, n: int) -> np.ndarray:
     """What a pivot at places i and j of two prefixes of n takes off their footrule distance, n * (n + 1) if they share none.
 
-    A pivot that a prefix lacks stands right behind its last one. For numbers, arrays and columns.
+    A pivot that a prefix lacks stands right behind its last one.
     """
-    return 2 * n - i - j - abs(i - j) if not isinstance(i, Column) else 2 * n - i - j - F.abs(i - j)
+    return 2 * n - i - j - abs(i - j)
 
 
 def footrules(order: np.ndarray, others: np.ndarray, pivots: int) -> np.ndarray:
@@ -79,6 +82,25 @@ def footrules(order: np.ndarray, others: np.ndarray, pivots: int) -> np.ndarray:
     return out
 
 
+class Postings:
+    """The inverted files of a block: for each pivot the rows that have it in their prefix, and at which place."""
+
+    def __init__(self, order: np.ndarray, pivots: int):
+        self.rows, self.n = order.shape
+        flat = order.ravel()
+        by_pivot = np.argsort(flat, kind="stable")
+        self.starts = np.searchsorted(flat[by_pivot], np.arange(pivots + 1))
+        self.row, self.place = np.divmod(by_pivot, self.n)
+
+    def within(self, order: np.ndarray, cutoff: int) -> np.ndarray:
+        """The posted rows whose footrule distance to a query's order is at most cutoff."""
+        total = np.zeros(self.rows, np.int64)
+        for i, p in enumerate(order):
+            at = slice(self.starts[p], self.starts[p + 1])
+            total[self.row[at]] += gain(i, self.place[at], self.n)
+        return np.flatnonzero((total > 0) & (self.n * (self.n + 1) - total <= cutoff))
+
+
 def search(table: DataFrame, is_query: Column, k: int = 10, share: float = SHARE, pivots: int = PIVOTS, prefix: int = PREFIX, seed: int = 5) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k nearest of each query among all other rows of table (vec_id, embedding)."""
     rows = saved(valid(table).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
@@ -90,28 +112,41 @@ def search(table: DataFrame, is_query: Column, k: int = 10, share: float = SHARE
     # the query itself and k others at least are within the cutoff, as far as pivots tell
     within = min(len(some), max(k + 1, int(np.ceil(share * len(some)))))
 
-    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, CHUNK):
-                part = b.slice(at, CHUNK)
+            for at in range(0, b.num_rows, ORDERED):
+                part = b.slice(at, ORDERED)
                 order = orders(part.column(1).flatten().to_numpy().reshape(part.num_rows, -1), some, n)
-                cut = np.partition(footrules(order, of_pivots, len(some)), within - 1, axis=1)[:, within - 1] if part.schema.names[-1] == "asks" else np.zeros(part.num_rows, int)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(order.astype(np.int32)), pa.list_(pa.int32())), pa.array(cut, pa.int64())], names=["vec_id", "pivots", "cutoff"])
-
-    schema = "vec_id long, pivots array<int>, cutoff long"
-    files = saved(rows.mapInArrow(posted, schema).select("vec_id", F.posexplode("pivots").alias("place", "pivot")), "postings")
-    queries = rows.where(is_query).withColumn("asks", F.lit(True)).mapInArrow(posted, schema)
-    asked = saved(queries.select(F.col("vec_id").alias("query_id"), "cutoff", F.posexplode("pivots").alias("at", "pivot")), "lookups")
-    # a row for each pivot, PIVOTS at most
-    sizes = F.broadcast(files.groupBy("pivot").agg(F.ceil(F.count("*") / PER_BLOCK).alias("_blocks")))
-    dealt = files.join(sizes, "pivot").select("pivot", "vec_id", "place", F.pmod(F.xxhash64("vec_id"), F.col("_blocks")).alias("block"))
-    looked = asked.join(sizes, "pivot").select("pivot", "query_id", "cutoff", "at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("block"))
-    met = dealt.join(looked, ["pivot", "block"]).where("vec_id != query_id")
-    near = met.groupBy("query_id", "vec_id").agg(F.sum(gain(F.col("at"), F.col("place"), n)).alias("_gain"), F.first("cutoff").alias("_cutoff")).where(F.lit(n * (n + 1)) - F.col("_gain") <= F.col("_cutoff"))
-    both = near.select("query_id", "vec_id").join(rows, "vec_id").join(rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    score = F.sqrt(F.aggregate(F.zip_with("v", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x))
+                asks = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                cut = np.zeros(len(order), np.int64)
+                if asks.any():
+                    cut[asks] = np.partition(footrules(order[asks], of_pivots, len(some)), within - 1, axis=1)[:, within - 1]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(order.astype(np.int32)), pa.list_(pa.int32())), pa.array(cut)], names=["vec_id", "v", "asks", "pivots", "cutoff"])
+
+    index = saved(rows.withColumn("asks", F.coalesce(is_query, F.lit(False))).mapInArrow(ordered, "vec_id long, v array<double>, asks boolean, pivots array<int>, cutoff long"), "permutations")
+    sizes = index.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
+    blocks, chunks = max(1, -(-sizes["n"] // BLOCK)), max(1, -(-sizes["q"] // CHUNK))
+    every = lambda x: F.explode(F.sequence(F.lit(0), F.lit(x - 1)))
+    dealt = index.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), every(chunks).alias("chunk"), "vec_id", "v", "pivots")
+    asked = index.where("asks").select(every(blocks).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(chunks)).cast("int").alias("chunk"), "vec_id", "v", "pivots", "cutoff")
+
+    def best(block: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
+        if not len(block) or not len(query):
+            return pd.DataFrame({"query_id": pd.Series([], "int64"), "vec_id": pd.Series([], "int64"), "score": pd.Series([], "float64")})
+        block = block.sort_values("vec_id")
+        ids, x, files = block["vec_id"].to_numpy(), np.stack(block["v"].to_numpy()), Postings(np.stack(block["pivots"].to_numpy()), len(some))
+        out = []
+        for q, v, order, cutoff in zip(query["vec_id"], query["v"], query["pivots"], query["cutoff"]):
+            near = files.within(order, cutoff)
+            near = near[ids[near] != q]
+            score = np.sqrt(((x[near] - v) ** 2).sum(1))
+            top = np.argsort(score, kind="stable")[:k]  # rows are in the order of ids
+            out.append(pd.DataFrame({"query_id": q, "vec_id": ids[near][top], "score": score[top]}))
+        return pd.concat(out)
+
+    found = dealt.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInPandas(best, FOUND)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return both.select("query_id", "vec_id", score.alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 #: Brute force in DuckDB's SQL, for the recall of search(): every query against every row.
