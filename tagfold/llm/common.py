@@ -69,10 +69,10 @@ def joined_to_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size:
     named = lambda n, df: df.select(*(F.col(k).alias(f"_g{n}_{i}") for i, k in enumerate(keys)), F.struct(*more).alias(f"_f{n}"))
     hot = named(0, groups.where(F.col(size) > HOT)).withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     cold = named(1, groups.where(F.col(size) <= HOT))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(salt, F.spark_partition_id()), F.lit(SALTS)).cast("int"))
     first = salted.join(hot, [*same(0), F.col("_salt") == F.col("_at")], "left")
     # a row that is done looks under a key of its own, so that it doesn't crowd the hot group's
-    left = F.when(F.col("_f0").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(salt).bitwiseOR(F.lit(1).cast("long")))
+    left = F.when(F.col("_f0").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(salt, F.spark_partition_id()).bitwiseOR(F.lit(1).cast("long")))
     both = first.withColumn("_left", left).join(cold.withColumn("_none", F.lit(0).cast("long")), [*same(1), F.col("_left") == F.col("_none")], "left")
     found = both.withColumn("_f", F.coalesce("_f0", "_f1")).where("_f is not null")
     return found.select(*rows.columns, *(F.col(f"_f.{c}").alias(c) for c in more))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagfold.llm.common import saved
+from tagfold.llm.common import joined_to_groups, saved
 
 SHINGLE, PERCENT = 5, 75
 BITS = 7
@@ -234,7 +234,9 @@ def left_out(edges: DataFrame, links: DataFrame, labels: DataFrame, sigs: DataFr
     mark = links.select("center", "node", F.lit(True).alias("_linked"))
     of = labels.withColumnRenamed("component", "_c")
     member = edges.join(mark, ["center", "node"], "left").join(of, "node", "left").withColumn("_c", F.coalesce("_c", "node"))
-    member = member.join(of.select(F.col("node").alias("center"), F.col("_c").alias("_cc")), "center", "left").withColumn("_cc", F.coalesce("_cc", "center"))
+    # a centre may have any share of all nodes
+    centers = edges.groupBy("center").agg(F.count("*").alias("_n")).join(of.withColumnRenamed("node", "center"), "center", "left").select("center", "_n", F.coalesce("_c", "center").alias("_cc"))
+    member = joined_to_groups(member, centers, ["center"], "_n", F.col("node"))
     member = saved(member.select("center", "node", F.col("_c").alias("component"), (F.col("_linked").isNull() & (F.col("_c") != F.col("_cc"))).alias("asks")), "near-members")
     light = sigs.select("node", "signature", "n_shingles")
     near = saved(compared(asked(member).join(light, "node"), with_sets=False), "near-candidates")
@@ -252,7 +254,8 @@ def left_out(edges: DataFrame, links: DataFrame, labels: DataFrame, sigs: DataFr
 def asked(member: DataFrame) -> DataFrame:
     """member with _blocks and _ask_blocks (of BLOCK rows each) for the centres where any row asks."""
     sizes = member.groupBy("center").agg(F.count("*").alias("_n"), F.sum(F.col("asks").cast("long")).alias("_asks")).where("_asks > 0 and _n > 1")
-    return member.join(sizes.select("center", F.ceil(F.col("_n") / BLOCK).alias("_blocks"), F.ceil(F.col("_asks") / BLOCK).alias("_ask_blocks")), "center")
+    sizes = sizes.select("center", "_n", F.ceil(F.col("_n") / BLOCK).alias("_blocks"), F.ceil(F.col("_asks") / BLOCK).alias("_ask_blocks"))
+    return joined_to_groups(member, sizes, ["center"], "_n", F.col("node")).drop("_n")
 
 
 def compared(rows: DataFrame, with_sets: bool) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagfold.llm import tokens
-from tagfold.llm.common import saved, scratch
+from tagfold.llm.common import joined_to_groups, saved, scratch
 
 CACHE = T.StructType([T.StructField("version", T.StringType()), T.StructField("digest", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
 LIMIT = 1_024
@@ -70,5 +70,6 @@ def count(docs: DataFrame, tokenizer_path: str, cache_path: str | None = None, l
     misses = light.groupBy("digest").agg(F.min(F.struct(F.col("doc_id"))).alias("_of")).join(known, "digest", "left_anti").select(F.col("digest").alias("_digest"), F.col("_of.doc_id").alias("_doc"))
     named = content.join(misses.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("digest") == F.col("_digest")), "left_semi")
     encoded(named.select("digest", "content"), tokenizer_path, version).write.mode("append").parquet(cache_path)
-    counts = cached(spark, cache_path, version)
-    return light.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # copies of a text may be any share of all rows
+    counts = light.groupBy("digest").agg(F.count("*").alias("_n")).join(cached(spark, cache_path, version), "digest")
+    return joined_to_groups(light, counts, ["digest"], "_n", F.col("doc_id")).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
