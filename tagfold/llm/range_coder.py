@@ -1,18 +1,24 @@
 """Token ids in compressed files: an adaptive context-mixing range coder over independent blocks.
 
-Ids are cut into blocks of BLOCK; each block starts with fresh models and carries a CRC-32, so it can be read alone. For
-each id the coder asks: is it the id that followed the same two ids last time (order 2), else the one that followed the
-same last id (order 1)? The chance of yes mixes, in the logistic domain with weights that adapt, what the order-2 slot,
-the order-1 slot and the predicted id's own frequency (order 0) say. An id that neither predicts is coded by the order-0
-frequencies of its segment, which the segment's header holds: a block alone is too short to learn tens of thousands of
-ids. All arithmetic is in integers, so any machine reads what another wrote.
+Ids are cut into blocks of BLOCK; each block starts from the same models and is coded on its own, so it can be read alone
+with the segment's header. What is learnt inside a block, and forgotten at its end:
+
+* order 2 and order 1: the id that last followed the same two ids, else the same last id, is asked for first. The chance of
+  yes mixes, in the logistic domain with weights that adapt, how often that id has followed in a row and how frequent it is.
+* order 1 and order 0: an id that isn't the asked one is coded by a mixture of two distributions, that of ids after the last
+  id's class and that of all ids. Their shares follow how well each has predicted the block so far.
+
+Classes and distributions stand in the header, counted over the segment: a block alone is too short to learn tens of
+thousands of ids. A class gathers ids with similar successors. All arithmetic is in integers, so any machine reads what
+another wrote. Checksums of the header and of a block's bytes are tested before either is used.
 
 Many blocks are coded side by side, one numpy lane each. A segment is the ids of consecutive documents, written as one
-binary value: header, lengths of the documents, id frequencies, sizes and checksums of the blocks, blocks. Segments are rows of a Parquet
-table, in ascending doc_id order within and across the files' partition numbers.
+binary value: header (lengths of the documents, ids, counts, classes, sizes and checksums of the blocks), then the blocks.
+Segments are rows of a Parquet table, in ascending doc_id order within and across the files' partition numbers.
 
 Defined cases: a null text is empty and has its end id only; rows that repeat a doc_id follow one another, by text; a null
-doc_id comes first; a document of any length stays in one segment; an empty table gives no segments and no rows.
+doc_id comes first; a document of any length stays in one segment, which may then be longer than SEGMENT; an empty table
+gives no segments and no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -21,6 +27,7 @@ import math
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,248 +42,293 @@ from tagfold.llm.common import saved
 BLOCK = 1_024
 #: Ids of a segment, about: it ends with the document that reaches so many.
 SEGMENT = 1 << 21
-MAGIC = b"TGF1"
+MAGIC = b"TGF2"
 END_ID = 1
-#: Slots of a block's order-2, order-1 and order-0 tables.
-SLOTS2, SLOTS1, SLOTS0 = 1_024, 512, 512
-#: Frequencies of a segment's ids add up to 1 << TOTAL.
-TOTAL = 24
+#: Slots of a block's order-2 and order-1 tables.
+SLOTS2, SLOTS1 = 1_024, 512
+#: Frequencies of a distribution add up to 1 << TOTAL.
+TOTAL = 20
+#: Bits of a value by which its place is looked up, before the last steps.
+CELLS = 12
+#: Most classes of ids, and parts of successor counts that they are told apart by.
+CLASSES, PARTS = 16, 128
+#: Shares in 16ths of the order-1 distribution in a mixture, by how well it has done.
+SHARES = (2, 7, 11, 14)
+#: A pair of ids that a segment has fewer times isn't counted in its class.
+LEAST_PAIRS = 2
 U64 = np.uint64
 
 
 def _stretch_table() -> np.ndarray:
     """ln(p / (1 - p)) in 1/256 for p in 1/4096."""
-    return np.array([round(256 * math.log((i + 0.5) / (4095.5 - i))) for i in range(4096)], np.int32)
+    return np.array([round(256 * math.log((i + 0.5) / (4095.5 - i))) for i in range(4096)], np.int64)
 
 
 def _squash_table() -> np.ndarray:
     """The inverse: a 16-bit chance for x in 1/256 from -2047 to 2047."""
-    return np.array([min(65_000, max(536, round(65_536 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int32)
+    return np.array([min(65_000, max(536, round(65_536 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int64)
 
 
 STRETCH, SQUASH = _stretch_table(), _squash_table()
 
 
-class Lanes:
-    """The interval of each lane; writes words of 32 bits, or reads them if words is given."""
-
-    def __init__(self, n: int, words: np.ndarray | None = None):
-        self.low, self.high = np.zeros(n, U64), np.full(n, 0xFFFFFFFFFFFFFFFF, U64)
-        self.at = np.zeros(n, np.int64)
-        self.words = words if words is not None else np.zeros((n, BLOCK // 2 + 16), np.uint32)
-        self.decode = words is not None
-        if self.decode:
-            self.code = (words[:, 0].astype(U64) << U64(32)) | words[:, 1]
-            self.at += 2
-
-    def part(self, lanes: np.ndarray) -> Lanes:
-        """The same for some lanes; back() puts their state back."""
-        p = Lanes.__new__(Lanes)
-        p.low, p.high, p.at, p.words, p.decode = self.low[lanes], self.high[lanes], self.at[lanes], self.words, self.decode
-        p.lanes = lanes
-        if self.decode:
-            p.code = self.code[lanes]
-        return p
-
-    def back(self, p: Lanes) -> None:
-        self.low[p.lanes], self.high[p.lanes], self.at[p.lanes] = p.low, p.high, p.at
-        if self.decode:
-            self.code[p.lanes] = p.code
-        self.words = p.words
-
-    def bit(self, chance: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
-        """Codes bit (given when writing) with the 16-bit chance that it is 1."""
-        middle = self.low + ((self.high - self.low) >> U64(16)) * chance.astype(U64)
-        if self.decode:
-            bit = self.code <= middle
-        self.high = np.where(bit, middle, self.high)
-        self.low = np.where(bit, self.low, middle + U64(1))
-        self._even()
-        return bit
-
-    def symbol(self, starts: np.ndarray, place: np.ndarray | None) -> np.ndarray:
-        """Codes a place (given when writing) among frequencies, whose running totals are starts."""
-        unit = (self.high - self.low) >> U64(TOTAL)
-        if self.decode:
-            place = np.searchsorted(starts, np.minimum((self.code - self.low) // unit, U64((1 << TOTAL) - 1)), "right") - 1
-        self.high = self.low + unit * starts[place + 1] - U64(1)
-        self.low = self.low + unit * starts[place]
-        self._even()
-        return place
-
-    def _even(self) -> None:
-        """Keeps every interval at least 32 bits wide: writes or reads its leading word, or cuts it where that isn't settled."""
-        while len(same := np.flatnonzero((self.high - self.low) < U64(1 << 32))):
-            low, high, at, lane = self.low[same], self.high[same], self.at[same], self.lanes[same]
-            high = np.where((low ^ high) < U64(1 << 32), high, low | U64(0xFFFFFFFF))
-            if at.max() >= self.words.shape[1]:
-                self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
-            if self.decode:
-                self.code[same] = (self.code[same] << U64(32)) | self.words[lane, at]
-            else:
-                self.words[lane, at] = low >> U64(32)
-            self.low[same] = low << U64(32)
-            self.high[same] = (high << U64(32)) | U64(0xFFFFFFFF)
-            self.at[same] = at + 1
-
-    def finish(self) -> None:
-        """Writes enough of each interval's lower end to name it."""
-        if self.words.shape[1] < self.at.max() + 2:
-            self.words = np.concatenate([self.words, np.zeros((len(self.words), 2), np.uint32)], axis=1)
-        for k, shift in ((0, 32), (1, 0)):
-            self.words[np.arange(len(self.at)), self.at + k] = (self.low >> U64(shift)) & U64(0xFFFFFFFF)
-        self.at += 2
-
-
-class Mixer:
-    """Chance that a predicted id is right, from three adaptive counters whose weights adapt for each lane."""
-
-    RATE, LEARN = 5, 14
-
-    def __init__(self, n: int):
-        self.counter = [np.full(n * 16, 1 << 15, np.int32) for _ in range(3)]
-        self.weight = np.full((3, n), 26_000, np.int64)
-
-    def chance(self, lanes: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
-        self.lanes = lanes
-        self.where = [lanes * 16 + c for c in contexts]
-        self.stretched = [STRETCH[c[w] >> 4] for c, w in zip(self.counter, self.where)]
-        total = sum(s * w[lanes] for s, w in zip(self.stretched, self.weight)) >> 16
-        self.mixed = SQUASH[np.clip(total, -2047, 2047) + 2047]
-        return self.mixed
-
-    def learn(self, bit: np.ndarray) -> None:
-        goal = np.where(bit, 65_535, 0)
-        error = goal - self.mixed
-        for counter, where, s, w in zip(self.counter, self.where, self.stretched, self.weight):
-            p = counter[where]
-            counter[where] = p + ((goal - p) >> self.RATE)
-            w[self.lanes] += (s * error) >> self.LEARN
-
-
-def coded(lanes: Lanes, lengths: np.ndarray, starts: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-    """Codes ids [lane, place] (or reads them if lanes decodes); lengths: of each lane, in descending order.
-
-    Ids are places in the segment's list of ids; starts: running totals of their frequencies, one more than there are ids.
+def logs(n: np.ndarray) -> np.ndarray:
+    """log2 of whole numbers (at least 1) in 1/16, by their leading bits."""
+    e = np.frexp(n.astype(float))[1].astype(np.int64) - 1
+    return 16 * e + (np.where(e >= 4, n >> np.maximum(e - 4, 0), n << np.maximum(4 - e, 0)) - 16)
+
+
+def frequencies(weights: np.ndarray) -> np.ndarray:
+    """Running totals from 0 to 1 << TOTAL of frequencies in proportion to the rows of weights, none of them 0."""
+    k, v = weights.shape
+    upto = np.cumsum(weights, axis=1)
+    scaled = np.arange(1, v + 1) + upto * ((1 << TOTAL) - v) // np.maximum(upto[:, -1:], 1)
+    return np.concatenate([np.zeros((k, 1), np.int64), scaled], axis=1)
+
+
+@dataclass
+class Model:
+    """What a header knows: counts of ids (by place in its list), class of each, and counts of ids after each class."""
+
+    counts: np.ndarray
+    classes: np.ndarray
+    after: np.ndarray
+
+    def __post_init__(self) -> None:
+        v, k = len(self.counts), len(self.after)
+        every = (self.counts << 20) // max(int(self.counts.sum()), 1) + 1
+        own = (self.after << 20) // np.maximum(self.after.sum(1, keepdims=True), 1)
+        self.size, self.starts = v + 1, np.concatenate([frequencies(share * own + (16 - share) * every) for share in SHARES])
+        #: Running totals of all mixtures, one after another: [share, class, place].
+        self.totals = self.starts.ravel()
+        self.keys = (self.starts + (np.arange(len(self.starts)) << TOTAL + 1)[:, None]).ravel()
+        #: For each mixture and part of 0..1 << TOTAL, the last place (among all totals) that starts at or before it.
+        cells = self.starts[:, :-1] >> TOTAL - CELLS
+        table = np.arange(len(cells))[:, None]
+        begun = np.bincount((cells + (self.starts[:, :-1] & ((1 << TOTAL - CELLS) - 1) > 0) + table * (2 << CELLS)).ravel(), minlength=len(cells) * (2 << CELLS)).reshape(len(cells), -1)[:, : 1 << CELLS]
+        self.first = (np.cumsum(begun, axis=1) - 1 + table * self.size).astype(np.int32).ravel()
+        #: By how much an id after a class is likelier by its class than by itself, in 1/16 of a doubling.
+        self.better = np.clip(logs(own + 1) - logs(every), -64, 64).ravel()
+        self.level = np.minimum(logs(every) // 32, 15)
+
+    def place(self, table: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Where among all totals the interval starts that holds a value of a mixture."""
+        at = self.first[(table << CELLS) + (value >> TOTAL - CELLS)].astype(np.int64)
+        todo = np.flatnonzero(self.totals[at + 1] <= value)
+        for _ in range(4):
+            if not len(todo):
+                return at
+            at[todo] += 1
+            todo = todo[self.totals[at[todo] + 1] <= value[todo]]
+        at[todo] = np.searchsorted(self.keys, (table[todo] << TOTAL + 1) + value[todo], "right") - 1
+        return at
+
+    def bytes(self) -> bytes:
+        return zlib.compress(self.counts.astype("<u4").tobytes() + self.classes.astype("<u1").tobytes() + self.after.astype("<u2").tobytes())
+
+    @staticmethod
+    def of(data: bytes, v: int) -> Model:
+        raw = zlib.decompress(data)
+        after = np.frombuffer(raw, "<u2", offset=5 * v).astype(np.int64)
+        return Model(np.frombuffer(raw, "<u4", v).astype(np.int64), np.frombuffer(raw, "<u1", v, 4 * v).astype(np.int64), after.reshape(-1, v) if v else after.reshape(1, 0))
+
+
+def classed(places: np.ndarray, v: int) -> np.ndarray:
+    """A class for each of v ids: ids whose successors fall alike into PARTS parts, by a few rounds of k-means."""
+    if len(places) < 2:
+        return np.zeros(v, np.int64)
+    part = (np.arange(v) * 2_654_435_761 >> 7) % PARTS
+    few = places[: -1 : max(1, len(places) >> 19)], places[1 :: max(1, len(places) >> 19)]
+    n = min(map(len, few))
+    table = np.bincount(few[0][:n] * PARTS + part[few[1][:n]], minlength=v * PARTS).reshape(v, PARTS).astype(np.float32)
+    mass = table.sum(1)
+    shape = np.sqrt(table / np.maximum(mass, 1)[:, None])
+    # the first centre is the most frequent id, each next one the frequent id that is least like those before
+    frequent = np.argsort(-mass, kind="stable")[: 16 * CLASSES]
+    centers, like = [frequent[0]], shape[frequent] @ shape[frequent[0]]
+    for _ in range(min(CLASSES, v) - 1):
+        centers.append(frequent[np.argmin(like)])
+        like = np.maximum(like, shape[frequent] @ shape[centers[-1]])
+    middle = shape[centers]
+    for _ in range(4):
+        of = np.argmax(shape @ middle.T, 1)
+        sums = np.stack([np.bincount(of, weights=table[:, p], minlength=len(middle)) for p in range(PARTS)], 1)
+        middle = np.sqrt(sums / np.maximum(sums.sum(1, keepdims=True), 1)).astype(np.float32)
+    return np.argmax(shape @ middle.T, 1)
+
+
+def fitted(places: np.ndarray, v: int) -> Model:
+    counts = np.bincount(places, minlength=v)
+    classes = classed(places, v)
+    k = int(classes.max(initial=0)) + 1
+    before = classes[places[:-1]] if len(places) else places
+    after = np.bincount(before * v + places[1:], minlength=k * v).reshape(k, v) if v else np.zeros((1, 0), np.int64)
+    return Model(counts, classes, np.where(after < LEAST_PAIRS, 0, np.minimum(after, 65_535)))
+
+
+def coded(blocks: int, n_ids: int, model: Model, ids: np.ndarray | None, words: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes ids [block, place], or reads them from words [block, word]; all blocks but the last have BLOCK ids.
+
+    Returns the ids, the words and how many of these each block has.
     """
-    n, steps = len(lengths), int(lengths.max())
-    out = np.zeros((n, steps), np.int64) if ids is None else ids
+    n, decode = blocks, words is not None
+    last_length = n_ids - (n - 1) * BLOCK
+    out = np.zeros((BLOCK, n), np.int64) if decode else np.ascontiguousarray(ids.T)
+    low, high, at = np.zeros(n, U64), np.full(n, 0xFFFFFFFFFFFFFFFF, U64), np.zeros(n, np.int64)
+    if decode:
+        code, at = (words[:, 0].astype(U64) << U64(32)) | words[:, 1], at + 2
+    else:
+        words, code = np.zeros((n, BLOCK + 16), np.uint32), None
     # a slot holds the id that followed last and, in its lowest three bits, how often it did in a row
-    slot2, slot1 = np.full(n * SLOTS2, -8, np.int32), np.full(n * SLOTS1, -8, np.int32)
-    often = np.zeros(n * SLOTS0, np.int8)
-    mix2, mix1 = Mixer(n), Mixer(n)
-    before, last = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    every = np.arange(n)
-    lanes.lanes = every
-    active = n
-    for t in range(steps):
-        if lengths[active - 1] <= t:
-            active = int(np.searchsorted(-lengths, -t, "left"))
-        now = every[:active]
-        a, b = before[:active], last[:active]
-        at2 = now * SLOTS2 + (((a * 40_503 + b * 30_011) >> 3) & (SLOTS2 - 1))
-        at1 = now * SLOTS1 + ((b * 40_503 >> 5) & (SLOTS1 - 1))
-        v2, v1 = slot2[at2], slot1[at1]
-        p2, p1, s2, s1 = v2 >> 3, v1 >> 3, v2 & 7, v1 & 7
-        want = out[:active, t] if ids is not None else None
-        got = np.empty(active, np.int64)
-        # order 2
-        frequent = often[now * SLOTS0 + (p2 & (SLOTS0 - 1))]
-        part = lanes.part(now) if active < n else lanes
-        hit2 = part.bit(mix2.chance(now, [s2, s1 + 8 * (p1 == p2), frequent]), None if want is None else want == p2)
-        if active < n:
-            lanes.back(part)
-        mix2.learn(hit2)
-        got[hit2] = p2[hit2]
-        # order 1, for the lanes that go on
-        rest = np.flatnonzero(~hit2)
-        if len(rest):
-            part = lanes.part(rest)
-            q = p1[rest]
-            hit1 = part.bit(mix1.chance(rest, [s1[rest], s2[rest] + 8 * (q == p2[rest]), often[rest * SLOTS0 + (q & (SLOTS0 - 1))]]), None if want is None else want[rest] == q)
-            mix1.learn(hit1)
-            got[rest[hit1]] = q[hit1]
-            lanes.back(part)
-            rest = rest[~hit1]
-        # order 0
-        if len(rest):
-            part = lanes.part(rest)
-            got[rest] = part.symbol(starts, None if want is None else want[rest])
-            lanes.back(part)
-        if want is None:
-            out[:active, t] = got
+    slot2, slot1 = np.full(n * SLOTS2, -1, np.int64), np.full(n * SLOTS1, -1, np.int64)
+    often, known = np.full(n * 16, 1 << 13, np.int64), np.full(n * 16, 1 << 13, np.int64)
+    weight_o, weight_k = np.full(n, 40_000, np.int64), np.full(n, 10_000, np.int64)
+    score, k, size = np.zeros(n, np.int64), len(model.after), model.size
+    a, b, lane = np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n)
+    at2, at1, at16 = lane * SLOTS2, lane * SLOTS1, lane * 16
+    for t in range(BLOCK):
+        if t == last_length and n > 1:
+            low_, high_, at_ = low[-1:], high[-1:], at[-1:]
+            n -= 1
+            low, high, at, score, a, b, lane, at2, at1, at16 = (x[:n] for x in (low, high, at, score, a, b, lane, at2, at1, at16))
+            weight_o, weight_k, code = weight_o[:n], weight_k[:n], code[:n] if decode else None
+        elif t == last_length:
+            break
+        where2 = at2 + (((a * 40_503 + b * 30_011) >> 3) & (SLOTS2 - 1))
+        where1 = at1 + ((b * 40_503 >> 5) & (SLOTS1 - 1))
+        v2, v1 = slot2[where2], slot1[where1]
+        v = np.where(v2 >= 0, v2, v1)
+        have, guess = v >= 0, v >> 3
+        # is it the id that followed before?
+        i, j = at16 + (v & 7) + 8 * (v2 >= 0), at16 + model.level[guess]
+        p, q = often[i], known[j]
+        ps, qs = STRETCH[p >> 4], STRETCH[q >> 4]
+        chance = SQUASH[np.clip((ps * weight_o + qs * weight_k) >> 16, -2047, 2047) + 2047]
+        middle = low + ((high - low) >> U64(16)) * (chance * have).astype(U64)
+        hit = have & (code <= middle) if decode else guess == out[t, :n]
+        goal = hit * 65_535
+        error = (goal - chance) * have
+        often[i], known[j] = p + (((goal - p) >> 4) * have), q + (((goal - q) >> 5) * have)
+        weight_o += (ps * error) >> 14
+        weight_k += (qs * error) >> 14
+        base = np.where(hit, low, middle + U64(1))
+        wide = np.where(hit, middle, high) - base
+        # if not, which one?
+        of = model.classes[b]
+        share = np.clip((score + 256) >> 7, 0, 3)
+        table = share * k + of
+        unit = wide >> U64(TOTAL)
+        if decode:
+            value = np.minimum((code - base) // np.maximum(unit, U64(1)), U64((1 << TOTAL) - 1)).astype(np.int64)
+            x = np.where(hit, guess, model.place(table, value) - table * size)
+            out[t, :n] = x
+        else:
+            x = out[t, :n]
+        row = table * size + x
+        low = np.where(hit, base, base + unit * model.totals[row].astype(U64))
+        high = np.where(hit, base + wide, base + unit * model.totals[row + 1].astype(U64) - U64(1))
+        score += np.where(hit, 0, model.better[of * (size - 1) + x]) - (score >> 4)
+        # every interval is at least 32 bits wide: its leading word goes, or it is cut where that isn't settled
+        while len(same := np.flatnonzero((high - low) < U64(1 << 32))):
+            lo, hi, w = low[same], high[same], at[same]
+            hi = np.where((lo ^ hi) < U64(1 << 32), hi, lo | U64(0xFFFFFFFF))
+            if decode:
+                code[same] = (code[same] << U64(32)) | words[same, np.minimum(w, words.shape[1] - 1)]
+            else:
+                if w.max() + 2 >= words.shape[1]:
+                    words = np.concatenate([words, np.zeros_like(words)], axis=1)
+                words[same, w] = lo >> U64(32)
+            low[same], high[same], at[same] = lo << U64(32), (hi << U64(32)) | U64(0xFFFFFFFF), w + 1
         # what was seen becomes the next prediction
-        slot2[at2] = np.where(p2 == got, v2 + (s2 < 7), got << 3)
-        slot1[at1] = np.where(p1 == got, v1 + (s1 < 7), got << 3)
-        at0 = now * SLOTS0 + (got & (SLOTS0 - 1))
-        often[at0] = np.minimum(often[at0] + 1, 15)
-        before[:active], last[:active] = b, got
-    return out
-
-
-def frequencies(counts: np.ndarray) -> np.ndarray:
-    """Running totals from 0 to 1 << TOTAL of frequencies in proportion to counts (all at least 1), none of them 0."""
-    scaled = 1 + np.cumsum(counts) * ((1 << TOTAL) - len(counts)) // counts.sum() + np.arange(len(counts)) if len(counts) else np.empty(0, np.int64)
-    return np.r_[0, scaled].astype(U64)
-
-
-def encode(places: np.ndarray, starts: np.ndarray) -> list[bytes]:
-    """The blocks of places in a list of ids with these running totals of frequencies."""
+        slot2[where2] = np.where(v2 >> 3 == x, v2 + ((v2 & 7) < 7), x << 3)
+        slot1[where1] = np.where(v1 >> 3 == x, v1 + ((v1 & 7) < 7), x << 3)
+        a, b = b, x
+    if n < blocks:
+        low, high, at = np.concatenate([low, low_]), np.concatenate([high, high_]), np.concatenate([at, at_])
+    if not decode:  # enough of each interval's lower end to name it
+        lane = np.arange(blocks)
+        words[lane, at], words[lane, at + 1] = low >> U64(32), low & U64(0xFFFFFFFF)
+        at = at + 2
+    return out.T, words, at
+
+
+def encode(places: np.ndarray, model: Model) -> list[bytes]:
+    """The blocks of places in the model's list of ids."""
     n = -(-len(places) // BLOCK)
     if not n:
         return []
-    lengths = np.minimum(BLOCK, len(places) - np.arange(n) * BLOCK)
     padded = np.zeros(n * BLOCK, np.int64)
     padded[: len(places)] = places
-    lanes = Lanes(n)
-    coded(lanes, lengths, starts, padded.reshape(n, BLOCK))
-    lanes.finish()
-    return [lanes.words[i, : lanes.at[i]].astype("<u4").tobytes() for i in range(n)]
+    _, words, sizes = coded(n, len(places), model, padded.reshape(n, BLOCK))
+    return [w[:size].astype("<u4").tobytes() for w, size in zip(words, sizes)]
 
 
-def decode(blocks: list[bytes], starts: np.ndarray, n_ids: int) -> np.ndarray:
-    """What encode() was given."""
-    if not blocks:
-        return np.empty(0, np.int64)
+def decode(blocks: list[bytes], model: Model, n_ids: int) -> np.ndarray:
+    """What encode() was given, from some of its blocks that have n_ids ids: only the last may have fewer than BLOCK."""
     n = len(blocks)
-    words = np.zeros((n, max(len(b) for b in blocks) // 4 + 2), np.uint32)
-    for i, b in enumerate(blocks):
-        words[i, : len(b) // 4] = np.frombuffer(b, "<u4")
-    lengths = np.minimum(BLOCK, n_ids - np.arange(n) * BLOCK)
-    found = coded(Lanes(n, words), lengths, starts, None)
-    return np.concatenate([row[:k] for row, k in zip(found, lengths)])
+    if not n:
+        return np.empty(0, np.int64)
+    words = np.zeros((n, max(map(len, blocks)) // 4 + 2), np.uint32)
+    for i, x in enumerate(blocks):
+        words[i, : len(x) // 4] = np.frombuffer(x, "<u4")
+    return coded(n, n_ids, model, None, words)[0].ravel()[:n_ids]
 
 
 def segment(documents: list[bytes]) -> bytes:
     """One segment of documents' ids (little-endian unsigned 32-bit)."""
     ids = np.frombuffer(b"".join(documents), "<u4")
-    known, places, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    blocks = encode(places, frequencies(counts))
-    checks = [zlib.crc32(ids[i : i + BLOCK].tobytes()) for i in range(0, len(ids), BLOCK)]
-    model = zlib.compress(np.diff(known, prepend=0).astype("<u4").tobytes() + counts.astype("<u4").tobytes())
-    head = MAGIC + struct.pack("<QQIIII", len(documents), len(ids), BLOCK, len(blocks), len(known), len(model))
-    fixed = head + np.array([len(d) // 4 for d in documents], "<u8").tobytes() + model + np.array([len(b) for b in blocks], "<u4").tobytes() + np.array(checks, "<u4").tobytes()
+    known, places = np.unique(ids, return_inverse=True)
+    fit = fitted(places, len(known))
+    blocks, model = encode(places, fit), fit.bytes()
+    names = zlib.compress(np.diff(known, prepend=0).astype("<u4").tobytes())
+    head = MAGIC + struct.pack("<QQIIIII", len(documents), len(ids), BLOCK, len(blocks), len(known), len(names), len(model))
+    fixed = head + np.array([len(d) // 4 for d in documents], "<u8").tobytes() + names + model + np.array([len(x) for x in blocks], "<u4").tobytes() + np.array([zlib.crc32(x) for x in blocks], "<u4").tobytes()
     return fixed + struct.pack("<I", zlib.crc32(fixed)) + b"".join(blocks)
 
 
-def documents_of(data: bytes) -> list[bytes]:
-    """The ids of each document of a segment; raises if a checksum doesn't hold."""
-    n_docs, n_ids, block, n_blocks, n_known, n_model = struct.unpack_from("<QQIIII", data, 4)
-    model = 36 + 8 * n_docs
-    index = model + n_model
-    at = index + 8 * n_blocks
-    if data[:4] != MAGIC or block != BLOCK or struct.unpack_from("<I", data, at)[0] != zlib.crc32(data[:at]):
-        raise ValueError("not a segment, or a damaged one")
-    lengths = np.frombuffer(data, "<u8", n_docs, 36).astype(np.int64)
-    known, counts = np.frombuffer(zlib.decompress(data[model:index]), "<u4").reshape(2, n_known).astype(np.int64)
+@dataclass
+class Header:
+    lengths: np.ndarray
+    ids: np.ndarray
+    model: Model
+    starts: np.ndarray  # of blocks, and the end
+    checks: np.ndarray
+    n_ids: int
+
+
+def header_of(data: bytes) -> Header:
+    """The header of a segment; raises ValueError if its checksum doesn't hold."""
+    n_docs, n_ids, block, n_blocks, n_known, n_names, n_model = struct.unpack_from("<QQIIIII", data.ljust(40, b"\0"), 4)
+    names = 40 + 8 * n_docs
+    index = names + n_names + n_model
+    end = index + 8 * n_blocks
+    if data[:4] != MAGIC or block != BLOCK or len(data) < end + 4 or struct.unpack_from("<I", data, end)[0] != zlib.crc32(data[:end]):
+        raise ValueError("not a segment, or its header is damaged")
     sizes, checks = np.frombuffer(data, "<u4", 2 * n_blocks, index).reshape(2, -1).astype(np.int64)
-    ends = at + 4 + np.cumsum(sizes)
-    places = decode([data[e - s : e] for s, e in zip(sizes, ends)], frequencies(counts), n_ids)
-    ids = np.cumsum(known).astype("<u4")[places].tobytes()
-    for i, want in enumerate(checks):
-        if zlib.crc32(ids[4 * i * BLOCK : 4 * (i + 1) * BLOCK]) != want:
-            raise ValueError(f"block {i} is damaged")
-    cuts = np.r_[0, np.cumsum(lengths)] * 4
+    ids = np.cumsum(np.frombuffer(zlib.decompress(data[names : names + n_names]), "<u4").astype(np.int64)).astype("<u4")
+    return Header(np.frombuffer(data, "<u8", n_docs, 40).astype(np.int64), ids, Model.of(data[names + n_names : index], n_known), end + 4 + np.r_[0, np.cumsum(sizes)], checks, n_ids)
+
+
+def block_bytes(data: bytes, head: Header, i: int) -> bytes:
+    """A block as it was coded; raises ValueError if its checksum doesn't hold."""
+    found = data[head.starts[i] : head.starts[i + 1]]
+    if zlib.crc32(found) != head.checks[i]:
+        raise ValueError(f"block {i} is damaged")
+    return found
+
+
+def read_block(data: bytes, i: int, head: Header | None = None) -> np.ndarray:
+    """The ids of block i of a segment, from its header and this block alone."""
+    head = head or header_of(data)
+    return head.ids[decode([block_bytes(data, head, i)], head.model, min(BLOCK, head.n_ids - i * BLOCK))]
+
+
+def documents_of(data: bytes) -> list[bytes]:
+    """The ids of each document of a segment; raises ValueError if a checksum doesn't hold, before anything is decoded."""
+    head = header_of(data)
+    blocks = [block_bytes(data, head, i) for i in range(len(head.checks))]
+    ids = head.ids[decode(blocks, head.model, head.n_ids)].tobytes()
+    cuts = np.r_[0, np.cumsum(head.lengths)] * 4
     return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
 

@@ -77,6 +77,30 @@ def expected_ids(rows, path, end):
     return [[*t.encode(x or "", add_special_tokens=False).ids, *end] for x in rows]
 
 
+def test_blocks_are_read_alone():
+    r = np.random.default_rng(9)
+    ids = np.minimum(r.zipf(1.2, 5_000), 30_000).astype("<u4")
+    data = range_coder.segment([ids[:2000].tobytes(), ids[2000:].tobytes()])
+    head = range_coder.header_of(data)
+    for i in range(5):
+        only = bytearray(len(data))  # nothing but the header and this block
+        only[: head.starts[0]] = data[: head.starts[0]]
+        only[head.starts[i] : head.starts[i + 1]] = data[head.starts[i] : head.starts[i + 1]]
+        assert range_coder.read_block(bytes(only), i).tolist() == ids[1024 * i : 1024 * (i + 1)].tolist()
+        with pytest.raises(ValueError, match="damaged"):
+            range_coder.read_block(bytes(only), (i + 1) % 5)
+    for at in (1, 20, head.starts[0] - 3):
+        with pytest.raises(ValueError):
+            range_coder.documents_of(data[:at] + bytes([data[at] ^ 4]) + data[at + 1 :])
+
+
+def test_models_learn(spark, sf):
+    texts = [r.text for r in spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet").orderBy("doc_id").collect()]
+    ids = np.frombuffer(b"".join(tokens.encoder(WORD).encode(texts)), "<u4")
+    p = np.unique(ids, return_counts=True)[1] / len(ids)
+    assert 8 * len(range_coder.segment([ids.tobytes()])) / len(ids) < 0.9 * -(p * np.log2(p)).sum(), "more than order 0 could"
+
+
 def test_segments_round_trip():
     rng = np.random.default_rng(3)
     for ids in (rng.integers(0, 60_000, 3000), np.zeros(1024), np.tile(rng.integers(0, 9, 7), 900), np.minimum(rng.zipf(1.3, 5000), 2**32 - 1), [7]):
@@ -379,6 +403,9 @@ def test_footrule_from_postings(spark):
     place = lambda o: np.array([list(o).index(p) if p in o else 8 for p in range(30)])
     want = [[int(np.abs(place(q) - place(o)).sum()) for o in order] for q in order[:5]]
     assert permutation_index.footrules(order[:5], order, 30).tolist() == want
+    files = permutation_index.Postings(order, 30)
+    for q, far in zip(order, want):
+        assert files.within(q, 50).tolist() == [i for i, d in enumerate(far) if d <= 50]
     x, pivots = rng.normal(size=(50, 4)), rng.normal(size=(20, 4))
     pivots[7] = pivots[3]
     assert permutation_index.orders(x, pivots, 6).tolist() == np.argsort(((x[:, None] - pivots) ** 2).sum(2).round(9), 1, kind="stable")[:, :6].tolist()
