@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tagfold.functions import lifetimes as L
 from tagfold.functions import scalars
-from tagfold.operators import codecs, commands, config, eviction, sessions, stats, tags, urls
+from tagfold.operators import codecs, commands, config, eviction, pages, sessions, stats, tags, urls
 from tagfold.sources import snapshots
-from tagfold.sources.tables import EPOCH, NOW, fpc_state, order_tags, session_log, session_log_of, table, url_set
+from tagfold.sources.tables import EPOCH, NOW, fpc_state, order_tags, page_log, page_log_of, session_log, session_log_of, table, url_set
+from tagfold.streaming import pages as live_pages
 from tagfold.streaming import sessions as live_sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,13 +104,16 @@ for _name, _always in (("fpc_read_extension_lru", True), ("fpc_read_extension_ex
     _tagged(_name, lambda f, a=_always: f.select("id", L.fpc_read(F.col("expire"), F.col("ua"), F.lit(NOW), a).alias("expire")), "true", f"id, CASE WHEN expire = {L.INFINITE} OR NOT ({_cond}) THEN expire ELSE greatest(expire, {NOW} + {_EXTRA}) END AS expire")
 
 
-@query("fpc_touch", f"""WITH {FPC}, t AS (SELECT 'doc-' || range AS id, range * 1000 AS extra FROM range(0, 2000, 7))
+@query("fpc_touch", f"""WITH {FPC}, t AS (SELECT id, usize % 50 * 1000 AS extra FROM fpc UNION ALL SELECT id || '-gone', 1000 FROM fpc WHERE ua = 3)
 SELECT t.id, CASE WHEN f.id IS NULL THEN 'did not exist' ELSE 'ok' END AS status,
        CASE WHEN f.expire = {L.INFINITE} THEN f.expire WHEN f.id IS NOT NULL THEN {NOW} + least(extra + greatest(f.expire - {NOW}, 0), {_list(L.FPC_MAX, 'f.ua')}) END AS expire
 FROM t LEFT JOIN fpc f ON t.id = f.id""")
 def fpc_touch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.range(0, 2000, 7).select(F.concat(F.lit("doc-"), F.col("id").cast("string")).alias("id"), (F.col("id") * 1000).alias("extra"))
-    both = asked.join(fpc_state(spark, sf_dir).select("id", "ua", "expire"), "id", "left")
+    """A touch of every record, and of some ids that don't exist."""
+    state = fpc_state(spark, sf_dir)
+    gone = state.where("ua = 3").select(F.concat("id", F.lit("-gone")).alias("id"), F.lit(1000).cast("long").alias("extra"))
+    asked = state.select("id", (F.col("usize") % 50 * 1000).alias("extra")).unionByName(gone)
+    both = asked.join(state.select("id", "ua", "expire"), "id", "left")
     return both.select("id", F.when(F.col("ua").isNull(), "did not exist").otherwise("ok").alias("status"), L.fpc_touch(F.col("expire"), F.col("ua"), F.lit(NOW), F.col("extra")).alias("expire"))
 
 
@@ -191,7 +195,69 @@ def _mixed_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("ua_promotion", f"""WITH {LOG}, w AS (SELECT *, (seq % 4)::INT AS u, count(*) FILTER (op = 'DESTROY') OVER (PARTITION BY id ORDER BY seq) AS life FROM slog)
 SELECT seq, id, max(u) OVER (PARTITION BY id, life ORDER BY seq) AS record_ua FROM w WHERE op <> 'DESTROY'""")(lambda s, d: sessions.promoted(_mixed_agents(s, d)))
 query("session_lock_conflicts", f"""WITH {LOG}, x AS (SELECT *, min(CASE WHEN op <> 'READ' THEN seq END) OVER (PARTITION BY id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS u FROM slog)
-SELECT a.id, a.seq AS holder, b.seq AS waiter FROM x a JOIN x b ON a.id = b.id AND b.seq > a.seq AND b.ts - a.ts <= 3600 AND (a.u IS NULL OR b.seq < a.u) WHERE a.op = 'READ' AND b.op = 'READ'""")(lambda s, d: sessions.lock_conflicts(session_log(s, d), 3600))
+SELECT a.id, a.seq AS holder, b.seq AS waiter FROM x a JOIN x b ON a.id = b.id AND b.seq > a.seq AND b.ts - a.ts <= 8 AND (a.u IS NULL OR b.seq < a.u) WHERE a.op = 'READ' AND b.op = 'READ'""")(lambda s, d: sessions.lock_conflicts(session_log(s, d)))
+
+# --- pages ---
+_PLOG = """plog AS (
+  SELECT *, CASE op WHEN 'SAVE' THEN CASE WHEN event_type = 'purchase' THEN floor(value)::BIGINT * 600 + 60 WHEN seq % 4 = 0 THEN 0 ELSE -1 END WHEN 'TOUCH' THEN seq % 50 * 1000 END AS lifetime,
+         CASE WHEN op = 'SAVE' AND seq % 11 <> 0 OR op = 'CLEAN' THEN ['t' || seq % 7, 'u' || user_id % 5] ELSE []::VARCHAR[] END AS tags,
+         (['matchall', 'matchall', 'matchany', 'matchall', 'matchall', 'matchnot', 'matchall', 'matchany'])[(seq // 20 % 8 + 1)::INT] AS mode
+  FROM (SELECT event_id AS seq, floor(epoch(ts))::BIGINT AS ts, 'page-' || (user_id * 3 + event_id % 3) AS id, (event_id % 4)::INT AS ua, value, event_type, user_id,
+               CASE WHEN event_type IN ('signup', 'purchase') THEN 'SAVE' WHEN event_type = 'click' THEN 'TOUCH' WHEN event_type = 'view' THEN CASE WHEN event_id % 3 = 0 THEN 'TEST' ELSE 'LOAD' END
+                    WHEN event_id % 20 = 0 THEN 'CLEAN' ELSE 'REMOVE' END AS op FROM events))"""
+
+
+def _pages(where: str, always: bool) -> str:
+    return f"""WITH RECURSIVE {_PLOG}, own AS (SELECT * FROM plog WHERE {where}), pid AS (SELECT DISTINCT id FROM own WHERE op <> 'CLEAN'),
+c AS (SELECT id, seq, ts, ua, op, lifetime, tags, mode, floor(value)::BIGINT + 1 AS usize FROM own WHERE op <> 'CLEAN'
+      UNION ALL SELECT pid.id, seq, ts, ua, op, lifetime, tags, mode, 0 FROM own, pid WHERE op = 'CLEAN'),
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS k FROM c),
+r AS (
+  SELECT id, 0::BIGINT AS k, false AS alive, 0 AS rua, []::VARCHAR[] AS rtags, 0::BIGINT AS mtime, 0::BIGINT AS expire, 0::BIGINT AS lru_seq, 0::BIGINT AS rsize, 0::BIGINT AS loads, 0::BIGINT AS hits, 0::BIGINT AS errors FROM pid
+  UNION ALL
+  SELECT id, k, live, CASE WHEN live THEN nua ELSE 0 END, CASE WHEN NOT live THEN [] WHEN op = 'SAVE' THEN tags ELSE rtags END, CASE WHEN NOT live THEN 0 WHEN op = 'SAVE' THEN ts ELSE mtime END,
+         CASE WHEN NOT live THEN 0
+              WHEN op = 'SAVE' THEN CASE WHEN lifetime = 0 THEN {L.INFINITE} ELSE ts + least(CASE WHEN lifetime < 0 THEN {_list(L.FPC_DEFAULT, 'nua')} ELSE lifetime END, {_list(L.FPC_MAX, 'nua')}) END
+              WHEN expire = {L.INFINITE} THEN expire
+              WHEN op = 'TOUCH' THEN ts + least(lifetime + greatest(expire - ts, 0), {_list(L.FPC_MAX, 'nua')})
+              WHEN op IN ('LOAD', 'TEST') AND ({str(always).lower()} OR ts >= expire) THEN greatest(expire, ts + {_list(L.FPC_READ_EXTRA, 'nua')}) ELSE expire END,
+         CASE WHEN NOT live THEN 0 WHEN op = 'CLEAN' THEN lru_seq ELSE seq END, CASE WHEN NOT live THEN 0 WHEN op = 'SAVE' THEN usize ELSE rsize END,
+         loads + (op IN ('LOAD', 'TEST'))::INT, hits + (op IN ('LOAD', 'TEST') AND live)::INT, errors + (op = 'TOUCH' AND NOT live)::INT
+  FROM (
+    SELECT n.id, n.k, n.op, n.ts, n.seq, n.lifetime, n.tags, n.usize, r.rtags, r.mtime, r.expire, r.lru_seq, r.rsize, r.loads, r.hits, r.errors,
+           CASE WHEN n.op IN ('SAVE', 'LOAD', 'TEST') THEN greatest(r.rua, n.ua) ELSE r.rua END AS nua,
+           CASE n.op WHEN 'SAVE' THEN true WHEN 'REMOVE' THEN false
+                     WHEN 'CLEAN' THEN r.alive AND NOT CASE n.mode WHEN 'matchall' THEN list_has_all(r.own, n.tags) WHEN 'matchany' THEN list_has_any(r.own, n.tags) ELSE NOT list_has_any(r.own, n.tags) END
+                     ELSE r.alive END AS live
+    FROM (SELECT *, CASE WHEN len(rtags) = 0 THEN ['{tags.UNTAGGED}'] ELSE rtags END AS own FROM r) r JOIN n ON n.id = r.id AND n.k = r.k + 1)),
+z AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC) = 1)
+"""
+
+
+_PAGE = "id, rua AS ua, array_to_string(list_sort(rtags), ',') AS tag_list, mtime, expire, lru_seq, rsize AS usize"
+
+
+def _page_rows(state: DataFrame, *more: str) -> DataFrame:
+    return state.where("alive").select("id", "ua", F.array_join(F.array_sort("tags"), ",").alias("tag_list"), "mtime", "expire", "lru_seq", "usize", *more)
+
+
+query("page_state", _pages("true", True) + f"SELECT {_PAGE} FROM z WHERE alive")(lambda s, d: _page_rows(pages.fold(page_log(s, d))))
+query("page_state_expiration", _pages("true", False) + f"SELECT {_PAGE} FROM z WHERE alive")(lambda s, d: _page_rows(pages.fold(page_log(s, d), always=False)))
+query("page_loads_hit_miss", _pages("true", True) + "SELECT id, loads, hits, loads - hits AS misses, errors FROM z")(lambda s, d: pages.fold(page_log(s, d)).select("id", "loads", "hits", (F.col("loads") - F.col("hits")).alias("misses"), "errors"))
+# with CLEANs of old pages, whose victims depend on all pages: no SQL
+query("page_state_old_cleaned")(lambda s, d: _page_rows(pages.states(page_log(s, d, old=True), snapshots.saved(s, "pages"))))
+
+
+@query("replay_binlog", _pages("op NOT IN ('LOAD', 'TEST')", True) + f"SELECT {_PAGE} FROM z WHERE alive")
+def replay_binlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = snapshots.binlog(page_log(spark, sf_dir), snapshots.new_folder(spark, "binlog"))
+    return _page_rows(pages.fold(snapshots.replayed(spark, path)))
+
+
+@query("stream_page_state", _pages("true", True) + f"SELECT {_PAGE} FROM z WHERE alive")
+def stream_page_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _page_rows(live_pages.followed(page_log_of(live_sessions.events(spark, sf_dir))))
+
 
 # --- commands ---
 _DIM = "dim(op, handler, auth, replicate) AS (VALUES " + ", ".join(f"('{op}', '{h}', '{a}', {str(op in commands.REPLICATED.split()).lower()})" for (h, a), ops in commands.HANDLERS.items() for op in ops.split()) + ")"
@@ -325,7 +391,7 @@ query("rotation_names", f"""WITH {URLS}, t AS (SELECT ord, lastmod, (['log_%s.tx
 SELECT ord, CASE ord % 5 WHEN 0 THEN 'log_' || strftime(make_timestamp(lastmod * 1000000), '%Y%m%d%H%M%S') || '.txt' WHEN 1 THEN 'bin_' || lastmod || '.blf' WHEN 2 THEN '100%_' || lastmod END AS name FROM t""")(
     lambda s, d: url_set(s, d).select("ord", scalars.rotated(F.element_at(F.array(*map(F.lit, ("log_%s.txt", "bin_%d.blf", "100%%_%d", "none", "%s_%d"))), (F.col("ord") % 5 + 1).cast("int")), F.col("lastmod")).alias("name")))
 query("shown_times", f"WITH {URLS} SELECT ord, strftime(make_timestamp(lastmod * 1000000), '%Y.%m.%d %H:%M:%S') AS shown FROM urls")(lambda s, d: url_set(s, d).select("ord", scalars.shown_time(F.col("lastmod")).alias("shown")))
-query("info_lines", f"WITH {FPC} SELECT ua, count(*) || ' record' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END AS line FROM fpc WHERE id < 'doc-2' OR ua < 3 GROUP BY ua")(lambda s, d: fpc_state(s, d).where("id < 'doc-2' OR ua < 3").groupBy("ua").agg(F.count("*").alias("n")).select("ua", scalars.plural(F.col("n"), "record").alias("line")))
+query("info_lines", f"WITH {FPC} SELECT ua, count(*) || ' record' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END AS line FROM fpc GROUP BY ua")(lambda s, d: fpc_state(s, d).groupBy("ua").agg(F.count("*").alias("n")).select("ua", scalars.plural(F.col("n"), "record").alias("line")))
 query("tag_lists_edited", f"WITH {FPC} SELECT id, array_to_string(list_sort(list_filter(list_distinct(list_concat(tags, ['new', 'en'])), lambda x: x <> 'fr')), ',') AS tag_list FROM fpc")(
     lambda s, d: fpc_state(s, d).select("id", F.array_join(F.array_sort(tags.removed(tags.added(F.col("tags"), ["new", "en"]), ["fr"])), ",").alias("tag_list")))
 query("optimizable_records", f"WITH {FPC} SELECT id, usize FROM fpc WHERE usize >= 256")(lambda s, d: codecs.optimizable(fpc_state(s, d)).select("id", "usize"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagfold.functions import lifetimes as L
-from tagfold.operators.commands import REPLICATED
+from tagfold.operators.commands import REPLICATED, status
 from tagfold.operators.tags import linked
 
 
@@ -18,8 +18,10 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all of a cluster sees; a temporary one only where it is unset."""
+    """The folder of spark.checkpoint.dir, which all of a cluster sees; a temporary one only on a single machine where it is unset."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not found:
         name = spark.sparkContext.applicationId
         found = _own.get(name) or _own.setdefault(name, tempfile.mkdtemp(prefix="tagfold-"))
@@ -59,12 +61,45 @@ def replicated(log: DataFrame, from_network: str | None = None) -> DataFrame:
     return out.where(F.col(from_network)) if from_network else out
 
 
-def binlog(log: DataFrame, path: str) -> str:
-    """Appends mutating commands to a binlog folder."""
-    replicated(log).write.mode("append").parquet(path)
+#: What a binlog's header says; another version is another format of commands.
+SIGNATURE, VERSION = "tagfold binlog", 1
+
+
+def binlog(log: DataFrame, path: str, from_network: str | None = None) -> str:
+    """Appends mutating commands to a binlog: a folder with a header and commands. from_network: as in replicated(), so that
+    what was replayed from a binlog isn't written to one again."""
+    spark = log.sparkSession
+    header = spark.createDataFrame([(SIGNATURE, VERSION)], "signature string, version int").coalesce(1)
+    header.write.mode("overwrite").json(f"{path}/header")
+    replicated(log, from_network).write.mode("append").parquet(f"{path}/commands")
     return path
 
 
+def replayed(spark: SparkSession, path: str) -> DataFrame:
+    """The commands of a binlog up to its first bad one, with from_network false; raises ValueError for another kind of folder."""
+    header = spark.read.schema("signature string, version int").json(f"{path}/header").first()
+    if header is None or header["signature"] != SIGNATURE:
+        raise ValueError(f"{path} is no binlog")
+    if header["version"] != VERSION:
+        raise ValueError(f"{path} has version {header['version']}, not {VERSION}")
+    log = spark.read.parquet(f"{path}/commands")
+    known = F.col("op").isin(*REPLICATED.split())
+    named = F.col("op").isin("CLEAN", "GC") | (status(F.col("id"), F.col("ua"), F.col("lifetime")) == "ok")
+    bad = log.where(~F.coalesce(known & named, F.lit(False))).agg(F.min("seq")).first()[0]
+    return (log if bad is None else log.where(F.col("seq") < bad)).withColumn("from_network", F.lit(False))
+
+
+def saved(spark: SparkSession, what: str):
+    """Writes a DataFrame below the shared folder and reads it back."""
+
+    def save(df: DataFrame) -> DataFrame:
+        path = new_folder(spark, what)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return save
+
+
 def url_list(spark: SparkSession, path: str) -> DataFrame:
     """URLs from text lines "0.75 http://..."; blank lines and those from # on are skipped."""
     line = F.trim("value")

@@ -54,3 +54,23 @@ def order_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as tagged records, for queries at a larger scale."""
     o = table(spark, sf_dir, "orders")
     return o.select(F.col("o_orderkey").alias("id"), F.array("o_orderstatus", "o_orderpriority").alias("tags"))
+
+
+def page_log_of(e: DataFrame, old: bool = False) -> DataFrame:
+    """Page commands made of rows of events (a stream's too): signups and purchases save a page, clicks touch it, views load it
+    or test for it, errors remove it, or clean by tags. old: some of them clean expired pages."""
+    n, u, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
+    clean = (kind == "error") & (n % 20 == 0)
+    op = F.when(kind.isin("signup", "purchase"), "SAVE").when(kind == "click", "TOUCH").when(kind == "view", F.when(n % 3 == 0, "TEST").otherwise("LOAD")).when(clean, "CLEAN").otherwise("REMOVE")
+    mode = F.element_at(F.array(*map(F.lit, ("matchall", "matchall", "matchany", "matchall", "matchall", "matchnot", "matchall", "old" if old else "matchany"))), (F.floor(n / 20) % 8 + 1).cast("int"))
+    tags = F.array(F.concat(F.lit("t"), (n % 7).cast("string")), F.concat(F.lit("u"), (u % 5).cast("string")))
+    lifetime = F.when(kind == "signup", F.when(n % 4 == 0, 0).otherwise(-1)).when(kind == "purchase", F.floor("value") * 600 + 60).when(kind == "click", n % 50 * 1000)
+    ts = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    return e.select(
+        n.alias("seq"), ts.cast("long").alias("ts"), F.concat(F.lit("page-"), (u * 3 + n % 3).cast("string")).alias("id"), (n % 4).cast("int").alias("ua"), op.alias("op"), lifetime.cast("long").alias("lifetime"),
+        F.when((op == "SAVE") & (n % 11 != 0) | clean, tags).alias("tags"), F.when(op == "SAVE", F.floor("value") + 1).cast("long").alias("usize"), F.when(clean, mode).alias("mode"),
+    )
+
+
+def page_log(spark: SparkSession, sf_dir: str, old: bool = False) -> DataFrame:
+    return page_log_of(table(spark, sf_dir, "events"), old)

@@ -175,3 +175,95 @@ def test_stream_counts_late_files(spark, sf, tmp_path):
 def test_fold_refuses_unknown_commands():
     with pytest.raises(ValueError, match="GC"):
         sessions.Session().apply(1, NOW, 3, "GC", None)
+
+
+def page_commands(spark, rows):
+    """rows: (ts, op, id, ua, lifetime, tags, usize, mode) in order."""
+    full = [(i, ts, name, ua, op, lifetime, tags_, size, mode) for i, (ts, op, name, ua, lifetime, tags_, size, mode) in enumerate(rows)]
+    return spark.createDataFrame(full, "seq long, ts long, id string, ua int, op string, lifetime long, tags array<string>, usize long, mode string")
+
+
+def alive(df):
+    return names(df.where("alive"))
+
+
+def test_page_fold_follows_the_server_script(spark):
+    from tagfold.operators import pages as P
+
+    t = ["first", "binlog-tag-two"]
+    start = [(NOW, "SAVE", "binlog-record", 3, -1, ["binlog-tag-one", "binlog-tag-two"], 17, None), (NOW, "SAVE", "another-record", 3, -1, ["binlog-tag-two", "binlog-tag-three"], 18, None)]
+    steps = [*start, (NOW + 1, "SAVE", "test", 3, -1, t, 24, None), (NOW + 2, "LOAD", "test", 3, None, None, None, None), (NOW + 3, "TOUCH", "test", 0, 7 * 86_400, None, None, None)]
+    state = P.fold(page_commands(spark, steps))
+    assert names(tags.matching(state, ["binlog-tag-two", "binlog-tag-three"])) == ["another-record"]
+    assert names(tags.not_matching(state, ["binlog-tag-three"])) == ["binlog-record", "test"]
+    assert names(tags.matching_any(state, ["first", "binlog-tag-two", "binlog-tag-three"])) == ["another-record", "binlog-record", "test"]
+    row = state.where("id = 'test'").first()
+    assert (row.expire, row.mtime, row.usize, row.loads, row.hits) == (NOW + 3 + L.FPC_MAX[3], NOW + 1, 24, 1, 1)
+    gone = [*steps, (NOW + 4, "REMOVE", "test", 0, None, None, None, None), (NOW + 5, "TEST", "test", 3, None, None, None, None), (NOW + 6, "TOUCH", "test", 0, 604_800, None, None, None), (NOW + 7, "LOAD", "test", 3, None, None, None, None)]
+    row = P.fold(page_commands(spark, gone)).where("id = 'test'").first()
+    assert (row.alive, row.loads, row.hits, row.errors) == (False, 3, 1, 1)
+    again = [*gone, (NOW + 8, "SAVE", "test", 1, 60, ["b", "a", "b"], 6510, None)]
+    row = P.fold(page_commands(spark, again)).where("id = 'test'").first()
+    assert (row.alive, row.usize, row.ua, row.expire, row.tags) == (True, 6510, 1, NOW + 68, ["b", "a"])
+
+
+def test_page_fold_cleans(spark):
+    from tagfold.operators import pages as P
+
+    steps = [(NOW, "SAVE", f"fpc-{i}", 3, 3600 if i == 1 else 0, [f"tag-{i}", None, f"tag-{i + 1}"], 9, None) for i in (1, 2, 3)] + [(NOW, "SAVE", "bare", 3, 0, None, 0, None)]
+    clean = lambda mode, *given: (NOW, "CLEAN", None, None, None, list(given), None, mode)
+    for more, want in (
+        ([], ["bare", "fpc-1", "fpc-2", "fpc-3"]), ([clean("matchall", "tag-1", "tag-2")], ["bare", "fpc-2", "fpc-3"]), ([clean("matchnot", "tag-2", "tag-3")], ["fpc-1", "fpc-2", "fpc-3"]),
+        ([clean("matchany", "tag-1", "tag-2")], ["bare", "fpc-3"]), ([clean("matchall", tags.UNTAGGED)], ["fpc-1", "fpc-2", "fpc-3"]), ([clean("matchall")], ["bare", "fpc-1", "fpc-2", "fpc-3"]), ([clean("all")], []),
+        ([clean("all"), steps[1]], ["fpc-2"]),
+    ):
+        assert alive(P.fold(page_commands(spark, [*steps, *more]))) == want
+
+
+def test_page_states_clean_old_pages(spark, tmp_path):
+    from tagfold.operators import pages as P
+
+    r, rows, ts = random.Random(6), [], NOW
+    for i in range(400):
+        ts += r.choice([1, 400, 3000])
+        op = r.choice(["SAVE"] * 6 + ["LOAD", "TOUCH", "REMOVE", "CLEAN"])
+        tags_ = [r.choice("xyz")]
+        rows.append((ts, op, None if op == "CLEAN" else f"p{r.randint(0, 60)}", r.randint(0, 1), r.choice([0, 60, 5000]) if op == "SAVE" else 30, tags_, 1, r.choice(["old", "old", "matchall"]) if op == "CLEAN" else None))
+    retain = (3, 2, 2, 2)
+    got = P.states(page_commands(spark, rows), snapshots.saved(spark, "t"), retain=retain, always=False)
+    pages_ = {}
+    for seq, (ts, op, name, ua, lifetime, tags_, size, mode) in enumerate(rows):
+        if op != "CLEAN":
+            pages_.setdefault(name, P.Page()).apply(seq, ts, ua, op, lifetime, tags_, size, False)
+        elif mode != "old":
+            [p.clean(mode, set(tags_)) for p in pages_.values() if p.alive]
+        else:
+            for u in range(4):
+                chain = sorted((p.lru_seq, k) for k, p in pages_.items() if p.alive and p.ua == u)
+                left = len(chain)
+                for _, k in chain:
+                    if left > retain[u] and pages_[k].expire < ts:
+                        pages_[k].drop()
+                        left -= 1
+    assert {x.id: tuple(x)[1:] for x in got.collect()} == {k: p.row(k)[1:] for k, p in pages_.items()}
+    # the same in three parts, from state to state
+    state = None
+    for a in (0, 130, 260):
+        part = page_commands(spark, rows).where(f"seq >= {a} and seq < {a + 130 if a < 260 else 400}")
+        state = snapshots.saved(spark, "t")(P.states(part, snapshots.saved(spark, "t"), state, retain=retain, always=False))
+    assert {x.id: tuple(x)[1:] for x in state.collect()} == {k: p.row(k)[1:] for k, p in pages_.items()}
+
+
+def test_binlog_stops_at_the_first_bad_command(spark, tmp_path):
+    log = page_commands(spark, [(NOW, "SAVE", "a", 1, -1, [], 1, None), (NOW, "LOAD", "a", 1, None, None, None, None), (NOW, "CLEAN", None, None, None, ["x"], None, "matchany"), (NOW, "TOUCH", "a", 9, 1, None, None, None), (NOW, "REMOVE", "a", 1, None, None, None, None)])
+    path = snapshots.binlog(log, str(tmp_path / "b"))
+    got = snapshots.replayed(spark, path)
+    assert sorted(r.op for r in got.collect()) == ["CLEAN", "SAVE"]
+    assert snapshots.replicated(got, "from_network").count() == 0, "what comes from a binlog isn't written to one"
+    snapshots.binlog(log.where("seq = 0"), path)
+    assert spark.read.parquet(f"{path}/commands").count() == 5
+    for header in ('{"signature": "tagfold binlog", "version": 7}', '{"signature": "other", "version": 1}', ""):
+        (tmp_path / "c" / "header").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "c" / "header" / "h.json").write_text(header)
+        with pytest.raises(ValueError):
+            snapshots.replayed(spark, str(tmp_path / "c"))
