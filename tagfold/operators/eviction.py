@@ -32,6 +32,25 @@ def collectable(state: DataFrame, victim: Column, retain: tuple[int, ...]) -> Da
     return marked.join(counts, "ua").where(F.col("_rank") < F.col("_n") - by_ua(F.col("ua"), retain)).drop("_n", "_rank")
 
 
+def collected(state: DataFrame, victim: Column, retain: tuple[int, ...], quota: int | None = None, mode: str = "expiration-lru") -> DataFrame:
+    """Who goes in a garbage collection of an eviction mode: victims (in lru modes none), and in LRU order whoever else is
+    above the quota then; strict-lru collects nothing."""
+    if mode == "strict-lru":
+        return state.where("false")
+    may = collectable(state, victim, retain) if mode in ("expiration-lru", "strict-expiration-lru", "expiration") else state.where("false")
+    if quota is None:
+        return may
+    # the walk deletes anything while above the quota, and only victims from then on
+    above = evicted(state, F.col("total") - quota, retain)
+    return above.unionByName(may.join(above.select("id"), "id", "left_anti").select(*state.columns))
+
+
+def shrunk_domain(fpc_used: Column, fpc_quota: Column, session_used: Column, session_quota: Column) -> Column:
+    """The domain that an emergency frees memory of: one above its quota (null: none), pages first, else the larger one."""
+    over = lambda used, quota: F.coalesce(used > quota, F.lit(False))
+    return F.when(over(fpc_used, fpc_quota), "fpc").when(over(session_used, session_quota), "session").when(fpc_used > session_used, "fpc").otherwise("session")
+
+
 def evicted(state: DataFrame, excess: Column, retain: tuple[int, ...]) -> DataFrame:
     """Records deleted to free excess bytes: in order, until what is freed before a record reaches it. excess may use total (used bytes)."""
     total = state.agg(F.coalesce(F.sum("usize"), F.lit(0)).alias("total"))

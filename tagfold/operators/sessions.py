@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagfold.functions import lifetimes as L
+from tagfold.ship import ship
 
 STATE = "id string, ua int, num_writes long, mtime long, expire long, lru_seq long, reads long, hits long, alive boolean"
 
@@ -30,8 +31,11 @@ class Session:
     def drop(self) -> None:
         self.alive, self.ua, self.num_writes, self.mtime, self.expire, self.lru_seq = False, 0, 0, 0, 0, 0
 
-    def apply(self, seq: int, ts: int, ua: int, op: str, lifetime: int | None, revive: bool = False) -> None:
-        """revive: a read brings an expired session back, as documented; else it deletes it, as servers do."""
+    def apply(self, seq: int, ts: int, ua: int, op: str, lifetime: int | None, revive: bool = False, always: bool = False) -> None:
+        """revive: a read brings an expired session back, as documented; else it deletes it, as servers do.
+
+        always: every read lengthens the lifetime (LRU modes), else only that of an expired session.
+        """
         if op == "DESTROY":
             self.drop()
         elif op == "READ":
@@ -41,7 +45,7 @@ class Session:
             if self.alive:
                 self.hits += 1
                 self.ua, self.lru_seq = max(self.ua, ua), seq
-                if self.num_writes > 0 and ts >= self.expire:
+                if self.num_writes > 0 and (always or ts >= self.expire):
                     self.expire = max(self.expire, ts + L.SESSION_READ_EXTRA[self.ua])
         elif op != "WRITE":
             raise ValueError(f"the session fold has no rule for {op}")
@@ -58,8 +62,9 @@ class Session:
         return name, self.ua, self.num_writes, self.mtime, self.expire, self.lru_seq, self.reads, self.hits, self.alive
 
 
-def fold(log: DataFrame, revive: bool = False) -> DataFrame:
+def fold(log: DataFrame, revive: bool = False, always: bool = False) -> DataFrame:
     """STATE of each session of the log (seq, ts, id, ua, op, lifetime) after its last command."""
+    ship(log.sparkSession)
     names = [x.split()[0] for x in STATE.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,7 +77,7 @@ def fold(log: DataFrame, revive: bool = False) -> DataFrame:
                     if current is not None:
                         done.append(state.row(current))
                     current, state = name, Session()
-                state.apply(seq, ts, ua, op, None if lifetime is None else int(lifetime), revive)
+                state.apply(seq, ts, ua, op, None if lifetime is None else int(lifetime), revive, always)
             yield pd.DataFrame(done, columns=names)
         if current is not None:
             yield pd.DataFrame([state.row(current)], columns=names)
@@ -80,8 +85,8 @@ def fold(log: DataFrame, revive: bool = False) -> DataFrame:
     return log.select("id", "seq", "ts", "ua", "op", "lifetime").repartition("id").sortWithinPartitions("id", "seq").mapInPandas(run, STATE)
 
 
-def live(log: DataFrame, revive: bool = False) -> DataFrame:
-    return fold(log, revive).where("alive").select("id", "ua", "num_writes", "mtime", "expire", "lru_seq")
+def live(log: DataFrame, revive: bool = False, always: bool = False) -> DataFrame:
+    return fold(log, revive, always).where("alive").select("id", "ua", "num_writes", "mtime", "expire", "lru_seq")
 
 
 def hits_and_misses(log: DataFrame) -> DataFrame:
@@ -118,3 +123,25 @@ def lock_conflicts(log: DataFrame, wait: int = 8) -> DataFrame:
     b = reads.select("id", "_b", F.col("seq").alias("waiter"), F.col("ts").alias("_ts"))
     near = (F.col("waiter") > F.col("holder")) & (F.col("_ts") - F.col("_from") <= wait) & (F.col("_until").isNull() | (F.col("waiter") < F.col("_until")))
     return a.join(b, ["id", "_b"]).where(near).select("id", "holder", "waiter")
+
+
+def lock_waits(log: DataFrame, wait: int = 8) -> DataFrame:
+    """Reads that find the session locked for another request: id, holder, waiter, waited (seconds) and broken.
+
+    The first read of a request locks the session for its request_id, until the request's next write or any destroy. A read
+    of another request waits for that, wait seconds at most: then it breaks the lock. A lock that nothing has released is
+    taken for broken wait seconds after it was taken, so both sides are dealt to buckets of that time.
+    """
+    after = lambda *keys: Window.partitionBy(*keys).orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    end = F.struct("seq", "ts")
+    marked = log.withColumns({
+        "_own": F.min(F.when(F.col("op") == "WRITE", end)).over(after("id", "request_id")), "_any": F.min(F.when(F.col("op") == "DESTROY", end)).over(after("id")),
+        "_first": F.row_number().over(Window.partitionBy("id", "request_id", "op").orderBy("seq")),
+    })
+    reads = marked.where("op = 'READ'").withColumns({"_end": F.least("_own", "_any"), "_b": F.floor(F.col("ts") / wait)})
+    a = reads.where("_first = 1").select("id", F.col("seq").alias("holder"), F.col("request_id").alias("_request"), F.col("ts").alias("_from"), "_end", F.explode(F.array("_b", F.col("_b") + 1)).alias("_b"))
+    b = reads.select("id", "_b", F.col("seq").alias("waiter"), "request_id", F.col("ts").alias("_ts"))
+    held = (F.col("waiter") > F.col("holder")) & (F.col("request_id") != F.col("_request")) & (F.col("_ts") - F.col("_from") <= wait) & (F.col("_end").isNull() | (F.col("waiter") < F.col("_end.seq")))
+    left = F.col("_end.ts") - F.col("_ts")
+    broken = left.isNull() | (left > wait)
+    return a.join(b, ["id", "_b"]).where(held).select("id", "holder", "waiter", F.when(broken, wait).otherwise(left).cast("long").alias("waited"), broken.alias("broken"))

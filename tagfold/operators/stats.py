@@ -20,8 +20,7 @@ def value_range(df: DataFrame, value: Column) -> DataFrame:
 
 
 def filling(state: DataFrame, quota: int) -> DataFrame:
-    used = F.coalesce(F.sum("usize"), F.lit(0))
-    return state.agg((F.least(F.lit(100), F.floor(used * 100 / quota)) if quota else F.lit(0)).cast("long").alias("percentage"))
+    return state.agg((F.least(F.lit(100), F.expr(f"coalesce(sum(usize), 0) * 100 div {quota}")) if quota else F.lit(0)).cast("long").alias("percentage"))
 
 
 def info(domains: dict[str, DataFrame]) -> DataFrame:
@@ -41,6 +40,14 @@ def wildcard(named: DataFrame, masks: DataFrame, column: str = "name") -> DataFr
     return named.join(masks.where(F.length("mask") < 128), F.expr(f"{column} ilike pattern"))
 
 
+def check(answers: DataFrame, metrics: DataFrame, limits: dict[str, tuple[str, int]], load: int) -> DataFrame:
+    """One row: load (percent, given), warnings (of health()) and errors (answers whose status isn't ok)."""
+    errors = answers.agg(F.count_if(F.col("status") != "ok").alias("errors"))
+    warnings = health(metrics, limits).agg(F.count_if(F.col("status") == "warning").alias("warnings"))
+    # one row each
+    return errors.crossJoin(warnings).select(F.lit(load).cast("long").alias("load"), "warnings", "errors")
+
+
 def health(metrics: DataFrame, limits: dict[str, tuple[str, int]]) -> DataFrame:
     """metrics (name, value) with status: warning where a value is below ("min") or above ("max") its limit."""
     status = F.lit("ok")

@@ -1,4 +1,7 @@
-"""Queries by tag and by id on page records. Tags are sets; an empty query list matches nothing, or excludes nothing."""
+"""Queries by tag and by id on page records. Tags are sets; an empty query list matches nothing, or excludes nothing.
+
+A null list of tags has none, and null tags in a list are dropped.
+"""
 
 from __future__ import annotations
 
@@ -12,9 +15,14 @@ def asked(tags: list[str]) -> Column:
     return F.array_distinct(F.array(*map(F.lit, tags))) if tags else F.array().cast("array<string>")
 
 
+def own(tags: Column) -> Column:
+    """The tags of a record."""
+    return F.coalesce(F.array_compact(tags), F.array().cast("array<string>"))
+
+
 def linked(tags: Column) -> Column:
     """The tags a record is found by: one without tags by a reserved one."""
-    return F.when(F.size(tags) == 0, F.array(F.lit(UNTAGGED))).otherwise(tags)
+    return F.when(F.size(own(tags)) == 0, F.array(F.lit(UNTAGGED))).otherwise(own(tags))
 
 
 def has_all(tags: list[str]) -> Column:
@@ -51,7 +59,7 @@ def matching_at_least(fpc: DataFrame, tags: list[str], n: int) -> DataFrame:
 
 
 def tags(fpc: DataFrame) -> DataFrame:
-    return fpc.select(F.explode("tags").alias("tag")).distinct()
+    return fpc.select(F.explode(own(F.col("tags"))).alias("tag")).distinct()
 
 
 def tag_counts(fpc: DataFrame) -> DataFrame:
@@ -64,23 +72,23 @@ def rarest(fpc: DataFrame, wanted: list[str]) -> DataFrame:
 
 
 def untagged(fpc: DataFrame) -> DataFrame:
-    return fpc.where(F.size("tags") == 0).select("id")
+    return fpc.where(F.size(own(F.col("tags"))) == 0).select("id")
 
 
 def metadatas(fpc: DataFrame, names: list[str]) -> DataFrame:
-    return fpc.where(F.col("id").isin(names)).select("id", "expire", "mtime", F.array_join(F.array_sort("tags"), ",").alias("tag_list"))
+    return fpc.where(F.col("id").isin(names)).select("id", "expire", "mtime", F.array_join(F.array_sort(own(F.col("tags"))), ",").alias("tag_list"))
 
 
 def survivors(fpc: DataFrame, mode: str, tags: list[str], now: int) -> DataFrame:
     """Ids that a CLEAN leaves. mode: all, old, matchall, matchnot or matchany."""
-    gone = {"all": F.lit(True), "old": F.col("expire") < now, "matchall": has_all(tags), "matchnot": ~has_any(tags), "matchany": has_any(tags)}[mode]
+    gone = {"all": F.lit(True), "old": F.coalesce(F.col("expire") < now, F.lit(False)), "matchall": has_all(tags), "matchnot": ~has_any(tags), "matchany": has_any(tags)}[mode]
     return fpc.where(~gone).select("id")
 
 
 def added(tags: Column, more: list[str]) -> Column:
     """A tag list with more tags, each once, in the order of their first mention."""
-    return F.array_union(tags, asked(more))
+    return F.array_union(own(tags), asked(more))
 
 
 def removed(tags: Column, less: list[str]) -> Column:
-    return F.array_except(tags, asked(less))
+    return F.array_except(own(tags), asked(less))

@@ -15,9 +15,13 @@ def union(*sources: DataFrame) -> DataFrame:
     return rows.groupBy("url").agg(F.max_by("priority_milli", place).alias("priority_milli"), F.max_by("lastmod", place).alias("lastmod"), F.min(place).alias("_first"))
 
 
-def page(urls: DataFrame, low: int, high: int, cutoff: int, begin: int, number: int) -> DataFrame:
-    """URLs with a priority in the range and a modification at cutoff or later, best first, from begin on; number 0: all."""
-    chosen = urls.where(F.col("priority_milli").between(low, high) & (F.col("lastmod") >= cutoff)).orderBy(F.desc("priority_milli"), "ord").offset(begin)
+#: Orders of a list of URLs: by priority, the best or the worst first, or as they came; ties as they came.
+ORDERS = {"desc": ("-priority_milli", "ord"), "asc": ("priority_milli", "ord"), "as-is": ("ord",)}
+
+
+def page(urls: DataFrame, low: int, high: int, cutoff: int, begin: int, number: int, order: str = "desc") -> DataFrame:
+    """URLs with a priority in the range and a modification at cutoff or later, in one of ORDERS, from begin on; number 0: all."""
+    chosen = urls.where(F.col("priority_milli").between(low, high) & (F.col("lastmod") >= cutoff)).orderBy(*(F.expr(x) for x in ORDERS[order])).offset(begin)
     return chosen.limit(number) if number else chosen
 
 

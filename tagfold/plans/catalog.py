@@ -89,13 +89,6 @@ def info_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.info({"fpc": fpc_state(spark, sf_dir), "session": writes})
 
 
-@query("check_status", f"WITH {LOG} SELECT count(*) FILTER (op = 'DESTROY') AS errors, count(*) FILTER (op = 'READ') AS warnings, count(*) FILTER (op = 'DESTROY') * 100 // count(*) AS load FROM slog")
-def check_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = session_log(spark, sf_dir)
-    errors = F.count_if(F.col("op") == "DESTROY")
-    return log.agg(errors.alias("errors"), F.count_if(F.col("op") == "READ").alias("warnings"), F.floor(errors * 100 / F.count("*")).alias("load"))
-
-
 # --- lifetimes ---
 _tagged("fpc_expiration", lambda f: f.select("id", "ua", "lifetime", "expire"), "true", "id, ua, lifetime, expire")
 _EXTRA = _list(L.FPC_READ_EXTRA, "ua")
@@ -146,6 +139,23 @@ def _evict(excess: str) -> str:
 query("quota_eviction", _evict("(SELECT sum(usize) FROM fpc) - 500000"))(lambda s, d: eviction.evicted(fpc_state(s, d), F.col("total") - 500_000, L.FPC_RETAIN).select("id", "usize"))
 query("emergency_free", _evict("greatest(300000, 2 * 100000)"))(lambda s, d: eviction.evicted(fpc_state(s, d), F.greatest(F.lit(300_000), F.lit(2 * 100_000)), L.FPC_RETAIN).select("id", "usize"))
 
+
+
+@query("emergency_domain", f"WITH {FPC}, {LOG}, u AS (SELECT (SELECT sum(usize) FROM fpc) AS f, (SELECT count(*) * 100 FROM slog WHERE op = 'WRITE') AS s), q(fq, sq) AS (VALUES (NULL, NULL), (1, NULL), (NULL, 1), (1, 1), (1000000000000, 1000000000000)) SELECT fq, sq, CASE WHEN f > fq THEN 'fpc' WHEN s > sq THEN 'session' WHEN f > s THEN 'fpc' ELSE 'session' END AS domain FROM u, q")
+def emergency_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages_used = fpc_state(spark, sf_dir).agg(F.sum("usize").alias("f"))
+    used = session_log(spark, sf_dir).where("op = 'WRITE'").agg((F.count("*") * 100).alias("s")).crossJoin(pages_used)
+    big = 1_000_000_000_000
+    quotas = spark.createDataFrame([(None, None), (1, None), (None, 1), (1, 1), (big, big)], "fq long, sq long")
+    # one row of sums, and a few quotas
+    return quotas.crossJoin(used).select("fq", "sq", eviction.shrunk_domain(F.col("f"), F.col("fq"), F.col("s"), F.col("sq")).alias("domain"))
+
+
+query("fpc_gc_above_quota", f"""WITH {FPC}, {_gc('fpc', 'true', L.FPC_RETAIN)}, f AS (SELECT *, coalesce(sum(usize) OVER (ORDER BY ua, lru_seq, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed FROM g),
+x AS (SELECT *, row_number() OVER (PARTITION BY ua ORDER BY lru_seq, id) AS k FROM fpc WHERE expire < {NOW})
+SELECT id FROM f WHERE freed < (SELECT sum(usize) FROM fpc) - 900000 UNION SELECT x.id FROM x JOIN c USING (ua) WHERE k <= n - {_list(L.FPC_RETAIN, 'ua')}""")(
+    lambda s, d: eviction.collected(fpc_state(s, d), F.col("expire") < NOW, L.FPC_RETAIN, 900_000).select("id"))
+
 # --- sessions ---
 # The fold of the session log as a recursion over each session's commands.
 def _fold(revive: bool) -> str:
@@ -197,6 +207,21 @@ SELECT seq, id, max(u) OVER (PARTITION BY id, life ORDER BY seq) AS record_ua FR
 query("session_lock_conflicts", f"""WITH {LOG}, x AS (SELECT *, min(CASE WHEN op <> 'READ' THEN seq END) OVER (PARTITION BY id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS u FROM slog)
 SELECT a.id, a.seq AS holder, b.seq AS waiter FROM x a JOIN x b ON a.id = b.id AND b.seq > a.seq AND b.ts - a.ts <= 8 AND (a.u IS NULL OR b.seq < a.u) WHERE a.op = 'READ' AND b.op = 'READ'""")(lambda s, d: sessions.lock_conflicts(session_log(s, d)))
 
+_LRU_FOLD = FOLD.replace("num_writes > 0 AND ts >= expire", "num_writes > 0")
+query("session_state_lru", _LRU_FOLD + "SELECT id, rua AS ua, num_writes, mtime, expire, lru_seq FROM z WHERE alive")(lambda s, d: sessions.live(session_log(s, d), always=True))
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands of a session near one another belong to one request; several requests take turns."""
+    return session_log(spark, sf_dir).withColumn("request_id", F.expr("seq div 2 % 3 + seq div 3000 * 3"))
+
+
+query("session_lock_waits", f"""WITH {LOG}, q AS (SELECT id, seq, ts, op, seq // 2 % 3 + seq // 3000 * 3 AS request FROM slog),
+h AS (SELECT *, row_number() OVER (PARTITION BY id, request ORDER BY seq) AS k FROM q WHERE op = 'READ'),
+e AS (SELECT h.*, (SELECT min(seq) FROM q WHERE q.id = h.id AND q.seq > h.seq AND (q.op = 'DESTROY' OR q.op = 'WRITE' AND q.request = h.request)) AS until FROM h)
+SELECT a.id, a.seq AS holder, b.seq AS waiter, CASE WHEN u.ts IS NULL OR u.ts - b.ts > 3600 THEN 3600 ELSE u.ts - b.ts END::BIGINT AS waited, (u.ts IS NULL OR u.ts - b.ts > 3600) AS broken
+FROM e a JOIN h b ON a.id = b.id AND b.seq > a.seq AND b.request <> a.request AND b.ts - a.ts <= 3600 AND (a.until IS NULL OR b.seq < a.until) LEFT JOIN q u ON u.seq = a.until WHERE a.k = 1""")(lambda s, d: sessions.lock_waits(_requests(s, d), 3600))
+
 # --- pages ---
 _PLOG = """plog AS (
   SELECT *, CASE op WHEN 'SAVE' THEN CASE WHEN event_type = 'purchase' THEN floor(value)::BIGINT * 600 + 60 WHEN seq % 4 = 0 THEN 0 ELSE -1 END WHEN 'TOUCH' THEN seq % 50 * 1000 END AS lifetime,
@@ -276,14 +301,30 @@ def auth_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("passed", commands.authenticated(F.col("auth"), F.col("provided"))).groupBy("auth", "provided", "passed").agg(F.count("*").alias("num"))
 
 
-@query("validate_commands", f"""WITH {LOG}, v AS (SELECT seq, CASE WHEN seq % 50 = 0 THEN '' ELSE id END AS id, CASE WHEN seq % 70 = 0 THEN 4 ELSE ua END AS ua, CASE WHEN seq % 90 = 0 THEN -2 ELSE lifetime END AS lifetime FROM slog)
-SELECT seq, CASE WHEN strlen(id) < 1 THEN 'bad name' WHEN ua > 3 THEN 'bad user agent' WHEN lifetime < -1 OR lifetime > 4294967295 THEN 'bad lifetime' ELSE 'ok' END AS status FROM v""")
+_BROKEN = """v AS (SELECT seq, CASE WHEN seq % 50 = 0 THEN '' ELSE id END AS id, CASE WHEN seq % 70 = 0 THEN 4 ELSE ua END AS ua, CASE WHEN seq % 90 = 0 THEN -2 ELSE lifetime END AS lifetime FROM slog),
+a AS (SELECT seq, CASE WHEN strlen(id) < 1 THEN 'bad name' WHEN ua > 3 THEN 'bad user agent' WHEN lifetime < -1 OR lifetime > 4294967295 THEN 'bad lifetime' ELSE 'ok' END AS status FROM v)"""
+
+
+@query("validate_commands", f"WITH {LOG}, {_BROKEN} SELECT seq, status FROM a")
 def validate_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("seq")
     broken = session_log(spark, sf_dir).withColumns({"id": F.when(n % 50 == 0, "").otherwise(F.col("id")), "ua": F.when(n % 70 == 0, 4).otherwise(F.col("ua")), "lifetime": F.when(n % 90 == 0, -2).otherwise(F.col("lifetime"))})
     return broken.select("seq", commands.status(F.col("id"), F.col("ua"), F.col("lifetime")).alias("status"))
 
 
+@query("check_status", f"WITH {FPC}, {LOG}, {_BROKEN}, m AS (SELECT ua, sum(usize) AS value FROM fpc GROUP BY ua) SELECT 25 AS load, (SELECT count(*) FROM m WHERE ua = 0 AND value < 1000 OR ua = 3 AND value > 1000) AS warnings, (SELECT count(*) FROM a WHERE status <> 'ok') AS errors")
+def check_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors are commands answered with one, warnings those of the health check; the load is the machine's, here given."""
+    return stats.check(validate_commands(spark, sf_dir), _bytes_by_class(spark, sf_dir), _LIMITS, 25)
+
+
+_LIMITS = {"bytes_ua0": ("min", 1000), "bytes_ua3": ("max", 1000)}
+
+
+def _bytes_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fpc_state(spark, sf_dir).groupBy("ua").agg(F.sum("usize").alias("value")).select(F.concat(F.lit("bytes_ua"), F.col("ua").cast("string")).alias("name"), "value")
+
+
 query("replicated_commands", f"WITH {LOG} SELECT seq, id, op FROM slog WHERE op <> 'READ'")(lambda s, d: snapshots.replicated(session_log(s, d)).select("seq", "id", "op"))
 
 # --- snapshots ---
@@ -366,18 +407,41 @@ def warmer_pass_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RESOURCE = ("html", "css", "js", "png", "jpeg", "woff2", "svg?x=1", "php")
-query("url_resource_block", f"WITH {URLS}, u AS (SELECT url || '.' || ([{', '.join(repr(r) for r in _RESOURCE)}])[(ord % 8 + 1)::INT] AS url FROM urls) SELECT url FROM u WHERE NOT regexp_matches(url, '\\.(css|[to]tf|eot|woff2?|svg|ico|gif|png|jpe?g)(\\?|#|$)')")(
+query("url_resource_block", f"WITH {URLS}, u AS (SELECT url || '.' || ([{', '.join(repr(r) for r in _RESOURCE)}])[(ord % 8 + 1)::INT] AS url FROM urls) SELECT url FROM u WHERE NOT regexp_matches(url, 'css|[to]tf|eot|woff2?|svg|ico|gif|png|jpe?g')")(
     lambda s, d: url_set(s, d).select(F.concat("url", F.lit("."), F.element_at(F.array(*map(F.lit, _RESOURCE)), (F.col("ord") % 8 + 1).cast("int"))).alias("url")).where(~scalars.blocked(F.col("url"), css=False, js=True, images=False)))
 query("warmer_clock", "WITH m AS (SELECT DISTINCT (l_quantity * 1237)::BIGINT AS ms FROM lineitem) SELECT ms, lpad((ms // 60000)::VARCHAR, 2, '0') || ':' || lpad((ms % 60000 // 1000)::VARCHAR, 2, '0') || '.' || lpad((ms % 1000)::VARCHAR, 3, '0') AS shown FROM m")(
     lambda s, d: table(s, d, "lineitem").select((F.col("l_quantity") * 1237).cast("long").alias("ms")).distinct().withColumn("shown", scalars.clock(F.col("ms"))))
 
 
+for _name, _sort, _order in (("warmer_urls_worst_first", "priority_milli, ord", "asc"), ("warmer_urls_as_is", "ord", "as-is")):
+    query(_name, f"WITH {URLS} SELECT url, priority_milli FROM urls WHERE priority_milli BETWEEN 0 AND 900 ORDER BY {_sort} LIMIT 40 OFFSET 5")(lambda s, d, o=_order: urls.page(url_set(s, d), 0, 900, 0, 5, 40, o).select("url", "priority_milli"))
+
+# --- literal answers, written out: the SQL shares nothing with the code ---
+_WORDS = (("yes", "YES"), ("Session", "sess"), ("fpc_SAVE", "save"), ("on", "off"), ("0x1F", "1f"), ("-12", "2"), ("1.5e3", ""), ("ON", "on"))
+query("string_tests", "SELECT a, b, same, first, last FROM (VALUES ('yes', 'YES', true, true, true), ('Session', 'sess', false, true, false), ('fpc_SAVE', 'save', false, false, true), ('on', 'off', false, false, false), ('0x1F', '1f', false, false, true), ('-12', '2', false, false, true), ('1.5e3', '', false, true, true), ('ON', 'on', true, true, true)) t(a, b, same, first, last)")(
+    lambda s, d: s.createDataFrame(_WORDS, "a string, b string").select("a", "b", scalars.matches(F.col("a"), F.col("b")).alias("same"), scalars.starts_with(F.col("a"), F.col("b")).alias("first"), scalars.ends_with(F.col("a"), F.col("b")).alias("last")))
+query("parse_numbers", "SELECT t, i, f, b FROM (VALUES ('yes', NULL, NULL, 'true'), ('OFF', NULL, NULL, 'false'), ('0x1F', 31, NULL, NULL), ('-12', -12, -12.0, NULL), ('+010', 8, 10.0, NULL), ('1.5e3', NULL, 1500.0, NULL), ('08', NULL, 8.0, NULL), ('', NULL, NULL, NULL)) v(t, i, f, b)")(
+    lambda s, d: s.createDataFrame([(x,) for x in ("yes", "OFF", "0x1F", "-12", "+010", "1.5e3", "08", "")], "t string").select("t", scalars.signed(F.col("t")).alias("i"), scalars.number(F.col("t")).alias("f"), scalars.boolean(F.col("t")).cast("string").alias("b")))
+query("padded_options", "SELECT n, shown FROM (VALUES (1, '5,5,5,5'), (2, '5,6,6,6'), (4, '5,6,7,8')) v(n, shown)")(
+    lambda s, d: s.createDataFrame([(1, [5]), (2, [5, 6]), (4, [5, 6, 7, 8])], "n int, v array<int>").select("n", F.array_join(scalars.padded(F.col("v"), 4).cast("array<string>"), ",").alias("shown")))
+_MOMENTS = ("30s", "2h", "1w", "5x", "2024-01-31 23:59:59", "2024-01-31__23:59:59", "2024-02-02 00:00:00", "2024-1-31 23:59:59")
+query("warmer_moments", f"SELECT t, past, later FROM (VALUES ('30s', {NOW - 30}000, {NOW + 30}000), ('2h', {NOW - 7200}000, {NOW + 7200}000), ('1w', {NOW - 604800}000, {NOW + 604800}000), ('5x', NULL, NULL), ('2024-01-31 23:59:59', 1706745599000, NULL), ('2024-01-31__23:59:59', 1706745599000, NULL), ('2024-02-02 00:00:00', NULL, 1706832000000), ('2024-1-31 23:59:59', NULL, NULL)) v(t, past, later)")(
+    lambda s, d: s.createDataFrame([(x,) for x in _MOMENTS], "t string").select("t", scalars.moment(F.col("t"), F.lit(NOW * 1000)).alias("past"), scalars.moment(F.col("t"), F.lit(NOW * 1000), True).alias("later")))
+query("wire_sizes", f"""WITH {FPC}, n AS (SELECT id, tags, usize AS n, CASE WHEN usize - 72 < 256 THEN 1 WHEN usize - 72 < 65536 THEN 2 WHEN usize - 72 < 16777216 THEN 3 ELSE 4 END AS b FROM fpc)
+SELECT id, (CASE WHEN n < 72 THEN 1 ELSE 1 + b END)::INT AS number, strlen(id)::BIGINT + 1 AS name, (1 + list_sum(list_transform(list_concat(tags, ['x']), lambda t: strlen(t) + 1)))::BIGINT AS tag_list FROM n""")(
+    lambda s, d: fpc_state(s, d).select("id", scalars.integer_chunk(F.col("usize")).alias("number"), scalars.string_chunk(F.col("id")).cast("long").alias("name"), scalars.list_chunk(F.concat("tags", F.array(F.lit("x")))).alias("tag_list")))
+query("unescaped_strings", "SELECT n, t FROM (VALUES (1, 'a' || chr(10) || 'b'), (2, 'it''s'), (3, 'A' || chr(9) || '\\'), (4, 'plain')) v(n, t)")(
+    lambda s, d: s.createDataFrame([(1, "a\\nb"), (2, "it\\'s"), (3, "\\41\\t\\\\"), (4, "plain")], "n int, t string").select("n", scalars.unescaped(F.col("t")).alias("t")))
+
+
 # --- codecs (no SQL: packed sizes) ---
 def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("payload"))
 
 
 query("recompression_best")(lambda s, d: codecs.best(_payloads(s, d)))
+query("recoded_payloads", "SELECT 'doc-' || doc_id AS id, strlen(coalesce(text, ''))::BIGINT AS usize, sha256(coalesce(text, '')) AS digest FROM documents")(
+    lambda s, d: codecs.recoded(codecs.recoded(_payloads(s, d), "zstd"), "zstd", back=True).select("id", "usize", F.sha2("payload", 256).alias("digest")))
 query("recompression_counts")(lambda s, d: codecs.best(_payloads(s, d)).groupBy("codec").agg(F.count("*").alias("num")))
 
 
@@ -396,7 +460,7 @@ query("tag_lists_edited", f"WITH {FPC} SELECT id, array_to_string(list_sort(list
     lambda s, d: fpc_state(s, d).select("id", F.array_join(F.array_sort(tags.removed(tags.added(F.col("tags"), ["new", "en"]), ["fr"])), ",").alias("tag_list")))
 query("optimizable_records", f"WITH {FPC} SELECT id, usize FROM fpc WHERE usize >= 256")(lambda s, d: codecs.optimizable(fpc_state(s, d)).select("id", "usize"))
 query("health_check", f"WITH {FPC}, m AS (SELECT 'bytes_ua' || ua AS name, sum(usize)::BIGINT AS value FROM fpc GROUP BY ua) SELECT name, value, CASE WHEN name = 'bytes_ua0' AND value < 1000 OR name = 'bytes_ua3' AND value > 1000 THEN 'warning' ELSE 'ok' END AS status FROM m")(
-    lambda s, d: stats.health(fpc_state(s, d).groupBy("ua").agg(F.sum("usize").alias("value")).select(F.concat(F.lit("bytes_ua"), F.col("ua").cast("string")).alias("name"), "value"), {"bytes_ua0": ("min", 1000), "bytes_ua3": ("max", 1000)}))
+    lambda s, d: stats.health(_bytes_by_class(s, d), _LIMITS))
 
 
 # --- streams ---

@@ -15,25 +15,33 @@ from tagfold.ship import ship
 from tagfold.sources import snapshots
 from tagfold.sources.snapshots import shared_folder
 
-KEPT = "ua int, num_writes long, mtime long, expire long, lru_seq long, reads long, hits long, alive boolean"
+KEPT = "ua int, num_writes long, mtime long, expire long, lru_seq long, reads long, hits long, alive boolean, last_seq long"
 
 
 def _follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Commands of one micro-batch come in any order, so they are sorted; a session's state follows them."""
-    s = Session()
+    """Commands of one micro-batch come in any order, so they are sorted; a session's state follows them.
+
+    Late ones, not newer than what an earlier batch has applied to the session, are dropped: so are replays.
+    """
+    s, seen = Session(), -(1 << 62)
     if state.exists:
-        s.ua, s.num_writes, s.mtime, s.expire, s.lru_seq, s.reads, s.hits, s.alive = state.get
+        s.ua, s.num_writes, s.mtime, s.expire, s.lru_seq, s.reads, s.hits, s.alive, seen = state.get
     rows = pd.concat(list(batches)).sort_values("seq")
+    rows = rows[rows["seq"] > seen]
+    if not len(rows):
+        return
     lifetimes = rows["lifetime"].astype(object).where(rows["lifetime"].notna(), None)
     for seq, ts, ua, op, lifetime in zip(rows["seq"], rows["ts"], rows["ua"], rows["op"], lifetimes):
         s.apply(int(seq), int(ts), int(ua), op, None if lifetime is None else int(lifetime))
     row = tuple(int(x) if not isinstance(x, bool) else x for x in s.row("")[1:])
-    state.update(row)
-    yield pd.DataFrame([(key[0], *row, int(rows["seq"].max()))], columns=[x.split()[0] for x in f"{STATE}, last_seq long".split(", ")])
+    last = int(rows["seq"].max())
+    state.update((*row, last))
+    yield pd.DataFrame([(key[0], *row, last)], columns=[x.split()[0] for x in f"{STATE}, last_seq long".split(", ")])
 
 
 def changes(log: DataFrame) -> DataFrame:
     """A streaming log (seq, ts, id, ua, op, lifetime) to the sessions' states after each micro-batch, with last_seq."""
+    ship(log.sparkSession)
     columns = log.select("id", "seq", "ts", "ua", "op", "lifetime")
     return columns.groupBy("id").applyInPandasWithState(_follow, f"{STATE}, last_seq long", KEPT, "update", GroupStateTimeout.NoTimeout)
 

@@ -267,3 +267,62 @@ def test_binlog_stops_at_the_first_bad_command(spark, tmp_path):
         (tmp_path / "c" / "header" / "h.json").write_text(header)
         with pytest.raises(ValueError):
             snapshots.replayed(spark, str(tmp_path / "c"))
+
+
+def test_null_tags_are_none(spark):
+    df = spark.createDataFrame([("a", ["x", None], NOW), ("b", None, None), ("c", [None], NOW - 9), ("d", ["y"], NOW - 9)], "id string, tags array<string>, expire long")
+    assert names(tags.not_matching(df, ["y"])) == ["a", "b", "c"] and names(tags.matching_any(df, ["x", "y"])) == ["a", "d"]
+    assert names(tags.untagged(df)) == names(tags.matching(df, [tags.UNTAGGED])) == ["b", "c"]
+    assert names(tags.survivors(df, "matchany", ["y"], NOW)) == ["a", "b", "c"] and names(tags.survivors(df, "matchnot", ["y"], NOW)) == ["d"]
+    assert names(tags.survivors(df, "old", [], NOW)) == ["a", "b"]
+    assert {r.tag: r.num for r in tags.tag_counts(df).collect()} == {"x": 1, "y": 1, tags.UNTAGGED: 2}
+    assert sorted(r.tag for r in tags.tags(df).collect()) == ["x", "y"]
+
+
+def test_null_payloads_and_round_trips(spark):
+    df = spark.createDataFrame([("a", None), ("b", "y" * 3000)], "id string, payload string")
+    assert [r["id"] for r in codecs.best(df, codecs=codecs.KNOWN).collect()] == ["b"]
+    for codec in codecs.KNOWN:
+        packed = codecs.recoded(df, codec)
+        assert packed.where("id = 'b'").first().payload != b"y" * 3000
+        assert sorted((r.id, bytes(r.payload)) for r in codecs.recoded(packed, codec, back=True).collect()) == [("a", b""), ("b", b"y" * 3000)]
+
+
+def test_resource_names_anywhere_in_a_url(spark):
+    urls_ = ["http://a/x.css", "http://js.example/x", "http://a/page", "http://a/X.CSS", "http://a/icons/"]
+    df = spark.createDataFrame([(u,) for u in urls_], "u string")
+    blocked = lambda **k: [r.b for r in df.select(scalars.blocked(F.col("u"), **k).alias("b")).collect()]
+    assert blocked(css=False, js=False, images=True) == [True, True, False, False, False]
+    assert blocked(css=True, js=True, images=False) == [False, False, False, False, True] and blocked(css=True, js=True, images=True) == [False] * 5
+
+
+def test_lru_modes_lengthen_every_read():
+    s = sessions.Session()
+    for always in (False, True):
+        s.drop()
+        s.apply(1, NOW, 3, "WRITE", -1)
+        s.apply(2, NOW + 10, 3, "READ", None, always=always)
+        assert s.expire == (NOW + 10 + L.SESSION_READ_EXTRA[3] if always else NOW + L.SESSION_FIRST[3])
+
+
+def test_locks_of_requests(spark):
+    rows = [(1, 0, "a", "READ", 1), (2, 1, "a", "READ", 2), (3, 2, "a", "READ", 1), (4, 3, "a", "WRITE", 1), (5, 4, "a", "READ", 3), (6, 20, "a", "READ", 4), (7, 22, "a", "READ", 5), (8, 23, "a", "DESTROY", 9), (9, 23, "b", "READ", 1)]
+    log = spark.createDataFrame(rows, "seq long, ts long, id string, op string, request_id long")
+    # 2 waits for 1 till its write; 3 is the holder's own but finds 2's; 5 finds 2's lock within 8 s, which nothing releases in time
+    assert sorted(map(tuple, sessions.lock_waits(log).collect())) == [("a", 1, 2, 2, False), ("a", 2, 3, 8, True), ("a", 2, 5, 8, True), ("a", 6, 7, 1, False)]
+
+
+def test_stream_drops_what_it_has_seen(spark, tmp_path):
+    schema = "seq long, ts long, id string, ua int, op string, lifetime long"
+    log = random_log(300, 4)
+    for part in (log[:200], log[100:300]):  # the second file repeats half of the first
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = live.drain(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    assert {r["id"]: (r["num_writes"], r["reads"]) for r in got.collect()} == {k: (s.num_writes, s.reads) for k, s in naive(log).items()}
+
+
+def test_garbage_above_the_quota(spark):
+    rows = [("a", 0, 1, 40, NOW + 9), ("b", 0, 2, 40, NOW + 9), ("c", 0, 3, 40, NOW - 9), ("d", 0, 4, 40, NOW + 9)]
+    df = spark.createDataFrame(rows, "id string, ua int, lru_seq long, usize long, expire long")
+    gone = lambda **k: names(eviction.collected(df, F.col("expire") < NOW, (1, 1, 1, 1), **k))
+    assert gone() == ["c"] and gone(quota=130) == ["a", "c"] and gone(quota=130, mode="lru") == ["a"] and gone(quota=1, mode="strict-lru") == []
