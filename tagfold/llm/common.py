@@ -33,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     Only a session without that setting (a local test) gets a temporary folder of its own.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not found:
         name = spark.sparkContext.applicationId
         found = _own.get(name) or _own.setdefault(name, tempfile.mkdtemp(prefix="tagfold-"))
@@ -47,8 +49,11 @@ def scratch(spark: SparkSession, what: str) -> str:
 def saved(df: DataFrame, what: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back, so that later steps don't compute it anew.
 
+    What it writes stays until the folder is cleaned: the DataFrames that are returned read it.
+
     The files outlive the loss of any executor, and the lineage ends there.
     """
+    ship(df.sparkSession)
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

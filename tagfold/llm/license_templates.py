@@ -5,8 +5,11 @@ that may read otherwise (<<var;name=NAME;max=WORDS>>: up to so many words of any
 over words; a text has the license wherever the automaton accepts, so all mandatory words must stand there, in order and
 with nothing between them but what the regions allow. Beside that, fixed phrases are counted wherever they stand.
 
+A place ends with the first run of words that is accepted, and the optional regions that follow it at the template's end.
+
 Defined cases: a null text is empty, has no words and no labels, and scores 0; places may overlap and all count; repeated
-rows are each scanned; an empty table gives no rows; other columns play no part.
+rows are each scanned; texts of any length are scanned whole; an empty table gives no rows; other columns, whatever they are
+called, play no part.
 """
 
 from __future__ import annotations
@@ -19,35 +22,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tagfold.ship import ship
+
 #: Phrases whose places are counted, with their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: License wordings as published, with markup. Every template begins with a mandatory word.
+#: License wordings as published, with markup. Optional regions that open a template are skipped, since a text may lack them.
 TEMPLATES = {
     "MIT-notice": "<<beginOptional>>this work is<<endOptional>> released under <<beginOptional>>the terms of<<endOptional>> the MIT License",
     "Apache-2.0-notice": "Licensed under the Apache License<<beginOptional>>,<<endOptional>> Version 2.0",
     "GPL-3.0-notice": "licensed under <<beginOptional>>the terms of<<endOptional>> the GNU General Public License<<beginOptional>>, as published by the Free Software Foundation<<endOptional>><<beginOptional>>,<<endOptional>> <<beginOptional>>either<<endOptional>> version 3",
     "CC-BY-NC-4.0-notice": "Licensed under <<beginOptional>>a Creative Commons license<<endOptional>> CC BY-NC 4.0",
-    "rights-reserved-notice": "Copyright <<beginOptional>>(c)<<endOptional>> <<var;name=holder;max=12>> All rights reserved",
+    "rights-reserved-notice": "Copyright <<beginOptional>>(c)<<endOptional>> <<var;name=holder;max=24>> All rights reserved",
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of <<var;name=software;max=6>> and associated documentation files
         (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
         distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
         following conditions: The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be
         included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
         INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL
-        <<var;name=holder;max=12>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+        <<var;name=holder;max=24>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
         OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "ISC": """Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby
         granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND
-        <<var;name=holder;max=12>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE""",
+        <<var;name=holder;max=24>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE""",
     "BSD": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
         <<var;name=bullet;max=1>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
         <<var;name=bullet;max=1>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
         in the documentation and/or other materials provided with the distribution. <<beginOptional>><<var;name=bullet;max=1>> Neither the name of
-        <<var;name=organization;max=12>> nor the names of its contributors may be used to endorse or promote products derived from this software without
-        specific prior written permission.<<endOptional>> THIS SOFTWARE IS PROVIDED BY <<var;name=holder;max=12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES""",
+        <<var;name=organization;max=24>> nor the names of its contributors may be used to endorse or promote products derived from this software without
+        specific prior written permission.<<endOptional>> THIS SOFTWARE IS PROVIDED BY <<var;name=holder;max=24>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES""",
     "Apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
-        You may obtain a copy of the License at <<var;name=url;max=12>> Unless required by applicable law or agreed to in writing, software distributed under
+        You may obtain a copy of the License at <<var;name=url;max=24>> Unless required by applicable law or agreed to in writing, software distributed under
         the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
     "GPL-header": """<<var;name=program;max=4>> is free software<<beginOptional>>:<<endOptional>> you can redistribute it and/or modify it under the terms of the GNU
         General Public License as published by the Free Software Foundation<<beginOptional>>, either version <<var;name=version;max=2>> of the License<<endOptional>>""",
@@ -70,6 +75,8 @@ class Automaton:
     on: dict[int, tuple[bytes | None, int]] = field(default_factory=dict)
     free: dict[int, list[int]] = field(default_factory=dict)
     end: int = 0
+    #: The state behind the last mandatory word.
+    tail: int = 0
 
     def closure(self, states: set[int]) -> set[int]:
         todo, seen = list(states), set(states)
@@ -81,15 +88,17 @@ class Automaton:
         return seen
 
     def accepts(self, words: list[bytes], start: int) -> int | None:
-        """The end (exclusive) of the shortest accepted run of words from start on, or None."""
-        states = self.closure({0})
+        """The end (exclusive) of the shortest accepted run of words from start on with the regions that close it, or None."""
+        states, found = self.closure({0}), None
         for i in range(start, len(words) + 1):
             if self.end in states:
-                return i
+                found = i
+            if found is not None:  # nothing but what may follow the last mandatory word
+                states = {s for s in states if s >= self.tail}
             if i == len(words) or not states:
                 break
             states = self.closure({to for s in states if s in self.on for want, to in [self.on[s]] if want is None or want == words[i]})
-        return None
+        return found
 
 
 def compiled(template: str) -> Automaton:
@@ -101,6 +110,8 @@ def compiled(template: str) -> Automaton:
             if opened and leading:
                 continue
             a.on[state], state = (w, state + 1), state + 1
+            if not opened:
+                a.tail = state
             if not opened and (leading or lead is not None):
                 lead.append(w)
             leading = leading and bool(opened)
@@ -181,6 +192,7 @@ ARROW = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
 
 def scanned(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """doc_id and what Scanner.scan() finds, one row per row of docs; score is the share of words inside found places."""
+    ship(docs.sparkSession)
     schema, s = T.StructType([docs.schema["doc_id"], *FOUND]), scanner(templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,12 +1,14 @@
 """Quality classifier: a sparse ensemble of rules.
 
 Small trees on random parts of the training rows give conjunctive rules over text statistics; lasso logistic regression
-keeps few of them; the result is compiled into one Spark column expression. It is fitted on at most about LABELLED
-labelled rows, chosen by a hash of doc_id, and never on held-out ones; every document is scored. Labels, lang, source
+keeps few of them; the result is compiled into one Spark column expression. It is fitted on at most LABELLED labelled
+documents, those with the smallest hashes, and never on held-out ones; every document is scored. Labels, lang, source
 and doc_id are no inputs of a score.
 
 Defined cases: a null text counts as empty and gets a score too; with labels of one class only (or none) the score is
-that class's smoothed rate for every document; a null doc_id is not held out and has no label; repeated rows are each scored.
+that class's smoothed rate for every document; a null doc_id is not held out and has no label; repeated rows are each
+scored, and a doc_id that repeats is trained on with each of its texts; texts of any length are counted whole; equal
+features give equal scores; an empty table gives no rows; extra columns of any name are left alone.
 """
 
 from __future__ import annotations
@@ -126,12 +128,13 @@ def compiled(model: Ensemble, of: str = "") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Ensemble:
-    """Fits on about labelled rows at most, which a hash of doc_id chooses from the labels that aren't held out."""
+    """Fits on labelled documents at most, which a hash chooses from those with a label that isn't held out."""
     may = labels.where("quality is not null and doc_id is not null").where(~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").cast("int").alias("_quality"))
-    share = min(1.0, labelled / max(may.count(), 1))
-    few = may.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(9)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-    # few is bounded by the parameter labelled, so it may go to every task
-    got = text_stats.with_counts(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id"), ["doc_id", "_quality"]).orderBy("doc_id", "n_bytes").toPandas()
+    # of these labels alone some are broadcast, twice labelled at most
+    few = may.orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(2 * labelled)
+    counted = text_stats.with_counts(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id"), ["doc_id", "_quality"])
+    # documents that repeat a doc_id are more than that: the bound is on what is collected
+    got = counted.orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id", *text_stats.COUNTS).limit(labelled).toPandas()
     x = text_stats.features(got[list(text_stats.COUNTS)].to_numpy(np.int64).reshape(len(got), len(text_stats.COUNTS)))
     return fit(x, (got["_quality"].to_numpy(int) > 0).astype(int))
 

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tagfold.ship import ship
+
 #: All counts of a text, in the order in which count() returns them.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks", "n_shouts", "n_unique", "n_bytes")
 
@@ -66,6 +68,7 @@ def with_counts(docs: DataFrame, keep: list[str], text: str = "text") -> DataFra
 
     Columns of keep must not be named like COUNTS; rows stay as they are, repeated ones too.
     """
+    ship(docs.sparkSession)
     schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(c, T.LongType()) for c in COUNTS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

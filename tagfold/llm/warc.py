@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagfold.llm.common import joined_to_groups, saved, scratch
+from tagfold.ship import ship
 
 CRLF = "\r\n"
 #: Most records in a file, three for each page: a file's compressed bytes are read as one value.
@@ -180,6 +181,7 @@ def _row(headers: dict[str, str], block: bytes, with_block: bool) -> tuple:
 
 def read(spark: SparkSession, path: str, with_block: bool = True) -> DataFrame:
     """All records of an archive as RECORD rows; with_block=False leaves the blocks out."""
+    ship(spark)
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ARROW)], schema=ARROW)

@@ -145,6 +145,43 @@ def test_phrases_and_templates(spark, odd, empty):
     assert license_templates.scanned(odd).count() == len(ODD) + 2 and license_templates.scanned(empty).count() == 0
 
 
+def as_pattern(template):
+    """The same wording as a regular expression over words with a blank behind each."""
+    out, at = [], 0
+    for m in [*license_templates.MARKUP.finditer(template), None]:
+        out += [re.escape(w.decode()) + " " for w in license_templates.words_of(template[at : m.start() if m else len(template)])]
+        if m:
+            at = m.end()
+            out.append({"beginOptional": "(?:", "endOptional": ")?"}.get(m[1]) or f"(?:[^ ]+ ){{0,{re.search('max=([0-9]+)', m[2])[1]}}}")
+    return re.compile("(?:^|(?<= ))" + "".join(out))
+
+
+def test_labels_and_scores_as_brute_force(spark, table):
+    r = random.Random(5)
+    texts = [x.text for x in table.collect()]
+    for name, t in license_templates.TEMPLATES.items():
+        for _ in range(8):  # regions filled, left out or too long, a mandatory word lost, between other words
+            keep = r.random() < 0.5
+            filled = re.sub(r"<<beginOptional>>(.*?)<<endOptional>>", lambda m: m[1] if keep else " ", t, flags=re.S)
+            filled = re.sub(r"<<var[^>]*>>", lambda m: " " + " ".join(r.choice("pqr") for _ in range(r.randint(0, 4))) + " ", filled)
+            w = filled.split()
+            if r.random() < 0.3:
+                w.pop(r.randrange(len(w)))
+            texts.append(" ".join(["lead"] * r.randint(0, 3) + w + ["tail"] * r.randint(0, 3)))
+    got = {x.doc_id: x for x in license_templates.scanned(docs_of(spark, texts)).collect()}
+    patterns = {name: as_pattern(t) for name, t in license_templates.TEMPLATES.items()}
+    for i, text in enumerate(texts):
+        w = [x.decode() for x in license_templates.words_of(text or "")]
+        joined = "".join(x + " " for x in w)
+        phrases = {label for p, label in license_templates.PHRASES.items() if f" {p} " in f" {joined}"}
+        assert got[i].base_labels == ",".join(sorted(phrases))
+        found = {name for name, p in patterns.items() if p.search(joined)}
+        assert got[i].labels == ",".join(sorted(phrases | found)), text
+        assert (got[i].score > 0) == bool(phrases | found) and got[i].score <= 1
+    one = license_templates.scanned(docs_of(spark, ["x alpha beta gamma delta y", "alpha beta gamma", "alpha beta z"]), {"t": "alpha beta<<beginOptional>>gamma delta<<endOptional>>"})
+    assert {x.doc_id: x.score for x in one.collect()} == pytest.approx({0: 4 / 6, 1: 2 / 3, 2: 2 / 3})
+
+
 def test_automaton_regions():
     a = license_templates.compiled("one <<beginOptional>>two <<var;name=x;max=2>> three<<endOptional>> four")
     accepts = lambda t: a.accepts(t.encode().split(), 0)
@@ -628,6 +665,50 @@ def test_classifier_cases(spark, odd, empty):
     assert rule_ensemble.filtered(clash, labels).columns == clash.columns
 
 
+# --- defined cases of all ---
+LONG = "word " * 700_000  # 3.5 million characters
+
+
+def test_clashing_columns_and_long_texts(spark):
+    """Columns named like what operators add are left alone, and very long texts are taken whole."""
+    extra = "1 as n_words, 2 as digest, 3 as score, 4 as size, 5 as row, 6 as signature, 7 as start, 8 as piece, 9 as length, 10 as kept, 11 as _text, 12 as node, 13 as content, 14 as rank, 15 as part, 16 as _quality, 17 as anomaly"
+    docs = docs_of(spark, [LONG, "a b c d e f", None]).selectExpr("*", *(x.strip() for x in extra.split(",")))
+    labels = spark.createDataFrame([(0, 0, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    by = lambda df, *c: {r.doc_id: tuple(r[x] for x in c) if len(c) > 1 else r[c[0]] for r in df.collect()}
+    t = Tokenizer.from_file(WORD)
+    n = [len(t.encode(x or "", add_special_tokens=False).ids) + 1 for x in (LONG, "a b c d e f", None)]
+    assert by(range_coder.read(range_coder.written(docs, WORD)), "n_tokens") == dict(enumerate(n))
+    assert by(license_templates.scanned(docs), "n_words") == {0: 700_000, 1: 6, 2: 0}
+    counts = by(token_counts.count(docs, BYTE), "n_bytes", "over_limit")
+    assert counts == {0: (3_500_000, True), 1: (11, False), 2: (0, False)}
+    assert by(near_dedup.grouped(docs), "n_shingles") == {0: 1, 1: 2, 2: 0}
+    judged = by(quality_forest.judge(docs, labels), "n_words", "n_repeat_words", "base_failed")
+    assert judged == {0: (700_000, 700_000, True), 1: (6, 0, True), 2: (0, 0, True)}
+    model = rule_ensemble.train(docs, labels)
+    assert all(0 <= x <= 1 for x in by(rule_ensemble.scored(docs, model, ["doc_id"]), "score").values())
+    pieces = packing.packed(docs, BYTE)
+    assert pieces.groupBy("doc_id").agg(F.sum("length").alias("n")).where("doc_id = 0").first().n == len(Tokenizer.from_file(BYTE).encode(LONG, add_special_tokens=False).ids) + 1
+    mixed = source_mix.mixed(docs)
+    assert mixed.columns == docs.columns and near_dedup.filtered(docs).columns == docs.columns
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path, sf):
+    """Nulls, repeated rows, extra columns and an empty table from end to end."""
+    import corpus_pipeline
+
+    good = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(30).collect()]
+    rows = [*((i, t, "en", f"s{i % 2}", 1) for i, t in enumerate(ODD)), *((100 + i, t, "en", None if i % 3 else "s0", 1) for i, t in enumerate(good)), (None, good[3] + " x y z", None, None, None), (101, good[1], "en", "s0", 1)]
+    for name, given_ in (("rows", rows), ("empty", [])):
+        d = tmp_path / name
+        spark.createDataFrame(given_, DOCS).selectExpr("*", "1 as score", "2 as _slot").write.parquet(str(d / "documents.parquet"))
+        spark.createDataFrame([(100 + i, i % 2, 0) for i in range(10)] if given_ else [], "doc_id long, quality int, toxic int").write.parquet(str(d / "labels.parquet"))
+        out = corpus_pipeline.run(spark, str(d)).toPandas()
+        assert out.columns.tolist() == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+        assert (len(out) > 0) == bool(given_)
+        if given_:
+            assert set(out.doc_id.dropna()) <= {r[0] for r in rows} and out.groupby("sequence_id").length.sum().max() <= 1024
+
+
 # --- all ---
 @pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if re.match(r"op\d+_", n)))
 def test_agrees_with_sql(spark, sf, name):
