@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tagfold.functions import lifetimes as L
 from tagfold.operators import eviction
-from tagfold.operators.tags import UNTAGGED
+from tagfold.operators.tags import UNTAGGED, own
 from tagfold.ship import ship
 
 COLUMNS = ["seq", "ts", "id", "ua", "op", "lifetime", "tags", "usize", "mode"]
@@ -68,8 +68,8 @@ class Page:
             raise ValueError(f"the page fold has no rule for {op}")
 
     def clean(self, mode: str, tags: set[str]) -> None:
-        own = set(self.tags) or {UNTAGGED}
-        if mode == "all" or mode == "matchall" and tags and tags <= own or mode == "matchany" and tags & own or mode == "matchnot" and not tags & own:
+        has = set(self.tags) or {UNTAGGED}
+        if mode == "all" or mode == "matchall" and tags and tags <= has or mode == "matchany" and tags & has or mode == "matchnot" and not tags & has:
             self.drop()
 
     def row(self, name: str) -> tuple:
@@ -86,7 +86,7 @@ def fold(log: DataFrame, state: DataFrame | None = None, always: bool = True) ->
     if state is not None:
         old = F.struct(*(F.col(c) for c in NAMES))
         rows = rows.unionByName(state.select("id", F.lit(-1).cast("long").alias("seq"), F.lit("STATE").alias("op"), old.alias("state")), allowMissingColumns=True)
-    own = rows.where("op != 'CLEAN'").withColumns({"part": F.pmod(F.xxhash64("id"), F.lit(parts)), "kind": F.lit(1)})
+    single = rows.where("op != 'CLEAN'").withColumns({"part": F.pmod(F.xxhash64("id"), F.lit(parts)), "kind": F.lit(1)})
     # CLEANs go to every partition, before its pages; what id they come with plays no part in their order
     every = rows.where("op = 'CLEAN'").withColumns({"id": F.lit(None).cast("string"), "part": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))), "kind": F.lit(0)})
 
@@ -132,10 +132,17 @@ def fold(log: DataFrame, state: DataFrame | None = None, always: bool = True) ->
         end(done)
         yield pd.DataFrame(done, columns=NAMES)
 
-    both = own.unionByName(every).repartition(parts, "part").sortWithinPartitions("part", "kind", "id", "seq")
+    both = single.unionByName(every).repartition(parts, "part").sortWithinPartitions("part", "kind", "id", "seq")
     return both.mapInPandas(run, STATE)
 
 
+def known(records: DataFrame) -> DataFrame:
+    """Page records (id, ua, tags, mtime, expire, usize, lru_seq), as restored or derived, as STATE rows."""
+    zero = F.lit(0).cast("long")
+    filled = records.withColumns({"loads": zero, "hits": zero, "errors": zero, "alive": F.lit(True), "tags": own(F.col("tags"))})
+    return filled.select(*NAMES)
+
+
 def states(log: DataFrame, saved, state: DataFrame | None = None, retain: tuple[int, ...] = L.FPC_RETAIN, always: bool = True) -> DataFrame:
     """fold() of a log that may hold CLEANs of mode old: of each class the oldest expired pages go, as long as more than retain are left.
 

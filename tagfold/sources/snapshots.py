@@ -48,6 +48,19 @@ def store(rows: DataFrame, path: str) -> str:
     return path
 
 
+def store_all(sessions: DataFrame, fpc: DataFrame, path: str, now: int, min_ua: int = 0) -> str:
+    """A snapshot of both domains in one folder: sessions, then pages, each in its part."""
+    store(session_rows(sessions, now, min_ua), f"{path}/domain=session")
+    return store(fpc_rows(fpc, now, min_ua), f"{path}/domain=fpc").removesuffix("/domain=fpc")
+
+
+def config_lines(spark: SparkSession, path: str) -> DataFrame:
+    """name and value of each "name value" line of configuration files; blank lines and comments (#) are skipped."""
+    line = F.trim("value")
+    rows = spark.read.text(path).where((line != "") & ~line.startswith("#"))
+    return rows.select(F.regexp_extract(line, r"^(\S+)\s+(.*)$", 1).alias("name"), F.trim(F.regexp_replace(F.regexp_extract(line, r"^(\S+)\s+(.*)$", 2), r"\s#.*$", "")).alias("value")).where("name != ''")
+
+
 def restore_fpc(spark: SparkSession, path: str, now: int) -> DataFrame:
     """A page store from a snapshot: lifetimes count from now and are clipped; the reserved tag means none."""
     r = spark.read.parquet(path)

@@ -156,7 +156,15 @@ def test_scripts(spark, tmp_path):
     from tagfold.sources import scripts
 
     (tmp_path / "s.cfg").write_text("# comment\n\nsave 'a b' \"it's\" 'q\\'s' tag\n  getids\n")
-    assert [(r["op"], r["args"]) for r in scripts.commands(spark, str(tmp_path / "s.cfg")).collect()] == [("SAVE", ["a b", "it's", "q's", "tag"]), ("GETIDS", [])]
+    assert [(r["op"], r["args"]) for r in scripts.commands(spark, str(tmp_path / "s.cfg")).orderBy("at").collect()] == [("SAVE", ["a b", "it's", "q's", "tag"]), ("GETIDS", [])]
+    (tmp_path / "inner.cfg").write_text("save x '\\41\\n' @payload.txt\n")
+    (tmp_path / "outer.cfg").write_text(f"ping\nexecute {tmp_path}/inner.cfg\ngettags\n")
+    payloads = spark.createDataFrame([("payload.txt", "whole text")], "file string, text string")
+    got = scripts.commands(spark, str(tmp_path / "outer.cfg"), payloads).orderBy("at").collect()
+    assert [(r["op"], r["args"]) for r in got] == [("PING", []), ("SAVE", ["x", "A\n", "whole text"]), ("GETTAGS", [])]
+    (tmp_path / "loop.cfg").write_text(f"execute {tmp_path}/loop.cfg\n")
+    with pytest.raises(ValueError, match="deep"):
+        scripts.commands(spark, str(tmp_path / "loop.cfg"))
 
 
 def test_stream_counts_late_files(spark, sf, tmp_path):
@@ -326,3 +334,46 @@ def test_garbage_above_the_quota(spark):
     df = spark.createDataFrame(rows, "id string, ua int, lru_seq long, usize long, expire long")
     gone = lambda **k: names(eviction.collected(df, F.col("expire") < NOW, (1, 1, 1, 1), **k))
     assert gone() == ["c"] and gone(quota=130) == ["a", "c"] and gone(quota=130, mode="lru") == ["a"] and gone(quota=1, mode="strict-lru") == []
+
+
+def test_client_verbs(spark, tmp_path):
+    from tagfold.plans.client import Client, lifetime_of, tags_of
+
+    assert [lifetime_of(x) for x in (3600, None, False, 0)] == [3600, 0, -1, 0] and [tags_of(x) for x in ("a", ["a", "b"], None)] == [["a"], ["a", "b"], []]
+    c = Client(spark, NOW)
+    c.save("fpc-1", 3600, ["tag-1", "tag-2"], "sample FPC record")
+    c.save("fpc-2", None, ["tag-2", "tag-3"], "medium record")
+    c.save("fpc-3", False, ["tag-3", "tag-4"], "large record")
+    c.save("fpc-5", 3600, "tag-5", "FPC record with single tag")
+    assert names(c.get_ids_matching_tags("tag-2")) == ["fpc-1", "fpc-2"] and names(c.get_ids_matching_tags(["tag-2", "tag-3"])) == ["fpc-2"]
+    assert names(c.get_ids_not_matching_tags(["tag-4", "tag-5"])) == ["fpc-1", "fpc-2"] and names(c.get_ids_matching_any_tags(["tag-4", "tag-5"])) == ["fpc-3", "fpc-5"]
+    assert {r.id: r.expire for r in c.page_state().collect()} == {"fpc-1": NOW + 3600, "fpc-2": L.INFINITE, "fpc-3": NOW + L.FPC_DEFAULT[3], "fpc-5": NOW + 3600}
+    assert c.clean("matchall", ["tag-1", "tag-2"]) and not c.clean("some") and c.get_last_error() == "CLEAN: no mode some"
+    assert names(c.get_ids()) == ["fpc-2", "fpc-3", "fpc-5"] and not c.load("") and c.get_metadatas("fpc-5").first().tag_list == "tag-5"
+    assert c.test("fpc-1").count() == 0 and c.test("fpc-2").first().mtime == NOW
+    c.write("session-1", False, "sample session record")
+    c.read("session-1")
+    c.write("session-2", None, "x")
+    c.destroy("session-2")
+    assert names(c.session_state()) == ["session-1"] and c.gc(60).count() == 0
+    lines = sorted(r.line for r in c.info({"FPC": 1000, "": None}).collect())
+    assert lines == ["Combined memory quota: not set", "FPC memory: 51 / 1000 bytes (used / quota)", "FPC store: 3 records", "Global memory: 51 bytes used", "Session memory: 0 / not set bytes (used / quota)", "Session store: 1 record"]
+    (tmp_path / "c.cfg").write_text("# options\nmax_fpc_memory 2g # most\n\nmax_session_memory 512m\n")
+    c.set("max_fpc_memory", "1g")
+    c.remote_config(str(tmp_path / "c.cfg"))
+    assert sorted(tuple(r) for r in c.get("max_*_memory").collect()) == [("max_fpc_memory", "2g"), ("max_session_memory", "512m")]
+    path = c.store(str(tmp_path / "snap"))
+    again = Client(spark, NOW + 10)
+    again.restore(path)
+    again.touch("fpc-5", 100)
+    assert names(again.get_ids()) == ["fpc-2", "fpc-3", "fpc-5"] and again.page_state().where("id = 'fpc-5'").first().expire == NOW + 10 + 3600 + 100
+    c.log("hello")
+    assert c.logged().first().line == "2024.02.01 00:00:00 hello" and c.rotate("log_%d.txt").first().name == f"log_{NOW}.txt"
+    assert c.stats("Cache_*", 4).count() == 2 and c.ping() and c.get_capabilities()["infinite_lifetime"]
+
+
+def test_result_pages_and_work_caps(spark):
+    df = spark.range(10)
+    assert [r.id for r in stats.sliced(df, [F.col("id")], 3, 4).collect()] == [3, 4, 5, 6] and stats.sliced(df, [F.col("id")], 8, 0).count() == 2
+    assert df.select(stats.sliced_text(F.lit("abcdef"), 2, 3).alias("t"), stats.sliced_text(F.lit("abcdef"), 4, 0).alias("u")).first()[:] == ("cde", "ef")
+    assert [stats.work_cap(x) for x in (0, 1, 33, 34, 66, 67, 99, 100)] == [1_000_000_000, 1_000, 1_000, 500, 500, 200, 200, 100] and stats.work_cap(100, stats.RECOMPRESSIONS) == 0
