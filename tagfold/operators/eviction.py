@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from tagfold.functions.lifetimes import by_ua
 
-#: Width of a bucket of lru_seq, within which one task ranks the records of a class.
-WIDTH = 1 << 16
+#: Records of a bucket of lru_seq, about: one task ranks those of a class in it.
+PER_BUCKET = 1 << 14
 
 
-def before(state: DataFrame, keys: list[str], value: Column, out: str, width: int = WIDTH) -> DataFrame:
+def before(state: DataFrame, keys: list[str], value: Column, out: str, per_bucket: int = PER_BUCKET) -> DataFrame:
     """Adds out: the sum of value over the rows of the same keys with a smaller lru_seq (ties: smaller id)."""
+    span = state.agg(F.count("*").alias("n"), F.min("lru_seq").alias("low"), F.max("lru_seq").alias("high")).first()
+    width = max(1, ((span["high"] or 0) - (span["low"] or 0) + 1) * per_bucket // max(span["n"], 1))
     s = state.withColumns({"_b": F.floor(F.col("lru_seq") / width), "_v": value})
     sums = s.groupBy(*keys, "_b").agg(F.sum("_v").alias("_s"))
     upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
