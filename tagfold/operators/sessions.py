@@ -1,8 +1,9 @@
 """The session store as a fold of its command log.
 
-A read of an expired session deletes it, which restarts its write count, so state depends on state: each session's
-commands are folded in order. Partitions are sorted by session and sequence number and folded as they stream past, with
-one session's state in memory at a time, however long its log is.
+A read of an expired session deletes it, which restarts its write count, so state depends on state and commands are folded
+in order. But a DESTROY ends what came before: a session's lives, from one DESTROY to the next, are folded apart, wherever
+they lie, so a session with any share of all commands is no single task's work. Partitions are sorted by life and sequence
+number and folded as they stream past, with one state in memory at a time; a session then has the state of its last life.
 """
 
 from __future__ import annotations
@@ -10,10 +11,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagfold.functions import lifetimes as L
+from tagfold.operators.eviction import before
 from tagfold.ship import ship
 
 STATE = "id string, ua int, num_writes long, mtime long, expire long, lru_seq long, reads long, hits long, alive boolean"
@@ -62,6 +64,12 @@ class Session:
         return name, self.ua, self.num_writes, self.mtime, self.expire, self.lru_seq, self.reads, self.hits, self.alive
 
 
+def lives(log: DataFrame, ends: Column) -> DataFrame:
+    """log with life: how many commands of the session that meet ends came before. In two steps, so no task counts a whole session."""
+    counted = before(log.withColumn("lru_seq", F.col("seq")), ["id"], F.coalesce(ends, F.lit(False)).cast("long"), "life")
+    return counted.drop("lru_seq")
+
+
 def fold(log: DataFrame, revive: bool = False, always: bool = False) -> DataFrame:
     """STATE of each session of the log (seq, ts, id, ua, op, lifetime) after its last command."""
     ship(log.sparkSession)
@@ -72,17 +80,21 @@ def fold(log: DataFrame, revive: bool = False, always: bool = False) -> DataFram
         for b in batches:
             done = []
             lifetimes = b["lifetime"].astype(object).where(b["lifetime"].notna(), None)
-            for name, seq, ts, ua, op, lifetime in zip(b["id"], b["seq"], b["ts"], b["ua"], b["op"], lifetimes):
-                if name != current:
+            for name, life, seq, ts, ua, op, lifetime in zip(b["id"], b["life"], b["seq"], b["ts"], b["ua"], b["op"], lifetimes):
+                if (name, life) != current:
                     if current is not None:
-                        done.append(state.row(current))
-                    current, state = name, Session()
+                        done.append((*state.row(current[0]), current[1]))
+                    current, state = (name, life), Session()
                 state.apply(seq, ts, ua, op, None if lifetime is None else int(lifetime), revive, always)
-            yield pd.DataFrame(done, columns=names)
+            yield pd.DataFrame(done, columns=[*names, "life"])
         if current is not None:
-            yield pd.DataFrame([state.row(current)], columns=names)
+            yield pd.DataFrame([(*state.row(current[0]), current[1])], columns=[*names, "life"])
 
-    return log.select("id", "seq", "ts", "ua", "op", "lifetime").repartition("id").sortWithinPartitions("id", "seq").mapInPandas(run, STATE)
+    rows = lives(log.select("id", "seq", "ts", "ua", "op", "lifetime"), F.col("op") == "DESTROY").repartition("id", "life").sortWithinPartitions("id", "life", "seq")
+    each = rows.mapInPandas(run, f"{STATE}, life long")
+    last = [n for n in names if n not in ("id", "reads", "hits")]
+    whole = each.groupBy("id").agg(F.max_by(F.struct(*last), "life").alias("_last"), F.sum("reads").alias("reads"), F.sum("hits").alias("hits"))
+    return whole.select(*(F.col(n) if n in ("id", "reads", "hits") else F.col(f"_last.{n}").alias(n) for n in names))
 
 
 def live(log: DataFrame, revive: bool = False, always: bool = False) -> DataFrame:
@@ -95,10 +107,9 @@ def hits_and_misses(log: DataFrame) -> DataFrame:
 
 def write_lifetimes(log: DataFrame) -> DataFrame:
     """Lifetime of each write by its number since the session's last DESTROY: the progressive rule without reads."""
-    upto = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    w = log.withColumn("_life", F.sum((F.col("op") == "DESTROY").cast("long")).over(upto)).where("op = 'WRITE'")
+    w = lives(log, F.col("op") == "DESTROY").where("op = 'WRITE'")
     asked = (F.col("ua") == L.USER) & (F.col("lifetime") >= 0)
-    n = F.sum((~F.coalesce(asked, F.lit(False))).cast("long")).over(Window.partitionBy("id", "_life").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    n = F.sum((~F.coalesce(asked, F.lit(False))).cast("long")).over(Window.partitionBy("id", "life").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
     w = w.withColumn("num_writes", F.coalesce(n, F.lit(0)))
     grown = F.col("ts") + L.session_lifetime(F.col("ua"), F.col("lifetime"), F.col("num_writes"))
     own = F.when(F.col("lifetime") == 0, F.lit(L.INFINITE).cast("long")).otherwise(F.least(F.col("ts") + F.col("lifetime"), F.lit(L.INFINITE - 1)))
@@ -107,22 +118,20 @@ def write_lifetimes(log: DataFrame) -> DataFrame:
 
 def promoted(log: DataFrame) -> DataFrame:
     """User-agent class of each session after each command: the greatest seen since its last DESTROY."""
-    upto = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    lives = log.withColumn("_life", F.sum((F.col("op") == "DESTROY").cast("long")).over(upto)).where("op != 'DESTROY'")
-    return lives.select("seq", "id", F.max("ua").over(Window.partitionBy("id", "_life").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)).alias("record_ua"))
+    rows = lives(log, F.col("op") == "DESTROY").where("op != 'DESTROY'")
+    return rows.select("seq", "id", F.max("ua").over(Window.partitionBy("id", "life").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)).alias("record_ua"))
 
 
 def lock_conflicts(log: DataFrame, wait: int = 8) -> DataFrame:
     """Reads that wait for a lock: another read of the session took it at most wait seconds before, and no write or destroy came since.
 
-    Both sides are dealt to buckets of wait seconds, so a session's reads only meet those near them in time.
+    Reads between the same two other commands are dealt to buckets of wait seconds, so they only meet those near them in time.
     """
-    following = F.min(F.when(F.col("op") != "READ", F.col("seq"))).over(Window.partitionBy("id").orderBy("seq").rowsBetween(1, Window.unboundedFollowing))
-    reads = log.withColumn("_until", following).where("op = 'READ'").withColumn("_b", F.floor(F.col("ts") / wait))
-    a = reads.select(F.col("id"), F.col("seq").alias("holder"), F.col("ts").alias("_from"), "_until", F.explode(F.array("_b", F.col("_b") + 1)).alias("_b"))
-    b = reads.select("id", "_b", F.col("seq").alias("waiter"), F.col("ts").alias("_ts"))
-    near = (F.col("waiter") > F.col("holder")) & (F.col("_ts") - F.col("_from") <= wait) & (F.col("_until").isNull() | (F.col("waiter") < F.col("_until")))
-    return a.join(b, ["id", "_b"]).where(near).select("id", "holder", "waiter")
+    reads = lives(log, F.col("op") != "READ").where("op = 'READ'").withColumn("_b", F.floor(F.col("ts") / wait))
+    a = reads.select("id", "life", F.col("seq").alias("holder"), F.col("ts").alias("_from"), F.explode(F.array("_b", F.col("_b") + 1)).alias("_b"))
+    b = reads.select("id", "life", "_b", F.col("seq").alias("waiter"), F.col("ts").alias("_ts"))
+    near = (F.col("waiter") > F.col("holder")) & (F.col("_ts") - F.col("_from") <= wait)
+    return a.join(b, ["id", "life", "_b"]).where(near).select("id", "holder", "waiter")
 
 
 def lock_waits(log: DataFrame, wait: int = 8) -> DataFrame:
