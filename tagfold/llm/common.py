@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagfold.ship import ship
+from tagfold.sources.snapshots import new_folder
 
 # Arrow's own pool keeps what it has freed; with the system's, a Python worker's memory shrinks again between batches
 pa.set_memory_pool(pa.system_memory_pool())
@@ -23,27 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Temporary folders of sessions without a shared one.
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
-
-    Only a session without that setting (a local test) gets a temporary folder of its own.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not found:
-        name = spark.sparkContext.applicationId
-        found = _own.get(name) or _own.setdefault(name, tempfile.mkdtemp(prefix="tagfold-"))
-    return found.rstrip("/")
-
-
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/tagfold-{what}-{uuid.uuid4().hex}"
+    return new_folder(spark, f"tagfold-{what}")
 
 
 def saved(df: DataFrame, what: str) -> DataFrame:

@@ -32,7 +32,7 @@ from tagfold.llm.common import running_total, saved
 CAPACITY, END_ID = 1_024, 2
 CHUNK = 256
 #: Steps that the search for a plan may take in all.
-STEPS = 10_000
+STEPS = 20_000
 #: Pieces of one length that share a bucket, about.
 PER_BUCKET = 4_096
 
