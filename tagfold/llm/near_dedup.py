@@ -15,7 +15,8 @@ Links have a Jaccard similarity of at least 75 %. A pair at 75 % shares none of
 Defined cases: a text without words (null, empty) has 0 shingles and links with nothing; with fewer than five words the
 whole sequence is the one shingle; equal texts are one group; a row that repeats a doc_id is judged by its own text; a row
 without a doc_id stands for a group only if none of its rows has one (component_id is null then), and is kept where unnamed
-rows are asked for; an empty table gives no rows; other columns play no part. Rows and sets go by a 64-bit hash of doc_id and text.
+rows are asked for; ties go to the smaller key; texts of any length are taken whole; an empty table gives no rows; other
+columns, whatever they are called, play no part. Rows and sets go by a 64-bit hash of doc_id and text.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ the plan meets the lower bound, or STEPS steps are done; only then may a better
 each length and looks up rank by rank which sequence of the plan has them.
 
 Defined cases: a null text is empty and packs as its end id alone; repeated rows are each packed; an empty table gives no
-rows; other columns play no part. A text of any length is encoded whole and cut into as many pieces as it needs.
+rows; other columns, whatever they are called, play no part; equal lengths go by a hash and then doc_id and piece. A text of any length is encoded whole and cut into as many pieces as it needs.
 """
 
 from __future__ import annotations

@@ -18,7 +18,7 @@ Segments are rows of a Parquet table, in ascending doc_id order within and acros
 
 Defined cases: a null text is empty and has its end id only; rows that repeat a doc_id follow one another, by text; a null
 doc_id comes first; a document of any length stays in one segment, which may then be longer than SEGMENT; an empty table
-gives no segments and no rows; other columns play no part.
+gives no segments and no rows; other columns, whatever they are called, play no part.
 """
 
 from __future__ import annotations

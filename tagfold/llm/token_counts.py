@@ -5,7 +5,8 @@ Counts are joined from the cache, a Parquet folder; of the digests that it lacks
 counts are appended. Normalising means no more than null to empty: anything else could change a count.
 
 Defined cases: a null text counts as empty: no bytes, no tokens; repeated rows each get their count; two writers may
-append the same digest, which is read once; an empty table gives no rows and appends none; other columns play no part.
+append the same digest, which is read once; texts of any length are encoded whole; an empty table gives no rows and appends
+none; other columns, whatever they are called, play no part.
 """
 
 from __future__ import annotations
