@@ -141,10 +141,12 @@ def lock_waits(log: DataFrame, wait: int = 8) -> DataFrame:
     of another request waits for that, wait seconds at most: then it breaks the lock. A lock that nothing has released is
     taken for broken wait seconds after it was taken, so both sides are dealt to buckets of that time.
     """
-    after = lambda *keys: Window.partitionBy(*keys).orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("id", "request_id").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
     end = F.struct("seq", "ts")
-    marked = log.withColumns({
-        "_own": F.min(F.when(F.col("op") == "WRITE", end)).over(after("id", "request_id")), "_any": F.min(F.when(F.col("op") == "DESTROY", end)).over(after("id")),
+    marked = lives(log, F.col("op") == "DESTROY").withColumns({
+        "_own": F.min(F.when(F.col("op") == "WRITE", end)).over(later),
+        # the destroy that ends a life is its last command
+        "_any": F.max(F.when(F.col("op") == "DESTROY", end)).over(Window.partitionBy("id", "life")),
         "_first": F.row_number().over(Window.partitionBy("id", "request_id", "op").orderBy("seq")),
     })
     reads = marked.where("op = 'READ'").withColumns({"_end": F.least("_own", "_any"), "_b": F.floor(F.col("ts") / wait)})
