@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tagfold.llm.common import saved
+from tagfold.llm.common import sampled, saved
 
 PIVOTS, PREFIX = 2_048, 32
 #: Share of the pivots that a query's cutoff takes in.
@@ -48,7 +48,7 @@ def valid(table: DataFrame) -> DataFrame:
 
 def chosen(rows: DataFrame, pivots: int, seed: int) -> np.ndarray:
     """Up to pivots distinct vectors, of the 2 * pivots rows with the smallest hashes."""
-    few = [r["v"] for r in rows.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(2 * pivots).collect()]
+    few = [r["v"] for r in sampled(rows, 2 * pivots, "vec_id", seed=seed).collect()]
     return np.array(list(dict.fromkeys(map(tuple, few)))[:pivots], float)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagfold.llm import text_stats
-from tagfold.llm.common import saved
+from tagfold.llm.common import sampled, saved
 
 #: Most rows that the trees grow on: those with the smallest hash of doc_id and counts.
 POOL = 8_192
@@ -155,7 +155,7 @@ def grown(counts: np.ndarray) -> Model:
 def fit_model(counted: DataFrame, labels: DataFrame, pool: int = POOL) -> Model:
     """counted: doc_id and text_stats.COUNTS of all rows, saved."""
     names = list(text_stats.COUNTS)
-    got = counted.select(*names).orderBy(F.xxhash64("doc_id", *names), *names).limit(pool).toPandas()
+    got = sampled(counted.select("doc_id", *names), pool, "doc_id", *names).select(*names).toPandas()
     model = grown(got.to_numpy(np.int64).reshape(len(got), len(names)))
     if not model.forests:
         return model

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagfold.llm import text_stats
+from tagfold.llm.common import sampled
 
 LABELLED = 16_384
 TREES, DEPTH, CUTS, ROWS_PER_TREE = 48, 3, 24, 2_048
@@ -131,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Ensem
     """Fits on labelled documents at most, which a hash chooses from those with a label that isn't held out."""
     may = labels.where("quality is not null and doc_id is not null").where(~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").cast("int").alias("_quality"))
     # of these labels alone some are broadcast, twice labelled at most
-    few = may.orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(2 * labelled)
+    few = sampled(may, 2 * labelled, "doc_id")
     counted = text_stats.with_counts(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id"), ["doc_id", "_quality"])
     # documents that repeat a doc_id are more than that: the bound is on what is collected
     got = counted.orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id", *text_stats.COUNTS).limit(labelled).toPandas()

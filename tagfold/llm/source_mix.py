@@ -15,6 +15,7 @@ the same result.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,6 +118,16 @@ def mix(docs: DataFrame, keep: list[str]) -> DataFrame:
     return used.unionByName(placed.where("size = 0").select(*shown, zero.alias("taken"), zero.alias("taken_again"), none.alias("first_slot"), none.alias("again_slot")))
 
 
+def named(docs: DataFrame, own: dict[str, str]) -> DataFrame:
+    """docs with its columns renamed as own says and _row, which names each row: by file and place, if docs reads Parquet
+    files as they are; other rows are written first, with a number."""
+    try:
+        place = F.concat_ws(":", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index").cast("string"))
+        return docs.select(*(F.col(f"`{c}`").alias(o) for c, o in own.items()), place.alias("_row"))
+    except AnalysisException:
+        return saved(docs.toDF(*own.values()).withColumn("_row", F.monotonically_increasing_id().cast("string")), "mix-texts")
+
+
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each document and pass that gives words, in the order of their slots.
 
@@ -125,7 +136,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     """
     names = docs.columns
     own = {c: f"_own{i}" for i, c in enumerate(names)}
-    rows = saved(docs.toDF(*own.values()).withColumn("_row", F.monotonically_increasing_id()), "mix-texts")
+    rows = named(docs, own)
     text = F.col(own["text"])
     sized = rows.select("_row", F.col(own["doc_id"]).alias("doc_id"), F.col(own["source"]).alias("source"), size_of(text).alias("size"))
     passes = F.array(F.struct((F.col("taken") - F.col("taken_again")).alias("words"), F.col("first_slot").alias("slot")), F.struct(F.col("taken_again").alias("words"), F.col("again_slot").alias("slot")))
