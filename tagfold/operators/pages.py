@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from tagfold.functions import lifetimes as L
 from tagfold.functions.lifetimes import by_ua
-from tagfold.operators import eviction
 from tagfold.operators.tags import UNTAGGED, own
 from tagfold.ship import ship
 
@@ -407,14 +406,17 @@ def known(records: DataFrame) -> DataFrame:
 def states(log: DataFrame, saved, state: DataFrame | None = None, retain: tuple[int, ...] = L.FPC_RETAIN, always: bool = True) -> DataFrame:
     """fold() of a log that may hold CLEANs of mode old: of each class the oldest expired pages go, as long as more than retain are left.
 
-    saved writes a DataFrame to the shared folder and reads it back: the fold so far, at each of these CLEANs.
+    saved writes a DataFrame to the shared folder and reads it back. The first fold lets all expired pages go; from what it
+    counts follows which of them stay, the next fold goes by that, and so on until nothing changes. A CLEAN depends only on
+    those before it, so each round settles one more at least, and in logs whose classes seldom run short all of them soon.
     """
-    cuts = [(r["seq"], r["ts"]) for r in log.where("op = 'CLEAN' and mode = 'old'").select("seq", "ts").orderBy("seq").collect()]
-    rest, since = log.where("op != 'CLEAN' or mode != 'old'"), None
-    for seq, ts in cuts:
-        now = saved(fold(rest.where((F.col("seq") < seq) & (F.lit(True) if since is None else F.col("seq") > since)), state, always))
-        gone = eviction.collectable(now.where("alive"), F.col("expire") < ts, retain).select("id", F.lit(True).alias("_gone"))
-        dead = F.col("_gone").isNotNull()
-        keep = {c: F.when(dead, v).otherwise(F.col(c)) for c, v in (("ua", F.lit(0)), ("tags", F.array().cast("array<string>")), ("alive", F.lit(False)), *((c, F.lit(0).cast("long")) for c in ("mtime", "expire", "lru_seq", "usize")))}
-        state, since = saved(now.join(gone, "id", "left").withColumns(keep).drop("_gone")), seq
-    return fold(rest if since is None else rest.where(F.col("seq") > since), state, always)
+    old = log.where("op = 'CLEAN' and mode = 'old'").groupBy("seq").agg(F.max("ts").alias("ts"))
+    if old.isEmpty():
+        return fold(log, state, always)
+    least = None
+    while True:
+        marked = saved(_fold(log, state, always, old, least))
+        found = saved(_least(marked, old, retain))
+        if found.isEmpty() if least is None else found.exceptAll(least).isEmpty() and least.exceptAll(found).isEmpty():
+            return marked.where("mark = 'page'").select(*NAMES)
+        least = found

@@ -263,6 +263,41 @@ def test_page_states_clean_old_pages(spark, tmp_path):
     assert {x.id: tuple(x)[1:] for x in state.collect()} == {k: p.row(k)[1:] for k, p in pages_.items()}
 
 
+def test_old_pages_are_cleaned_in_a_few_rounds(spark):
+    from tagfold.operators import pages as P
+
+    r, rows = random.Random(11), []
+    for i in range(1500):
+        # times go back twice
+        ts = NOW + i % 600 * 300 + r.randint(0, 50)
+        op = r.choice(["SAVE"] * 6 + ["LOAD", "LOAD", "TOUCH", "REMOVE", "CLEAN"])
+        clean = op == "CLEAN"
+        rows.append((ts, op, None if clean else f"p{r.randint(0, 90)}", r.randint(0, 3), r.choice([0, 60, 5000, 90_000]) if op == "SAVE" else 30, [r.choice("xyz")], 1, r.choice(["old"] * 6 + ["matchall", "matchnot"]) if clean else None))
+    retain, pages_, writes = (3, 2, 10, 20), {}, []
+
+    def counted(df):
+        writes.append(1)
+        return snapshots.saved(spark, "t")(df)
+
+    got = P.states(page_commands(spark, rows), counted, retain=retain)
+    for seq, (ts, op, name, ua, lifetime, tags_, size, mode) in enumerate(rows):
+        if op != "CLEAN":
+            pages_.setdefault(name, P.Page()).apply(seq, ts, ua, op, lifetime, tags_, size, True)
+        elif mode != "old":
+            [p.clean(mode, set(tags_)) for p in pages_.values() if p.alive]
+        else:
+            for u in range(4):
+                chain = sorted((p.lru_seq, k) for k, p in pages_.items() if p.alive and p.ua == u)
+                left = len(chain)
+                for _, k in chain:
+                    if left > retain[u] and pages_[k].expire < ts:
+                        pages_[k].drop()
+                        left -= 1
+    assert {x.id: tuple(x)[1:] for x in got.collect()} == {k: p.row(k)[1:] for k, p in pages_.items()}
+    assert sum(x[1] == "CLEAN" and x[7] == "old" for x in rows) > 60
+    assert len(writes) < 60, "before: two for each of these CLEANs"
+
+
 def test_a_page_meets_its_clean_without_the_others():
     from tagfold.operators import pages as P
 
