@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,15 +42,19 @@ from tagfold.llm.common import saved
 
 BLOCK = 1_024
 #: Ids of a segment, about: it ends with the document that reaches so many.
-SEGMENT = 1 << 21
-MAGIC = b"TGF2"
+SEGMENT = 1 << 22
+#: Bytes of texts that are tokenized together, but for longer ones.
+CHUNK = 1 << 23
+MAGIC = b"TGF3"
 END_ID = 1
 #: Slots of a block's order-2 and order-1 tables.
 SLOTS2, SLOTS1 = 1_024, 512
 #: Frequencies of a distribution add up to 1 << TOTAL.
 TOTAL = 20
 #: Bits of a value by which its place is looked up, before the last steps.
-CELLS = 12
+CELLS = 14
+#: From which bit on an interval's start and width are kept, above another number.
+START, WIDTH = 32, 8
 #: Most classes of ids, and parts of successor counts that they are told apart by.
 CLASSES, PARTS = 16, 128
 #: Shares in 16ths of the order-1 distribution in a mixture, by how well it has done.
@@ -61,12 +66,12 @@ U64 = np.uint64
 
 def _stretch_table() -> np.ndarray:
     """ln(p / (1 - p)) in 1/256 for p in 1/4096."""
-    return np.array([round(256 * math.log((i + 0.5) / (4095.5 - i))) for i in range(4096)], np.int64)
+    return np.array([round(256 * math.log((i + 0.5) / (4095.5 - i))) for i in range(4096)], np.int32)
 
 
 def _squash_table() -> np.ndarray:
     """The inverse: a 16-bit chance for x in 1/256 from -2047 to 2047."""
-    return np.array([min(65_000, max(536, round(65_536 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int64)
+    return np.array([min(65_000, max(536, round(65_536 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int32)
 
 
 STRETCH, SQUASH = _stretch_table(), _squash_table()
@@ -98,29 +103,37 @@ class Model:
         v, k = len(self.counts), len(self.after)
         every = (self.counts << 20) // max(int(self.counts.sum()), 1) + 1
         own = (self.after << 20) // np.maximum(self.after.sum(1, keepdims=True), 1)
-        self.size, self.starts = v + 1, np.concatenate([frequencies(share * own + (16 - share) * every) for share in SHARES])
-        #: Running totals of all mixtures, one after another: [share, class, place].
-        self.totals = self.starts.ravel()
-        self.keys = (self.starts + (np.arange(len(self.starts)) << TOTAL + 1)[:, None]).ravel()
-        #: For each mixture and part of 0..1 << TOTAL, the last place (among all totals) that starts at or before it.
-        cells = self.starts[:, :-1] >> TOTAL - CELLS
-        table = np.arange(len(cells))[:, None]
-        begun = np.bincount((cells + (self.starts[:, :-1] & ((1 << TOTAL - CELLS) - 1) > 0) + table * (2 << CELLS)).ravel(), minlength=len(cells) * (2 << CELLS)).reshape(len(cells), -1)[:, : 1 << CELLS]
-        self.first = (np.cumsum(begun, axis=1) - 1 + table * self.size).astype(np.int32).ravel()
-        #: By how much an id after a class is likelier by its class than by itself, in 1/16 of a doubling.
-        self.better = np.clip(logs(own + 1) - logs(every), -64, 64).ravel()
-        self.level = np.minimum(logs(every) // 32, 15)
-
-    def place(self, table: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """Where among all totals the interval starts that holds a value of a mixture."""
-        at = self.first[(table << CELLS) + (value >> TOTAL - CELLS)].astype(np.int64)
-        todo = np.flatnonzero(self.totals[at + 1] <= value)
-        for _ in range(4):
-            if not len(todo):
-                return at
-            at[todo] += 1
-            todo = todo[self.totals[at[todo] + 1] <= value[todo]]
-        at[todo] = np.searchsorted(self.keys, (table[todo] << TOTAL + 1) + value[todo], "right") - 1
+        self.size, n = v + 1, k * len(SHARES)
+        starts = np.empty((k, len(SHARES), self.size), np.int64)
+        for i, share in enumerate(SHARES):
+            starts[:, i] = frequencies(share * own + (16 - share) * every)
+        starts = starts.reshape(n, self.size)
+        # by how much an id after a class is likelier by its class than by itself, in 1/16 of a doubling, and 64 more
+        better = np.clip(logs(own + 1) - logs(every), -64, 64) + 64
+        #: Of all mixtures, one after another: [class, share, place], where the id's interval starts, how wide it is, and better.
+        self.packed = starts << START
+        self.packed[:, :-1] += np.diff(starts, axis=1) << WIDTH
+        self.packed[:, :-1] += np.repeat(better, len(SHARES), axis=0)
+        self.packed = self.packed.ravel()
+        #: For each mixture and part of 0..1 << TOTAL, the last place (among all starts) that starts at or before it.
+        cells = starts[:, :-1] + ((1 << TOTAL - CELLS) - 1) >> TOTAL - CELLS
+        cells += np.arange(n)[:, None] * ((1 << CELLS) + 1)
+        begun = np.cumsum(np.bincount(cells.ravel(), minlength=n * ((1 << CELLS) + 1))).reshape(n, -1)
+        self.first = (begun + (np.arange(n) - 1)[:, None]).astype(np.int32).ravel()
+        self.level = np.minimum(logs(every) // 32, 15).astype(np.int32)
+
+    def place(self, cell: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Where among all mixtures' ids the one stands whose interval holds a value, from where the mixture's cells start."""
+        cell = cell + (value >> TOTAL - CELLS)
+        at = self.first.take(cell).astype(np.int64)
+        value = (value + 1) << START
+        todo = np.flatnonzero(self.packed.take(at + 1) < value)
+        if len(todo):  # halve what the cell leaves
+            value, low, high = value[todo], at[todo] + 1, self.first.take(cell[todo] + 1).astype(np.int64)
+            for step in reversed(range(int((high - low).max()).bit_length())):
+                next_ = np.minimum(low + (1 << step), high)
+                low = np.where(self.packed.take(next_) < value, next_, low)
+            at[todo] = low
         return at
 
     def bytes(self) -> bytes:
@@ -133,6 +146,12 @@ class Model:
         return Model(np.frombuffer(raw, "<u4", v).astype(np.int64), np.frombuffer(raw, "<u1", v, 4 * v).astype(np.int64), after.reshape(-1, v) if v else after.reshape(1, 0))
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b in pieces so small that the BLAS uses one thread: its others would spin on cores that other tasks need."""
+    rows = np.concatenate([a, np.zeros((-len(a) % 64, a.shape[1]), a.dtype)]).reshape(-1, 64, a.shape[1])
+    return (rows @ b).reshape(-1, b.shape[1])[: len(a)]
+
+
 def classed(places: np.ndarray, v: int) -> np.ndarray:
     """A class for each of v ids: ids whose successors fall alike into PARTS parts, by a few rounds of k-means."""
     if len(places) < 2:
@@ -145,16 +164,16 @@ def classed(places: np.ndarray, v: int) -> np.ndarray:
     shape = np.sqrt(table / np.maximum(mass, 1)[:, None])
     # the first centre is the most frequent id, each next one the frequent id that is least like those before
     frequent = np.argsort(-mass, kind="stable")[: 16 * CLASSES]
-    centers, like = [frequent[0]], shape[frequent] @ shape[frequent[0]]
+    centers, like = [frequent[0]], products(shape[frequent], shape[frequent[0]][:, None])[:, 0]
     for _ in range(min(CLASSES, v) - 1):
         centers.append(frequent[np.argmin(like)])
-        like = np.maximum(like, shape[frequent] @ shape[centers[-1]])
+        like = np.maximum(like, products(shape[frequent], shape[centers[-1]][:, None])[:, 0])
     middle = shape[centers]
     for _ in range(4):
-        of = np.argmax(shape @ middle.T, 1)
+        of = np.argmax(products(shape, middle.T), 1)
         sums = np.stack([np.bincount(of, weights=table[:, p], minlength=len(middle)) for p in range(PARTS)], 1)
         middle = np.sqrt(sums / np.maximum(sums.sum(1, keepdims=True), 1)).astype(np.float32)
-    return np.argmax(shape @ middle.T, 1)
+    return np.argmax(products(shape, middle.T), 1)
 
 
 def fitted(places: np.ndarray, v: int) -> Model:
@@ -173,83 +192,105 @@ def coded(blocks: int, n_ids: int, model: Model, ids: np.ndarray | None, words:
     """
     n, decode = blocks, words is not None
     last_length = n_ids - (n - 1) * BLOCK
-    out = np.zeros((BLOCK, n), np.int64) if decode else np.ascontiguousarray(ids.T)
-    low, high, at = np.zeros(n, U64), np.full(n, 0xFFFFFFFFFFFFFFFF, U64), np.zeros(n, np.int64)
+    out = np.zeros((BLOCK, n), np.int32) if decode else np.ascontiguousarray(ids.T)
+    # from: the interval's lower end or, while decoding, how far above it the coded number is
+    from_, wide = np.zeros(n, U64), np.full(n, 0xFFFFFFFFFFFFFFFF, U64)
+    if not decode:
+        words = np.zeros((n, BLOCK + 16), np.uint32)
+    per = words.shape[1]
+    flat, begin = words.reshape(-1), np.arange(n) * per
+    at = begin + 2 * decode
     if decode:
-        code, at = (words[:, 0].astype(U64) << U64(32)) | words[:, 1], at + 2
-    else:
-        words, code = np.zeros((n, BLOCK + 16), np.uint32), None
-    # a slot holds the id that followed last and, in its lowest three bits, how often it did in a row
-    slot2, slot1 = np.full(n * SLOTS2, -1, np.int64), np.full(n * SLOTS1, -1, np.int64)
-    often, known = np.full(n * 16, 1 << 13, np.int64), np.full(n * 16, 1 << 13, np.int64)
-    weight_o, weight_k = np.full(n, 40_000, np.int64), np.full(n, 10_000, np.int64)
-    score, k, size = np.zeros(n, np.int64), len(model.after), model.size
-    a, b, lane = np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n)
-    at2, at1, at16 = lane * SLOTS2, lane * SLOTS1, lane * 16
+        from_ = (words[:, 0].astype(U64) << U64(32)) | words[:, 1]
+    # a slot holds the id that followed last and, in its lowest three bits, how often it did in a row (0: none has)
+    # slot by slot, so that blocks with the same frequent id before them look close together
+    slot2, slot1 = np.zeros(n * SLOTS2, np.int32), np.zeros(n * SLOTS1, np.int32)
+    often, known = np.full((n, 16), 1 << 13, np.int32), np.full(n * 16, 1 << 13, np.int32)
+    often[:, 0] = 600
+    often = often.ravel()
+    weight_o, weight_k = np.full(n, 40_000, np.int32), np.full(n, 10_000, np.int32)
+    score, size, shares = np.zeros(n, np.int32), model.size, len(SHARES)
+    rows = model.classes * (shares * size)  # where the mixtures after an id start
+    cells = model.classes * (shares * ((1 << CELLS) + 1))  # and their cells
+    b, hash_a, lane = np.zeros(n, np.int32), np.zeros(n, np.int32), np.arange(n, dtype=np.int32)
+    at16, at24 = lane * 16, lane * 16 + 8
     for t in range(BLOCK):
         if t == last_length and n > 1:
-            low_, high_, at_ = low[-1:], high[-1:], at[-1:]
+            last = from_[-1:], at[-1:]
             n -= 1
-            low, high, at, score, a, b, lane, at2, at1, at16 = (x[:n] for x in (low, high, at, score, a, b, lane, at2, at1, at16))
-            weight_o, weight_k, code = weight_o[:n], weight_k[:n], code[:n] if decode else None
+            from_, wide, at, score, b, hash_a, lane, at16, at24, weight_o, weight_k = (x[:n] for x in (from_, wide, at, score, b, hash_a, lane, at16, at24, weight_o, weight_k))
         elif t == last_length:
             break
-        where2 = at2 + (((a * 40_503 + b * 30_011) >> 3) & (SLOTS2 - 1))
-        where1 = at1 + ((b * 40_503 >> 5) & (SLOTS1 - 1))
-        v2, v1 = slot2[where2], slot1[where1]
-        v = np.where(v2 >= 0, v2, v1)
-        have, guess = v >= 0, v >> 3
+        hash_b = b * 40_503
+        where2 = ((hash_a + b * 30_011 >> 3 & SLOTS2 - 1) * blocks + lane).astype(np.intp)
+        where1 = ((hash_b >> 5 & SLOTS1 - 1) * blocks + lane).astype(np.intp)
+        v2, v1 = slot2.take(where2), slot1.take(where1)
+        seen = (v2 & 7) > 0
+        v = np.where(seen, v2, v1)
+        guess = v >> 3
         # is it the id that followed before?
-        i, j = at16 + (v & 7) + 8 * (v2 >= 0), at16 + model.level[guess]
-        p, q = often[i], known[j]
-        ps, qs = STRETCH[p >> 4], STRETCH[q >> 4]
-        chance = SQUASH[np.clip((ps * weight_o + qs * weight_k) >> 16, -2047, 2047) + 2047]
-        middle = low + ((high - low) >> U64(16)) * (chance * have).astype(U64)
-        hit = have & (code <= middle) if decode else guess == out[t, :n]
-        goal = hit * 65_535
-        error = (goal - chance) * have
-        often[i], known[j] = p + (((goal - p) >> 4) * have), q + (((goal - q) >> 5) * have)
-        weight_o += (ps * error) >> 14
-        weight_k += (qs * error) >> 14
-        base = np.where(hit, low, middle + U64(1))
-        wide = np.where(hit, middle, high) - base
+        i, j = ((v & 7) + np.where(seen, at24, at16)).astype(np.intp), (model.level.take(guess) + at16).astype(np.intp)
+        p, q = often.take(i), known.take(j)
+        ps, qs = STRETCH.take(p >> 4), STRETCH.take(q >> 4)
+        chance = SQUASH.take((ps * weight_o + qs * weight_k >> 16) + 2047, mode="clip")
+        bound = (wide >> U64(16)) * chance.astype(U64)
+        hit = from_ < bound if decode else guess == out[t, :n]
+        goal = np.multiply(hit, 65_535, dtype=np.int32)
+        error = goal - chance
+        often[i], known[j] = p + (goal - p >> 4), q + (goal - q >> 5)
+        weight_o += ps * error >> 14
+        weight_k += qs * error >> 14
         # if not, which one?
-        of = model.classes[b]
-        share = np.clip((score + 256) >> 7, 0, 3)
-        table = share * k + of
-        unit = wide >> U64(TOTAL)
+        share = np.minimum(np.maximum(score + 256 >> 7, 0), shares - 1)
+        row = rows.take(b) + share * size
+        unit = (wide - bound) >> U64(TOTAL)
         if decode:
-            value = np.minimum((code - base) // np.maximum(unit, U64(1)), U64((1 << TOTAL) - 1)).astype(np.int64)
-            x = np.where(hit, guess, model.place(table, value) - table * size)
-            out[t, :n] = x
+            from_ -= np.where(hit, U64(0), bound)
+            # from_ // unit: the quotient of floats is off by one at most
+            value = (from_.astype(float) / unit.astype(float)).astype(np.int64)
+            value -= from_ < unit * value.astype(U64)
+            value += from_ >= unit * (value + 1).astype(U64)
+            value = np.where(hit, 0, np.minimum(value, (1 << TOTAL) - 1))
+            x = out[t, :n] = np.where(hit, guess, model.place(cells.take(b) + share * ((1 << CELLS) + 1), value) - row)
         else:
             x = out[t, :n]
-        row = table * size + x
-        low = np.where(hit, base, base + unit * model.totals[row].astype(U64))
-        high = np.where(hit, base + wide, base + unit * model.totals[row + 1].astype(U64) - U64(1))
-        score += np.where(hit, 0, model.better[of * (size - 1) + x]) - (score >> 4)
-        # every interval is at least 32 bits wide: its leading word goes, or it is cut where that isn't settled
-        while len(same := np.flatnonzero((high - low) < U64(1 << 32))):
-            lo, hi, w = low[same], high[same], at[same]
-            hi = np.where((lo ^ hi) < U64(1 << 32), hi, lo | U64(0xFFFFFFFF))
-            if decode:
-                code[same] = (code[same] << U64(32)) | words[same, np.minimum(w, words.shape[1] - 1)]
-            else:
-                if w.max() + 2 >= words.shape[1]:
-                    words = np.concatenate([words, np.zeros_like(words)], axis=1)
-                words[same, w] = lo >> U64(32)
-            low[same], high[same], at[same] = lo << U64(32), (hi << U64(32)) | U64(0xFFFFFFFF), w + 1
+        both = model.packed.take(row + x)
+        add = unit * (both >> START).astype(U64)
+        wide = np.where(hit, bound, unit * ((both & (1 << START) - 1) >> WIDTH).astype(U64))
+        score += np.where(hit, 0, (both.astype(np.int32) & (1 << WIDTH) - 1) - 64) - (score >> 4)
+        if decode:
+            from_ -= np.where(hit, U64(0), add)
+        else:
+            before = from_
+            from_ = before + np.where(hit, U64(0), bound + add)
+            if len(carry := np.flatnonzero(from_ < before)):
+                carry = at[carry]
+                while len(carry):
+                    carry = carry - 1
+                    flat[carry] += np.uint32(1)
+                    carry = carry[flat[carry] == 0]
+        # every interval is at least 32 bits wide: else its leading word goes, once is enough
+        small = np.flatnonzero(wide < U64(1 << 32))
+        w, some = at[small], from_[small]
+        if decode:
+            from_[small] = (some << U64(32)) | flat.take(w, mode="clip")
+        else:
+            flat[w] = some >> U64(32)
+            from_[small] = some << U64(32)
+        wide[small] <<= U64(32)
+        at[small] = w + 1
         # what was seen becomes the next prediction
-        slot2[where2] = np.where(v2 >> 3 == x, v2 + ((v2 & 7) < 7), x << 3)
-        slot1[where1] = np.where(v1 >> 3 == x, v1 + ((v1 & 7) < 7), x << 3)
-        a, b = b, x
+        plain = x << 3
+        most = plain + 7
+        slot2[where2] = np.where(v2 ^ plain < 8, np.minimum(v2 + 1, most), plain + 1)
+        slot1[where1] = np.where(v1 ^ plain < 8, np.minimum(v1 + 1, most), plain + 1)
+        hash_a, b = hash_b, x
     if n < blocks:
-        low, high, at = np.concatenate([low, low_]), np.concatenate([high, high_]), np.concatenate([at, at_])
-    if not decode:  # enough of each interval's lower end to name it
-        lane = np.arange(blocks)
-        words[lane, at], words[lane, at + 1] = low >> U64(32), low & U64(0xFFFFFFFF)
+        from_, at = (np.concatenate(x) for x in zip((from_, at), last))
+    if not decode:  # the interval's lower end
+        flat[at], flat[at + 1] = from_ >> U64(32), from_ & U64(0xFFFFFFFF)
         at = at + 2
-    return out.T, words, at
+    return out.T, words, at - begin
 
 
 def encode(places: np.ndarray, model: Model) -> list[bytes]:
@@ -257,7 +298,7 @@ def encode(places: np.ndarray, model: Model) -> list[bytes]:
     n = -(-len(places) // BLOCK)
     if not n:
         return []
-    padded = np.zeros(n * BLOCK, np.int64)
+    padded = np.zeros(n * BLOCK, np.int32)
     padded[: len(places)] = places
     _, words, sizes = coded(n, len(places), model, padded.reshape(n, BLOCK))
     return [w[:size].astype("<u4").tobytes() for w, size in zip(words, sizes)]
@@ -267,17 +308,25 @@ def decode(blocks: list[bytes], model: Model, n_ids: int) -> np.ndarray:
     """What encode() was given, from some of its blocks that have n_ids ids: only the last may have fewer than BLOCK."""
     n = len(blocks)
     if not n:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int32)
     words = np.zeros((n, max(map(len, blocks)) // 4 + 2), np.uint32)
     for i, x in enumerate(blocks):
         words[i, : len(x) // 4] = np.frombuffer(x, "<u4")
     return coded(n, n_ids, model, None, words)[0].ravel()[:n_ids]
 
 
+def listed(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that occur, in order, and the place of each of ids among them."""
+    if ids.max(initial=0) >= 1 << 22:
+        return np.unique(ids, return_inverse=True)
+    there = np.bincount(ids) > 0
+    return np.flatnonzero(there).astype(ids.dtype), (np.cumsum(there, dtype=np.int32) - np.int32(1)).take(ids)
+
+
 def segment(documents: list[bytes]) -> bytes:
     """One segment of documents' ids (little-endian unsigned 32-bit)."""
     ids = np.frombuffer(b"".join(documents), "<u4")
-    known, places = np.unique(ids, return_inverse=True)
+    known, places = listed(ids)
     fit = fitted(places, len(known))
     blocks, model = encode(places, fit), fit.bytes()
     names = zlib.compress(np.diff(known, prepend=0).astype("<u4").tobytes())
@@ -347,8 +396,11 @@ def written(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataF
             return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                for name, x in zip(b.column(0).slice(i, 256).to_pylist(), enc.encode(b.column(1).slice(i, 256).to_pylist())):
+            upto, i = np.cumsum(pc.binary_length(b.column(1)).to_numpy(), dtype=np.int64), 0
+            while i < b.num_rows:
+                some = max(int(np.searchsorted(upto, (upto[i - 1] if i else 0) + CHUNK, "right")) - i, 1)
+                rows, i = b.slice(i, some), i + some
+                for name, x in zip(rows.column(0).to_pylist(), enc.encode_column(rows.column(1))):
                     names.append(name)
                     ids.append(x + end)
                     size += len(x) // 4 + 1

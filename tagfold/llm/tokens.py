@@ -14,6 +14,10 @@ import re
 import sys
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Most pieces that a cache holds, and most words below them; each is forgotten in two generations.
 MOST_PIECES, MOST_WORDS = 300_000, 200_000
 
@@ -26,6 +30,8 @@ SPACE = re.compile(r"\s")
 LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f"
 #: What the two pre-tokenizers split plain words into (fixed values: the contractions that they know).
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+#: A word of letters and at most one sign behind it.
+WORD_AND_SIGN = f"^(?P<word>[{LETTERS}]+)(?P<sign>[.,;:!?]?)$"
 
 
 class Generations(dict):
@@ -119,6 +125,41 @@ class Encoder:
                 out[i] = ids
         return out
 
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """encode() of a column without nulls: what its texts share, pieces and words in them, is looked up once."""
+        if not (self.by_piece and self.dropped):
+            return self.encode(texts.to_pylist())
+        pieces = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = pieces.flatten().dictionary_encode()
+        found = self._distinct(coded.dictionary)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        which = coded.indices.to_numpy()
+        counts = sizes.take(which)
+        ends = np.r_[0, np.cumsum(counts)]
+        # each id's place among those of the distinct pieces
+        place = np.repeat((np.cumsum(sizes) - sizes).take(which) - ends[:-1], counts)
+        place += np.arange(len(place))
+        ids = np.frombuffer(b"".join(found), "<u4").take(place).tobytes()
+        cuts = 4 * ends.take(np.r_[0, np.cumsum(pc.list_value_length(pieces).to_numpy())])
+        return [ids[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+
+    def _distinct(self, pieces: pa.Array) -> list[bytes]:
+        """Ids of different pieces; a word of letters, alone or before one sign, is asked for once however it is written."""
+        parts = pc.extract_regex(pieces, WORD_AND_SIGN)
+        word, sign = (pc.struct_field(parts, x).dictionary_encode() for x in (0, 1))
+        words = pc.utf8_lower(word.dictionary).dictionary_encode()
+        at = self.words
+        known = [at[w] for w in _strings(words.dictionary)]
+        signs = [at[s] if s else b"" for s in _strings(sign.dictionary)]
+        others, look = iter(_strings(pieces.filter(pc.is_null(parts)))), self.pieces
+        which = words.indices.to_numpy().take(word.indices.fill_null(0).to_numpy()) if known else np.zeros(len(pieces), int)
+        which = np.where(parts.is_valid().to_numpy(zero_copy_only=False), which, -1).tolist()
+        return [known[i] + signs[j] if i >= 0 else look[next(others)] for i, j in zip(which, sign.indices.fill_null(0).to_numpy().tolist())]
+
+
+def _strings(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
 
 #: What a text may not have to be cut at blanks: blanks beside other white space, and white space but blanks and line ends.
 UNEVEN = ("  ", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))

@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
@@ -131,6 +132,30 @@ def test_coded_files_give_ids_back(spark, sf, odd, empty, monkeypatch):
     assert range_coder.read(range_coder.written(empty, WORD)).count() == 0
 
 
+def test_columns_ask_once_for_a_word():
+    texts = ["", " ", "stone Stone, STONE. stone! ÉTÉ été?", "stone\nStone;  x1 it's\tco-op 'stone' a.b stone.. İstone été\u0301", "<|endoftext|> stone<|startoftext|>, ß ẞ ƻ ǅ,", "stone"] * 2
+    enc, asked = tokens.Encoder(WORD), []
+    word = enc.words.make
+    enc.words.make = lambda w: asked.append(w) or word(w)
+    looked = []
+    piece = enc._piece
+    enc.pieces.make = lambda p: looked.append(p) or piece(p)
+    got = enc.encode_column(pa.array(texts))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == expected_ids(texts, WORD, [])
+    assert asked.count("stone") == 1 and asked.count("été") == 1 and not {"stone", "Stone,", "STONE.", "été?"} & set(looked)
+    assert enc.encode_column(pa.array([], pa.string())) == [] and enc.encode_column(pa.array(["", " \n"])) == [b"", b""]
+
+
+def test_coder_carries_and_rare_ids():
+    r = np.random.default_rng(5)
+    for v, n in ((2, 30_000), (3_000, 40_000), (60_000, 70_000)):
+        places = np.where(r.random(n) < 0.9, r.integers(0, 2, n), r.integers(0, v, n)).astype(np.int32)
+        model = range_coder.fitted(places, v)
+        assert np.array_equal(range_coder.decode(range_coder.encode(places, model), model, n), places)
+        a = r.random((130, 7))
+        assert np.allclose(range_coder.products(a, a[:7].T), a @ a[:7].T)
+
+
 # --- 2 ---
 def test_phrases_and_templates(spark, odd, empty):
     texts = ["CC BY cc-by, CC  by-sa. All rights reserved", "Released under the MIT License.", "Released under the MIT Licence", "This work is licensed under the GNU General Public License, version 3.", "all rights  Reserved all RIGHTS reserved", license_templates.MARKUP.sub(" ", license_templates.TEMPLATES["ISC"])]
