@@ -3,7 +3,8 @@
 Ids are cut into blocks of BLOCK; each block starts from the same models and is coded on its own, so it can be read alone
 with the segment's header. What is learnt inside a block, and forgotten at its end:
 
-* order 2 and order 1: the id that last followed the same two ids, else the same last id, is asked for first. The chance of
+* order 2 and order 1: the id that last followed the same two ids, else the same last id, is asked for first (where none has
+  followed, the first of all ids is, with a chance that soon is as small as it deserves). The chance of
   yes mixes, in the logistic domain with weights that adapt, how often that id has followed in a row and how frequent it is.
 * order 1 and order 0: an id that isn't the asked one is coded by a mixture of two distributions, that of ids after the last
   id's class and that of all ids. Their shares follow how well each has predicted the block so far.
@@ -245,11 +246,10 @@ def coded(blocks: int, n_ids: int, model: Model, ids: np.ndarray | None, words:
         row = rows.take(b) + share * size
         unit = (wide - bound) >> U64(TOTAL)
         if decode:
-            from_ -= np.where(hit, U64(0), bound)
-            # from_ // unit: the quotient of floats is off by one at most
-            value = (from_.astype(float) / unit.astype(float)).astype(np.int64)
-            value -= from_ < unit * value.astype(U64)
-            value += from_ >= unit * (value + 1).astype(U64)
+            # above // unit: of floats and a little more, so that the quotient is right or one too many
+            above = from_ - bound
+            value = (above.astype(float) / unit.astype(float) + 2**-20).astype(np.int64)
+            value -= above < unit * value.astype(U64)
             value = np.where(hit, 0, np.minimum(value, (1 << TOTAL) - 1))
             x = out[t, :n] = np.where(hit, guess, model.place(cells.take(b) + share * ((1 << CELLS) + 1), value) - row)
         else:
@@ -259,7 +259,7 @@ def coded(blocks: int, n_ids: int, model: Model, ids: np.ndarray | None, words:
         wide = np.where(hit, bound, unit * ((both & (1 << START) - 1) >> WIDTH).astype(U64))
         score += np.where(hit, 0, (both.astype(np.int32) & (1 << WIDTH) - 1) - 64) - (score >> 4)
         if decode:
-            from_ -= np.where(hit, U64(0), add)
+            from_ = np.where(hit, from_, above - add)
         else:
             before = from_
             from_ = before + np.where(hit, U64(0), bound + add)

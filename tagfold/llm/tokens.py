@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 
 #: Most pieces that a cache holds, and most words below them; each is forgotten in two generations.
 MOST_PIECES, MOST_WORDS = 300_000, 200_000
+#: The same where columns are encoded: most of their pieces are looked up as words.
+MOST_RARE_PIECES, MOST_COLUMN_WORDS = 100_000, 400_000
 
 #: Words whose ids don't depend on the Unicode version or on normalisation: ASCII but white space, and Latin letters.
 CHARACTERS = "\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f"
@@ -68,7 +70,6 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
-        self.pieces, self.words = Generations(MOST_PIECES, self._piece), Generations(MOST_WORDS, self._word)
         self.plain = PLAIN.fullmatch
         #: The four bytes of each id.
         self.four = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
@@ -81,6 +82,9 @@ class Encoder:
         self.dropped = kind == "Sequence"
         known = self.dropped or kind == "ByteLevel" and conf["normalizer"] is None and not conf["pre_tokenizer"]["add_prefix_space"] and conf["pre_tokenizer"]["use_regex"]
         self.by_piece = known and sys.byteorder == "little" and conf["post_processor"] is None and all(not SPACE.search(t["content"]) and not t["lstrip"] and not t["rstrip"] for t in conf["added_tokens"])
+        by_column = self.by_piece and self.dropped
+        self.pieces = Generations(MOST_RARE_PIECES if by_column else MOST_PIECES, self._piece)
+        self.words = Generations(MOST_COLUMN_WORDS if by_column else MOST_WORDS, self._word)
         self.special = [t["content"] for t in conf["added_tokens"]]
         self.parts = re.compile(f"{CONTRACTIONS}|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+" if self.dropped else f"{CONTRACTIONS}| ?[{LETTERS}]+| ?[0-9]+| ?[^ \n{LETTERS}0-9]+|\n").findall
 
